@@ -10,9 +10,10 @@ be checked against them. Three views of the data:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.schema import ITEM_TYPES
 from trailmark.session import configure
 from trailmark.sources.tables import conform
 
@@ -105,8 +106,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").select(
+def _base(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         "user_id",
@@ -118,6 +119,19 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of `events` as a site event with the full event schema."""
+    return as_web_events(load(spark, sf_dir, "events"))
+
+
+def stream_web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`web_events` as a stream of the table's files."""
+    layout = load(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(layout).option("pathGlobFilter", "events.parquet")
+    return as_web_events(files.parquet(sf_dir))
+
+
+def as_web_events(source: DataFrame) -> DataFrame:
+    """Rows of the `events` layout, batch or stream, as site events."""
+
     def line(n: int) -> str:
         fields = ", ".join(f"'{f}', {e.format(n=n)}" for f, e in WEB_ITEM.items())
         return f"named_struct({fields})"
@@ -129,15 +143,13 @@ def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ELSE CAST(map() AS MAP<STRING, STRING>) END"
     )
     columns = [f"{expr} AS {name}" for name, expr in WEB.items()]
-    events = _base(spark, sf_dir).selectExpr(*columns, f"{items} AS items", f"{properties} AS properties")
+    events = _base(source).selectExpr(*columns, f"{items} AS items", f"{properties} AS properties")
     return conform(events.withColumn("items", _all_item_fields()))
 
 
-def _all_item_fields():
+def _all_item_fields() -> Column:
     """Item structs with every field of the schema, '' or 0 where the sample has none."""
-    from trailmark.schema import ITEM_TYPES
-
-    def widen(item):
+    def widen(item: Column) -> Column:
         fields = []
         for name, kind in ITEM_TYPES.items():
             if name in WEB_ITEM:
@@ -256,4 +268,48 @@ PAYLOADS = {
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of `events` as a posted payload; `row_id` is the source `event_id`."""
-    return _base(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in PAYLOADS.items()])
+    return _base(load(spark, sf_dir, "events")).selectExpr(*[f"{e} AS {n}" for n, e in PAYLOADS.items()])
+
+
+# Address ranges over `customer` (which must not be empty): equal slots of the address
+# space from 10.0.0.0 on, three quarters of each slot assigned. `n` is the table's size.
+IP_RANGES = {
+    "lo": "167772160 + c_custkey * {width}",
+    "hi": "167772160 + c_custkey * {width} + ({width} * 3) {div} 4",
+    "country": "CAST(c_nationkey AS VARCHAR(9))",
+    "city": "c_mktsegment",
+}
+ADDRESS_SPACE = 3_400_000_000
+
+
+def ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = load(spark, sf_dir, "customer")
+    width = customers.agg((F.lit(ADDRESS_SPACE) / F.count("*")).cast("long").alias("w"))
+    sized = customers.withColumn("width", width.scalar())
+    return sized.selectExpr(
+        *[f"{e.format(width='width', div='div')} AS {n}" for n, e in IP_RANGES.items()]
+    )
+
+
+WEBSITES = {
+    "id": "concat('site-', CAST(n_nationkey AS VARCHAR(9)))",
+    "name": "n_name",
+    "domain": "concat(lower(n_name), '.example.com')",
+}
+
+
+def websites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A website register over `nation`; regions 2 and up have no registered site."""
+    nations = load(spark, sf_dir, "nation").filter("n_regionkey < 2")
+    return nations.selectExpr(*[f"{e} AS {n}" for n, e in WEBSITES.items()])
+
+
+API_KEYS = {
+    "key": "concat('key-', CAST(c_custkey AS VARCHAR(19)))",
+    "website_id": "concat('site-', CAST(c_custkey % 4 AS VARCHAR(9)))",
+    "is_active": "c_acctbal > 0",
+}
+
+
+def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in API_KEYS.items()])
