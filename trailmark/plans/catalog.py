@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions import identity, urls
@@ -27,19 +27,18 @@ TZ = "Europe/Istanbul"
 
 def portable(df: DataFrame) -> DataFrame:
     """Times as text, doubles rounded, integers as BIGINT."""
-    out: list[Column] = []
+    out = []
     for field in df.schema.fields:
-        kind, value = field.dataType.typeName(), F.col(f"`{field.name}`")
-        if kind == "timestamp":
-            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-        elif kind == "double":
-            value = F.round(value, 4)
-        elif kind in ("integer", "short", "byte"):
-            value = value.cast("long")
-        elif kind == "array":
-            value = F.array_join(value.cast("array<string>"), ",")
-        out.append(value.alias(field.name))
-    return df.select(*out)
+        kind, name = field.dataType.typeName(), f"`{field.name}`"
+        value = {
+            "timestamp": f"date_format({name}, 'yyyy-MM-dd HH:mm:ss')",
+            "double": f"round({name}, 4)",
+            "integer": f"CAST({name} AS BIGINT)",
+            "short": f"CAST({name} AS BIGINT)",
+            "array": f"array_join(CAST({name} AS ARRAY<STRING>), ',')",
+        }.get(kind, name)
+        out.append(f"{value} AS {name}")
+    return df.selectExpr(*out)
 
 
 def _add(name: str, run: Query) -> None:
@@ -233,7 +232,8 @@ _payloads("ua_dim", enrich.build_ua_dim)
 _payloads("drop_bots", lambda pay: enrich.drop_bots(pay).groupBy("user_agent").agg(
     F.count("*").alias("requests")))
 _payloads("rate_cap", lambda pay: enrich.rate_cap(
-    pay.withColumn("event_id", F.col("row_id")), n=1, window="10 minutes").select("row_id", "ip"))
+    pay.withColumns({"event_id": F.col("row_id"), "ip": F.substring_index("ip", ".", 1)}),
+    n=1, window="2 hours").select("row_id", "ip"))
 _payloads("hash_session_id", lambda pay: sessions.hash_session_id(pay.select(
     "row_id", "ip", "user_agent", F.lit("site").alias("website_id"),
     F.lit("www.example.com").alias("host"), F.col("ingest_time").alias("timestamp"))).select(
@@ -245,6 +245,9 @@ _SESSION_COLUMNS = ("event_id", "website_id", "client_id", "session_no", "sessio
 _web("sessionize", lambda ev: sessions.sessionize(ev).select(*_SESSION_COLUMNS))
 _web("sessionize_midnight", lambda ev: sessions.sessionize(ev, split_at_midnight=True).select(
     *_SESSION_COLUMNS))
+_web("sessionize_12h", lambda ev: sessions.sessionize(ev, gap_seconds=12 * 3600).select(
+    *_SESSION_COLUMNS))
+_web("session_table_12h", lambda ev: sessions.session_table(ev, gap_seconds=12 * 3600))
 _web("session_starts", lambda ev: sessions.emit_session_starts(ev).select(
     "event_id", "website_id", "client_id", "event_type", "timestamp"))
 _web("session_attribution", lambda ev: sessions.session_attribution(ev).select(
@@ -325,7 +328,8 @@ _web("anomalies_trailing", lambda ev: insights.anomalies(
     rollups.daily_stats(ev), metric="visitors", mode="trailing", history=7))
 _web("pct_change", lambda ev: insights.pct_change(rollups.daily_stats(ev)))
 _web("page_movers", insights.page_movers)
-_web("new_sources", insights.new_sources)
+_web("new_sources", lambda ev: insights.new_sources(ev.withColumn(
+    "referrer_domain", F.concat("client_id", "url_path"))))
 _web("device_shift", insights.device_shift)
 _web("campaign_performance", insights.campaign_performance)
 

@@ -449,8 +449,9 @@ ORACLES["geo_range_join_shuffled"] = ORACLES["geo_range_join"]
 _pay("ua_dim", f"""+ b AS (SELECT user_agent, count(*) AS events FROM pay GROUP BY ALL)
 SELECT user_agent, events, {_DEVICE} FROM b""")
 _pay("drop_bots", f"SELECT user_agent, count(*) AS requests FROM pay WHERE NOT {_BOT} GROUP BY ALL")
-_pay("rate_cap", """+ w AS (SELECT row_id, ip, row_number() OVER (
-    PARTITION BY ip, time_bucket(INTERVAL 10 MINUTE, ingest_time) ORDER BY ingest_time, row_id) AS rn FROM pay)
+_pay("rate_cap", """+ a AS (SELECT row_id, split_part(ip, '.', 1) AS ip, ingest_time FROM pay),
+w AS (SELECT row_id, ip, row_number() OVER (
+    PARTITION BY ip, CAST(floor(epoch(ingest_time) / 7200) AS BIGINT) ORDER BY ingest_time, row_id) AS rn FROM a)
 SELECT row_id, ip FROM w WHERE rn <= 1""")
 _pay("hash_session_id", """SELECT row_id, sha256(concat('site|www.example.com|', ip, '|', user_agent, '|',
   strftime(date_trunc('month', ingest_time), '%Y-%m-%d'))) AS cookieless_id FROM pay""")
@@ -460,9 +461,9 @@ _pay("hash_session_id", """SELECT row_id, sha256(concat('site|www.example.com|',
 _W = "PARTITION BY website_id, client_id ORDER BY ts, event_id"
 
 
-def _sessions(extra: str = "") -> str:
+def _sessions(extra: str = "", gap: str = "30 MINUTE") -> str:
     return f"""+ s1 AS (SELECT *, CASE WHEN lag(ts) OVER ({_W}) IS NULL
-      OR ts - lag(ts) OVER ({_W}) >= INTERVAL 30 MINUTE {extra} THEN 1 ELSE 0 END AS opens FROM web),
+      OR ts - lag(ts) OVER ({_W}) >= INTERVAL {gap} {extra} THEN 1 ELSE 0 END AS opens FROM web),
 s2 AS (SELECT *, CAST(sum(opens) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM s1),
 s3 AS (SELECT *, min(ts) OVER (PARTITION BY website_id, client_id, session_no) AS session_start FROM s2)"""
 
@@ -470,6 +471,7 @@ s3 AS (SELECT *, min(ts) OVER (PARTITION BY website_id, client_id, session_no) A
 _SESSIONIZED = f"SELECT event_id, website_id, client_id, session_no, {_time('session_start')} AS session_start FROM s3"
 _web("sessionize", f"{_sessions()} {_SESSIONIZED}")
 _web("sessionize_midnight", f"{_sessions(f'OR {DAY} <> CAST(lag(ts) OVER ({_W}) AS DATE)')} {_SESSIONIZED}")
+_web("sessionize_12h", f"{_sessions(gap='12 HOUR')} {_SESSIONIZED}")
 _web("session_starts", f"""{_sessions()} SELECT event_id, website_id, client_id, 'session_start' AS event_type,
   {_time('ts')} AS timestamp FROM s3 WHERE opens = 1 AND {VIEW}""")
 _FIRST = "OVER (PARTITION BY website_id, client_id, session_id ORDER BY ts, event_id)"
@@ -507,9 +509,11 @@ _TABLE = f"""st AS (SELECT website_id, client_id, session_no, min(ts) AS a, max(
   coalesce(arg_max(url_path, (ts, event_id)) FILTER (WHERE {VIEW}), '') AS exit_page,
   {", ".join(f"arg_min({c}, (ts, event_id)) AS first_{c}" for c in _TOUCHES)}
 FROM s3 GROUP BY website_id, client_id, session_no)"""
-_web("session_table", f"""{_sessions()}, {_TABLE} SELECT website_id, client_id, session_no,
+_SESSION_ROWS = f"""SELECT website_id, client_id, session_no,
   {_time('a')} AS started_at, {_time('b')} AS ended_at, CAST(epoch(b) - epoch(a) AS BIGINT) AS duration_seconds,
-  events, pageviews, purchases, revenue, entry_page, exit_page, {", ".join(f"first_{c}" for c in _TOUCHES)} FROM st""")
+  events, pageviews, purchases, revenue, entry_page, exit_page, {", ".join(f"first_{c}" for c in _TOUCHES)} FROM st"""
+_web("session_table", f"{_sessions()}, {_TABLE} {_SESSION_ROWS}")
+_web("session_table_12h", f"{_sessions(gap='12 HOUR')}, {_TABLE} {_SESSION_ROWS}")
 _web("bounce_rate", f"""{_sessions()}, {_TABLE} SELECT website_id, count(*) AS sessions,
   {_n('pageviews = 1')} AS bounces, round({_n('pageviews = 1')} * 1.0 / count(*), 4) AS bounce_rate
 FROM st GROUP BY website_id""")
@@ -621,9 +625,10 @@ c AS (SELECT website_id, url_path, week, current, previous, current - previous A
   WHERE week <= (SELECT max(w2.week) FROM w w2 WHERE w2.website_id = j.website_id) AND current <> previous),
 r AS (SELECT *, row_number() OVER (PARTITION BY website_id, week, direction ORDER BY abs(change) DESC, url_path) AS rank FROM c)
 SELECT * FROM r WHERE rank <= 5""")
-_web("new_sources", f"""+ n AS (SELECT website_id, date_trunc('week', max(ts)) AS wk FROM web GROUP BY website_id)
+_web("new_sources", f"""+ x AS (SELECT * REPLACE (concat(client_id, url_path) AS referrer_domain) FROM web),
+n AS (SELECT website_id, date_trunc('week', max(ts)) AS wk FROM web GROUP BY website_id)
 SELECT website_id, referrer_domain, utm_source, {_time('min(ts)')} AS first_seen, count(*) AS pageviews
-FROM web JOIN n USING (website_id) WHERE {VIEW}
+FROM x JOIN n USING (website_id) WHERE {VIEW}
 GROUP BY website_id, referrer_domain, utm_source, wk HAVING min(ts) >= wk""")
 _web("device_shift", f"""+ w AS (SELECT website_id, device_type, {_WEEK} AS week,
     count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY website_id, {_WEEK}) AS share FROM web WHERE {VIEW} GROUP BY 1, 2, 3),

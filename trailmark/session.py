@@ -14,10 +14,16 @@ RESULT_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Plans here have many columns; noting the Python line of every expression for error
+# messages takes longer than planning them.
+PLANNING_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+_SETTINGS = {**RESULT_SETTINGS, **PLANNING_SETTINGS}
+
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on to a session made elsewhere."""
-    for key, value in RESULT_SETTINGS.items():
+    """Apply the settings above to a session made elsewhere."""
+    for key, value in _SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
@@ -35,7 +41,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
-    for key, value in RESULT_SETTINGS.items():
+    for key, value in _SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

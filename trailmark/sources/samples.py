@@ -10,7 +10,7 @@ be checked against them. Three views of the data:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.schema import ITEM_TYPES
@@ -133,8 +133,12 @@ def as_web_events(source: DataFrame) -> DataFrame:
     """Rows of the `events` layout, batch or stream, as site events."""
 
     def line(n: int) -> str:
-        fields = ", ".join(f"'{f}', {e.format(n=n)}" for f, e in WEB_ITEM.items())
-        return f"named_struct({fields})"
+        fields = []
+        for name, kind in ITEM_TYPES.items():
+            blank = "''" if kind.typeName() == "string" else "0"
+            value = WEB_ITEM[name].format(n=n) if name in WEB_ITEM else blank
+            fields.append(f"'{name}', CAST({value} AS {kind.simpleString()})")
+        return f"named_struct({', '.join(fields)})"
 
     one, two = f"array({line(1)})", f"array({line(1)}, {line(2)})"
     items = f"CASE WHEN {HAS_ITEMS} THEN CASE WHEN k % 2 = 0 THEN {one} ELSE {two} END ELSE array() END"
@@ -144,22 +148,7 @@ def as_web_events(source: DataFrame) -> DataFrame:
     )
     columns = [f"{expr} AS {name}" for name, expr in WEB.items()]
     events = _base(source).selectExpr(*columns, f"{items} AS items", f"{properties} AS properties")
-    return conform(events.withColumn("items", _all_item_fields()))
-
-
-def _all_item_fields() -> Column:
-    """Item structs with every field of the schema, '' or 0 where the sample has none."""
-    def widen(item: Column) -> Column:
-        fields = []
-        for name, kind in ITEM_TYPES.items():
-            if name in WEB_ITEM:
-                value = item[name].cast(kind)
-            else:
-                value = F.lit("" if kind.typeName() == "string" else 0).cast(kind)
-            fields.append(value.alias(name))
-        return F.struct(*fields)
-
-    return F.transform("items", widen)
+    return conform(events)
 
 
 # `shop_events` over `orders`; items come from `lineitem` joined with `part`.
@@ -268,7 +257,13 @@ PAYLOADS = {
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of `events` as a posted payload; `row_id` is the source `event_id`."""
-    return _base(load(spark, sf_dir, "events")).selectExpr(*[f"{e} AS {n}" for n, e in PAYLOADS.items()])
+    rows = _base(load(spark, sf_dir, "events")).selectExpr(
+        *[f"{e} AS {n}" for n, e in PAYLOADS.items()]
+    )
+    # A sample is one file and so one task. Parsing is the costly part: spread the rows
+    # when there are fewer files than cores, as there never are in a stored table.
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 # Address ranges over `customer` (which must not be empty): equal slots of the address

@@ -17,34 +17,27 @@ SORT = {
 }
 
 
+# SQL defaults by type name; numbers are 0.
+_DEFAULTS = {"string": "''", "array": "array()", "map": "map()", "timestamp": "NULL"}
+
+
 def with_month(df: DataFrame, column: str = "timestamp") -> DataFrame:
     return df.withColumn("event_month", F.date_format(column, "yyyyMM"))
 
 
 def conform(events: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
     """Exactly the event columns, in order and type, without NULLs, plus lineage columns."""
+    present = set(events.columns)
     out = []
     for field in EVENTS_SCHEMA.fields:
-        kind = field.dataType.typeName()
-        if kind == "string":
-            default = F.lit("")
-        elif kind in ("double", "short"):
-            default = F.lit(0)
-        elif kind == "array":
-            default = F.array()
-        elif kind == "map":
-            default = F.create_map()
+        kind = field.dataType.simpleString()
+        default = f"CAST({_DEFAULTS.get(field.dataType.typeName(), '0')} AS {kind})"
+        if field.name in present:
+            out.append(f"coalesce(CAST({field.name} AS {kind}), {default}) AS {field.name}")
         else:
-            default = F.lit(None)
-        default = default.cast(field.dataType)
-        value = (
-            F.coalesce(F.col(field.name).cast(field.dataType), default)
-            if field.name in events.columns
-            else default
-        )
-        out.append(value.alias(field.name))
-    lineage = [c for c in LINEAGE_COLUMNS if c in events.columns]
-    return events.select(*out, *lineage, *extra)
+            out.append(f"{default} AS {field.name}")
+    lineage = [c for c in LINEAGE_COLUMNS if c in present]
+    return events.select(*[F.expr(e) for e in out], *lineage, *extra)
 
 
 def append(df: DataFrame, path: str, table: str) -> None:
