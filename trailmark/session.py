@@ -29,7 +29,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
     """Session for tests and the benchmark; clusters bring their own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -43,6 +45,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
     for key, value in _SETTINGS.items():
         builder = builder.config(key, value)
+    if checkpoint_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
