@@ -28,15 +28,15 @@ def apply_retention(df: DataFrame, table: str, as_of: datetime) -> DataFrame:
     return kept
 
 
-def _month_folders(spark: SparkSession, path: str) -> dict[str, object]:
-    """Month -> folder of a monthly table; a listing of folders, not of data."""
+def _folders(spark: SparkSession, path: str, column: str = "event_month") -> dict[str, object]:
+    """Partition value -> folder; a listing of folders, not of data."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     folders = {}
-    for status in fs.listStatus(root):
+    for status in fs.listStatus(root) if fs.exists(root) else ():
         name = status.getPath().getName()
-        if name.startswith("event_month="):
+        if name.startswith(f"{column}="):
             folders[name.split("=", 1)[1]] = status.getPath()
     return folders
 
@@ -70,7 +70,7 @@ def rewrite_months(
     new.hint("rebalance", F.col("event_month")).sortWithinPartitions(*order).write.partitionBy(
         "event_month", *below
     ).parquet(staged)
-    written, current = _month_folders(spark, staged), _month_folders(spark, path)
+    written, current = _folders(spark, staged), _folders(spark, path)
     for month in months:
         if month in written:
             rows = spark.read.parquet(f"{staged}/event_month={month}")
@@ -84,7 +84,7 @@ def expire_table(spark: SparkSession, path: str, table: str, as_of: datetime) ->
     row = spark.range(1).select(
         F.date_format(F.lit(as_of) - F.expr(f"INTERVAL {TTL[table]}"), "yyyyMM").alias("m")
     ).first()
-    folders = _month_folders(spark, path)
+    folders = _folders(spark, path)
     for month, folder in folders.items():
         if month < row["m"]:
             _delete(spark, folder)
@@ -110,7 +110,9 @@ def erase_from_table(
 ) -> list[str]:
     """Erase clients from the stored events, rewriting only months that hold them.
 
-    Rollups given by name are recomputed for those months. Returns the months.
+    Rollups given by name are recomputed for those months. Their dates are removed
+    first: a date whose last event was erased has no new row that would replace it.
+    Returns the months.
     """
     ids = clients.select("client_id").distinct()
     events = spark.read.parquet(path)
@@ -122,7 +124,11 @@ def erase_from_table(
     if rollups and rollup_path and months:
         kept = spark.read.parquet(path).filter(F.col("event_month").cast("string").isin(*months))
         for name, build in rollups.items():
-            tables.write_rollup(build(kept), f"{rollup_path}/{name}")
+            target = f"{rollup_path}/{name}"
+            for day, folder in _folders(spark, target, "date").items():
+                if day[:7].replace("-", "") in months:
+                    _delete(spark, folder)
+            tables.write_rollup(build(kept), target)
     return months
 
 

@@ -16,7 +16,7 @@ from trailmark.plans.ingest import ingest
 from trailmark.session import work_dir
 from trailmark.sources import samples, tables
 from trailmark.streaming import ingest as stream_ingest
-from trailmark.streaming import windows
+from trailmark.streaming import attribution, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -393,3 +393,7 @@ _add("stream_dedupe", _stream_to_table(
 _add("stream_rate_flag", _stream_to_table(
     "stream-rate", lambda ev: windows.rate_flag(
         ev.withColumn("ip_hash", F.col("client_id")), n=1, window="1 hour")))
+_add("stream_attribution", _stream_to_table(
+    "stream-attribution", lambda ev: attribution.stream_attribution(ev).select(
+        "event_id", "utm_source", "utm_medium", "utm_campaign", "utm_term", "referrer",
+        "landing_page")))

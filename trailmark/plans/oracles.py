@@ -662,3 +662,5 @@ _web("stream_rate_flag", f"""+ h AS (SELECT date_trunc('hour', ts) AS a, client_
   FROM web GROUP BY ALL)
 SELECT {_time('a')} AS window_start, ip_hash, requests, requests > 1 AS over_limit FROM h
 WHERE a + INTERVAL 1 HOUR <= {LATEST} - INTERVAL 5 MINUTE""")
+ORACLES["stream_attribution"] = f"""SELECT event_id, utm_source, utm_medium, utm_campaign, utm_term, referrer,
+  landing_page FROM ({ORACLES["session_attribution"]})"""

@@ -40,4 +40,5 @@ def stream_payloads(
 def write_payloads(payloads: DataFrame, path: str) -> None:
     """Store payload rows in the line format read above."""
     columns = ["body", "ip", "user_agent", "ingest_time"]
-    payloads.select(F.to_json(F.struct(*columns)).alias("value")).write.mode("append").text(path)
+    whole = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    payloads.select(F.to_json(F.struct(*columns), whole).alias("value")).write.mode("append").text(path)
