@@ -6,6 +6,7 @@ Results leave with portable types: times as text, money and ratios rounded, list
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -305,8 +306,6 @@ _web("country_share", panels.country_share)
 
 
 def _scoped(ev: DataFrame) -> DataFrame:
-    from datetime import date
-
     part = panels.scope(ev, date(2024, 1, 8), date(2024, 1, 15), ["site-0", "site-2"])
     return rollups.daily_stats(part)
 
@@ -337,8 +336,6 @@ _web("campaign_performance", insights.campaign_performance)
 
 
 def _retained(ev: DataFrame) -> DataFrame:
-    from datetime import datetime
-
     kept = lifecycle.apply_retention(tables.with_month(ev), "bad_events", datetime(2024, 4, 15, 12))
     return kept.groupBy(F.to_date("timestamp").alias("date")).agg(F.count("*").alias("events"))
 
@@ -360,8 +357,9 @@ _add("erase_clients", _erased)
 
 def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "stream-daily")
+    used = ("event_id", "timestamp", "event_type", "website_id", "client_id", "session_id")
     query = stream_ingest.stream_rollups(
-        samples.stream_web_events(spark, sf_dir), f"{out}/events", f"{out}/rollups",
+        samples.stream_web_events(spark, sf_dir).select(*used), f"{out}/events", f"{out}/rollups",
         f"{out}/checkpoint", {"daily_stats": rollups.daily_stats}, trigger=None)
     query.awaitTermination()
     return spark.read.parquet(f"{out}/rollups/daily_stats").select(
@@ -394,6 +392,6 @@ _add("stream_rate_flag", _stream_to_table(
     "stream-rate", lambda ev: windows.rate_flag(
         ev.withColumn("ip_hash", F.col("client_id")), n=1, window="1 hour")))
 _add("stream_attribution", _stream_to_table(
-    "stream-attribution", lambda ev: attribution.stream_attribution(ev).select(
+    "stream-attribution", lambda ev: attribution.stream_attribution(ev, carry=()).select(
         "event_id", "utm_source", "utm_medium", "utm_campaign", "utm_term", "referrer",
         "landing_page")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,27 +20,38 @@ _STATE = T.StructType([T.StructField(c, T.StringType()) for c in _TOUCH])
 
 
 def stream_attribution(
-    events: DataFrame, watermark: str = "10 minutes", idle_seconds: int = 1800
+    events: DataFrame,
+    carry: Sequence[str] | None = None,
+    watermark: str = "10 minutes",
+    idle_seconds: int = 1800,
 ) -> DataFrame:
     """Events with campaign columns, referrer and `landing_page` of their session's first event.
 
     "First" is the first event the stream sees of (website, client, session). Touch values
     are computed for every event by JVM expressions; Python only keeps the first ones and
-    copies them. State is dropped once the watermark passes the last event by
-    `idle_seconds`. Rows of one session arrive in Arrow chunks, never all at once.
+    copies them. `carry` names the other event columns to hand through (all by default);
+    fewer columns mean less to move to Python. State is dropped once the watermark passes
+    the last event by `idle_seconds`. Rows of one session arrive in Arrow chunks.
     """
     query = F.col("url_query")
     source, medium = urls.click_source(query)
-    touched = events.withColumns({
+    needed = [*VISITOR, "session_id", "timestamp", "event_id", *_STAMPED]
+    kept = [c for c in events.columns if carry is None or c in carry or c in needed]
+    touch_values = {
         "touch_utm_source": source,
         "touch_utm_medium": medium,
         **{f"touch_{n}": urls.query_param(query, n) for n in UTM_FIELDS[2:]},
         "touch_referrer": F.col("referrer"),
         "touch_landing_page": F.concat("url_path", "url_query"),
-    }).withWatermark("timestamp", watermark)
-    kept = [f for f in events.schema.fields]
-    output = T.StructType([*kept, T.StructField("landing_page", T.StringType())])
-    names = [f.name for f in output.fields]
+    }
+    touched = events.select(
+        *kept, *[c.alias(n) for n, c in touch_values.items()]
+    ).withWatermark("timestamp", watermark)
+    output = T.StructType([
+        *[f for f in events.schema.fields if f.name in kept],
+        T.StructField("landing_page", T.StringType()),
+    ])
+    names = output.names
 
     def stamp(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -48,18 +59,16 @@ def stream_attribution(
             return
         last = 0
         for chunk in chunks:
-            chunk = chunk.sort_values(["timestamp", "event_id"])
+            if len(chunk) > 1:
+                chunk = chunk.sort_values(["timestamp", "event_id"])
             if not state.exists:
-                state.update(tuple(chunk.iloc[0][c] for c in _TOUCH))
+                state.update(tuple(chunk[c].iat[0] for c in _TOUCH))
             touch = dict(zip(_TOUCH, state.get))
-            for name in UTM_FIELDS:
-                if touch[f"touch_{name}"]:
-                    chunk[name] = touch[f"touch_{name}"]
-            blank = chunk["referrer"] == ""
-            chunk.loc[blank, "referrer"] = touch["touch_referrer"]
-            chunk["landing_page"] = touch["touch_landing_page"]
-            last = max(last, int(chunk["timestamp"].max().timestamp() * 1000))
-            yield chunk[names]
+            stamped = {n: touch[f"touch_{n}"] for n in UTM_FIELDS if touch[f"touch_{n}"]}
+            stamped["referrer"] = chunk["referrer"].where(chunk["referrer"] != "", touch["touch_referrer"])
+            stamped["landing_page"] = touch["touch_landing_page"]
+            last = max(last, int(chunk["timestamp"].iat[-1].timestamp() * 1000))
+            yield chunk.assign(**stamped)[names]
         deadline = max(last, state.getCurrentWatermarkMs()) + idle_seconds * 1000
         state.setTimeoutTimestamp(deadline)
 
