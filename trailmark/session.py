@@ -15,15 +15,13 @@ RESULT_SETTINGS = {
 }
 
 # Plans here have many columns; noting the Python line of every expression for error
-# messages takes longer than planning them.
+# messages takes longer than planning them. A static setting: only for new sessions.
 PLANNING_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
-_SETTINGS = {**RESULT_SETTINGS, **PLANNING_SETTINGS}
-
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to a session made elsewhere."""
-    for key, value in _SETTINGS.items():
+    """Apply the settings results depend on to a session made elsewhere."""
+    for key, value in RESULT_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
@@ -43,7 +41,7 @@ def local_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
-    for key, value in _SETTINGS.items():
+    for key, value in {**RESULT_SETTINGS, **PLANNING_SETTINGS}.items():
         builder = builder.config(key, value)
     if checkpoint_dir is not None:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
