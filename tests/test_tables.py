@@ -180,3 +180,11 @@ def test_windowed_distinct_forms(spark, make_events):
     assert rows(approx, "date", "website_id", "visitors") == rows(exact, "date", "website_id", "visitors")
     sketch = rollups.sketch_estimate(windows.windowed_distinct(events, how="sketch"))
     assert rows(sketch, "date", "website_id", "visitors") == rows(exact, "date", "website_id", "visitors")
+
+
+def test_settings_apply_to_a_running_session(spark):
+    from trailmark.session import RESULT_SETTINGS, configure
+
+    assert all(spark.conf.isModifiable(key) for key in RESULT_SETTINGS)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    assert configure(spark).conf.get("spark.sql.session.timeZone") == "UTC"
