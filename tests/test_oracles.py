@@ -5,8 +5,8 @@ from compare import compare, connect
 from conftest import SAMPLE
 
 import __spark_entry__ as entry_module
-
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+from trailmark.plans.catalog import QUERIES
+from trailmark.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -29,5 +29,10 @@ def test_all_oracles_have_a_query():
     assert set(QUERIES) - set(ORACLES) == {"storage_report"}
 
 
+def test_entry_lists_all():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
