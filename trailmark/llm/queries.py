@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import simhash_dedup
-from trailmark.llm.common import documents
+from trailmark.llm import embedding_dedup, mixing, simhash_dedup
+from trailmark.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.classes(table(spark, sf_dir, "embeddings"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.assign(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken")
+    )
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.classes(documents(spark, sf_dir))
     return found.select(
@@ -22,6 +32,6 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op8_simhash_dedup,)
+    for f in (op1_embedding_dedup, op3_source_mixing, op8_simhash_dedup)
 }
 ORACLES: dict[str, str] = {}
