@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import embedding_dedup, mixing, simhash_dedup
+from trailmark.llm import bpe, embedding_dedup, mixing, simhash_dedup
 from trailmark.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.classes(documents(spark, sf_dir))
     return found.select(
@@ -32,6 +36,6 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_embedding_dedup, op3_source_mixing, op8_simhash_dedup)
+    for f in (op1_embedding_dedup, op3_source_mixing, op6_bpe, op8_simhash_dedup)
 }
 ORACLES: dict[str, str] = {}
