@@ -14,7 +14,7 @@ seed, so reruns agree.
 
 What a row needs is a few numbers of its source, so texts are never shuffled for the decision.
 The partial pass ends at a hash threshold found by narrowing histograms, never by ordering the
-documents of a source in one task; one document is then added or taken back to come nearer.
+documents of a source in one task; a few documents are then added or taken back to come nearer.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; rows
 without doc_id share one place in the permutation; repeated rows are taken alike; sources
@@ -35,6 +35,7 @@ BLOCK_DOCS = 256  # documents in a block, on average
 SHARD_LEVELS = 3  # 2^3 output shards
 SEED = 7
 _SPAN = 1 << 60  # permuted places
+_SWAPS = 3
 _LEVELS, _FAN_BITS = 4, 12  # histogram narrowing: 4 levels of 4096 parts
 
 
@@ -79,7 +80,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
 # ---- partial passes -------------------------------------------------------------------
 
 def cut_points(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds whole (passes), cut (places below it are in the partial pass) and swap (a place
+    """Adds whole (passes), cut (places below it are in the partial pass) and swaps (places
     whose membership is turned over).
 
     sizes: source, place, size. Each level sums one range of places per source in 4096 parts
@@ -123,21 +124,27 @@ def cut_points(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     inside = (F.col("edge") > 0) & (F.col("left") * 2 >= F.col("edge"))
     state = state.withColumn("cut", F.when(F.col("target") > 0, F.col("low") + F.when(inside, F.lit(width)).otherwise(0)).otherwise(0))
     state = state.withColumn("left", F.col("left") - F.when(inside, F.col("edge")).otherwise(0))
-    # what is still missing (or too much) is made up by one document of about that size
-    known = state.where("target > 0").select(F.col("source").alias("_s"), "cut", "left")
-    missing = F.abs(F.col("left"))
-    best = (
-        sizes.join(known, _same(F.col("source"), F.col("_s")))
-        .where((F.col("size") > 0) & (F.abs(F.col("size") - missing) < missing)
-               & F.expr("if(left > 0, place >= cut, place < cut)"))
-        .groupBy(F.col("_s").alias("_s"))
-        .agg(F.min(F.struct(F.abs(F.col("size") - missing), F.col("place").alias("place"))).alias("b"))
-        .select(F.col("_s"), F.col("b.place").alias("swap"))
-    )
-    return (
-        state.join(best, _same(state.source, best._s), "left")
-        .select(*[c for c in state.columns if c not in ("left", "low", "edge")], "swap")
-    )
+    # what is still missing (or too much) is made up by single documents of about that size
+    keep = [c for c in state.columns if c not in ("low", "edge")]
+    state = state.select(*keep, F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("swaps"))
+    for _ in range(_SWAPS):
+        missing = F.abs(F.col("left"))
+        known = state.where("target > 0").select(F.col("source").alias("_s"), "cut", "left", "swaps")
+        best = (
+            sizes.join(known, _same(F.col("source"), F.col("_s")))
+            .where((F.col("size") > 0) & (F.abs(F.col("size") - missing) < missing)
+                   & F.expr("if(left > 0, place >= cut, place < cut) AND NOT array_contains(swaps, place)"))
+            .groupBy("_s")
+            .agg(F.min(F.struct(F.abs(F.col("size") - missing), F.col("place"), F.col("size"))).alias("b"))
+        )
+        state = stored(
+            state.join(best, _same(state.source, best._s), "left")
+            .withColumn("swaps", F.expr("if(b IS NULL, swaps, concat(swaps, array(b.place)))"))
+            .withColumn("left", F.expr("if(b IS NULL, left, left - sign(left) * b.size)"))
+            .select(*keep, "swaps"),
+            "passes",
+        )
+    return state.drop("left")
 
 
 # ---- splitting tree -------------------------------------------------------------------
@@ -235,7 +242,7 @@ def plan(
         sources.withColumn("key", F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))))
         .withColumn("blocks", blocks)
         .withColumn("width", width)
-        .withColumn("draws", F.col("whole") * F.col("blocks") + F.ceil(F.greatest("cut", F.coalesce(F.col("swap") + 1, F.lit(0))) / F.col("width")).cast("long")),
+        .withColumn("draws", F.col("whole") * F.col("blocks") + F.ceil(F.greatest("cut", F.coalesce(F.array_max("swaps") + 1, F.lit(0))) / F.col("width")).cast("long")),
         "source-plan",
     )
     ends = F.expr("transform(sequence(1, size(q)), n -> aggregate(slice(q, 1, n), 0L, (s, x) -> s + x.quota))")
@@ -250,7 +257,7 @@ def plan(
 def copies(place_: Column) -> Column:
     """array<struct<pass, block, shard>> of a row joined with its source's plan."""
     return F.expr(
-        "transform(filter(sequence(0L, whole), p -> p < whole OR (_place < cut) <> (_place <=> swap)), p -> named_struct("
+        "transform(filter(sequence(0L, whole), p -> p < whole OR (_place < cut) <> array_contains(swaps, _place)), p -> named_struct("
         "'pass', p, 'block', CAST(floor(_place / width) AS BIGINT), "
         "'shard', aggregate(ends, 0, (n, e) -> n + int(e <= p * blocks + floor(_place / width)))))"
     )
@@ -266,7 +273,7 @@ def assign(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, level
     """One row per document row: doc_id, size, source_size, target, copies."""
     sizes = stored(sized(docs, seed), "sizes")
     made = plan(sizes.select("source", "place", "size"), weights, max_copies, levels, seed)
-    chosen = made.select(F.col("source").alias("_s"), "source_size", "target", "whole", "cut", "swap", "width", "blocks", "ends")
+    chosen = made.select(F.col("source").alias("_s"), "source_size", "target", "whole", "cut", "swaps", "width", "blocks", "ends")
     return (
         sizes.withColumnRenamed("place", "_place")
         .join(chosen, _same(F.col("source"), F.col("_s")))
@@ -281,7 +288,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, levels:
     """
     sizes = stored(sized(docs, seed).select("source", "place", "size"), "sizes")
     made = plan(sizes, weights, max_copies, levels, seed)
-    chosen = made.select(F.struct("source", "whole", "cut", "swap", "width", "blocks", "ends").alias("_plan"))
+    chosen = made.select(F.struct("source", "whole", "cut", "swaps", "width", "blocks", "ends").alias("_plan"))
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     taken = (
         docs.select(whole_row.alias("_row"), place(F.col("doc_id"), seed).alias("_place"))
