@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, embedding_dedup, mixing, simhash_dedup
+from trailmark.llm import bpe, embedding_dedup, mixing, quality_rules, simhash_dedup
 from trailmark.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +34,12 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_embedding_dedup, op3_source_mixing, op6_bpe, op8_simhash_dedup)
+    for f in (op1_embedding_dedup, op3_source_mixing, op6_bpe, op8_simhash_dedup, op9_quality_rules)
 }
 ORACLES: dict[str, str] = {}
