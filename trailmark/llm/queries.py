@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, embedding_dedup, mixing, quality_rules, simhash_dedup
+from trailmark.llm import bpe, embedding_dedup, mixing, quality_rules, secret_scan, simhash_dedup
 from trailmark.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.classes(table(spark, sf_dir, "embeddings"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir)))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken")
@@ -40,6 +44,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_embedding_dedup, op3_source_mixing, op6_bpe, op8_simhash_dedup, op9_quality_rules)
+    for f in (op1_embedding_dedup, op2_secret_scan, op3_source_mixing, op6_bpe, op8_simhash_dedup, op9_quality_rules)
 }
 ORACLES: dict[str, str] = {}
