@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, embedding_dedup, line_dedup, mixing, quality_rules, secret_scan, simhash_dedup
+from trailmark.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, quality_rules, secret_scan, simhash_dedup
 from trailmark.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.classes(documents(spark, sf_dir))
     return found.select(
@@ -48,6 +52,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_embedding_dedup, op2_secret_scan, op3_source_mixing, op5_line_dedup, op6_bpe, op8_simhash_dedup, op9_quality_rules)
+    for f in (op1_embedding_dedup, op2_secret_scan, op3_source_mixing, op5_line_dedup, op6_bpe, op7_language_id, op8_simhash_dedup, op9_quality_rules)
 }
 ORACLES: dict[str, str] = {}
