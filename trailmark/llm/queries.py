@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, quality_rules, secret_scan, simhash_dedup
+from trailmark.llm import bpe, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, simhash_dedup
 from trailmark.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +50,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_embedding_dedup, op2_secret_scan, op3_source_mixing, op5_line_dedup, op6_bpe, op7_language_id, op8_simhash_dedup, op9_quality_rules)
+    for f in (op1_embedding_dedup, op2_secret_scan, op3_source_mixing, op5_line_dedup, op6_bpe, op7_language_id, op8_simhash_dedup, op9_quality_rules, op10_lm_scoring)
 }
 ORACLES: dict[str, str] = {}
