@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, simhash_dedup
+from trailmark.llm import bpe, embedding_dedup, language_id, license_scan, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, simhash_dedup
 from trailmark.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(documents(spark, sf_dir)))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents(spark, sf_dir))
 
@@ -56,6 +60,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_embedding_dedup, op2_secret_scan, op3_source_mixing, op5_line_dedup, op6_bpe, op7_language_id, op8_simhash_dedup, op9_quality_rules, op10_lm_scoring)
+    for f in (op1_embedding_dedup, op2_secret_scan, op3_source_mixing, op4_license_scan, op5_line_dedup, op6_bpe, op7_language_id, op8_simhash_dedup, op9_quality_rules, op10_lm_scoring)
 }
 ORACLES: dict[str, str] = {}
