@@ -10,10 +10,11 @@ How matches are found, none lost:
    is the same for all lines keeps the filters exact; 2^17 counts are broadcast);
  - similar sets of n words share one of the n - ceil(0.8 n) + 1 rarest (prefix filter);
  - rows meet by prefix word and are compared when their sizes (length filter), the places of the
-   word (positional filter) and 128-bit maps of their words (an upper bound of the overlap)
-   still allow the similarity;
- - each line offers its first few surviving earlier partners, which are verified on the whole
-   word sets; lines that had more partners and none verified offer all of them in a second round.
+   word (positional filter) and 64-bit parity maps of their words (words of one side only flip a
+   bit each, which bounds the overlap from above) still allow the similarity; equal sets (size, map and a 64-bit hash of the set) match at once;
+ - each other line offers its first surviving earlier partner per word, which are verified on the
+   whole word sets; lines that had more partners and none verified offer all of them in a second
+   round. The word sets come from another scan, of the lines in a fixed-size bit map only.
 Prefix words whose bucket counts stay within `HOT` have few rows by construction; the others are
 merged over equal lines first and then dealt into tiles, so no word makes a large task. Repeats
 of a line inside one task are removed there, which keeps a line repeated everywhere at one row a
@@ -42,39 +43,23 @@ NUMERATOR, DENOMINATOR = 4, 5  # Jaccard similarity
 BUCKET_BITS = 17
 HOT = 1000
 TILE = 500
-OFFERS = 3  # partners offered per line and word in the first round
+OFFERS = 1  # partners offered per line and word in the first round
 _BUCKETS = 1 << BUCKET_BITS
 
-_ROWS = "token long, sizes long, map_a long, map_b long, whole long, doc_id long, line int, hot boolean"
+_ROWS = "token long, sizes long, map long, whole long, doc_id long, line int, hot boolean"
+_SLOT_BITS, _BLOCK_BITS = 24, 15  # bit map of the lines to verify
 
 
-def _lower(text: bytes) -> bytes:
-    return text.lower()  # bytes: A-Z only
-
-
-def line_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes and the line number of every word."""
-    hashes, at = word_hashes(_lower(text))
-    breaks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 10)
-    return hashes, np.searchsorted(breaks, at)
-
-
-def line_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document index, line number, word hash) of the distinct words of all lines, by line."""
-    docs, lines, words = [], [], []
-    for k, text in enumerate(texts):
-        h, line = line_words(text)
-        docs.append(np.full(len(h), k))
-        lines.append(line)
-        words.append(h)
-    doc, line, word = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (docs, lines, words))
-    order = np.lexsort((word, line, doc))
-    doc, line, word = doc[order], line[order], word[order]
-    if len(word):
-        new = np.ones(len(word), dtype=bool)
-        new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
-        doc, line, word = doc[new], line[new], word[new]
-    return doc, line, word
+def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and line of every word; document and line number of every line (A-Z lowered)."""
+    joined = b"\n".join(texts).lower()  # bytes: A-Z only
+    hashes, at = word_hashes(joined)
+    breaks = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 10)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    first = np.searchsorted(breaks, np.cumsum(sizes + 1) - sizes - 1)  # first line of each document
+    line = np.arange(len(breaks) + 1)
+    doc = np.searchsorted(first, line, side="right") - 1
+    return hashes, np.searchsorted(breaks, at), doc, line - first[doc]
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
@@ -85,7 +70,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(_BUCKETS, dtype=np.int64)
     for batch in batches:
         for start, end in text_slices(batch):
-            _, _, word = line_sets(texts_of(batch, start, end))
+            word = line_words(texts_of(batch, start, end))[0]
             total += np.bincount(_bucket(word), minlength=_BUCKETS)
     hit = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["bucket", "n"])
@@ -109,19 +94,27 @@ def _prefix_rows(counts: Broadcast, hot: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for start, end in text_slices(batch):
-                doc, line, word = line_sets(texts_of(batch, start, end))
+                word, line, doc, number = line_words(texts_of(batch, start, end))
                 if len(word):
-                    yield from slice_rows(ids[start:end], doc, line, word, count, seen)
+                    yield from slice_rows(word, line, ids[start:end][doc], number, count, seen)
 
-    def slice_rows(ids, doc, line, word, count, seen):
-        new = np.ones(len(word), dtype=bool)
-        new[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
+    def slice_rows(word, line, owner, number, count, seen):
+        # by line, rarity and word: one sort key, with ties of different words broken by the word
+        rarity = count[_bucket(word)]
+        most = np.uint64((1 << 18) - 1)
+        key = (line.astype(np.uint64) << np.uint64(42)) | (np.minimum(rarity.astype(np.uint64), most) << np.uint64(24)) | (word >> np.uint64(40))
+        order = np.argsort(key, kind="stable")
+        tie = (key[order][1:] == key[order][:-1]) & (word[order][1:] != word[order][:-1])
+        if tie.any() or line[-1] >= 1 << 22:
+            order = np.lexsort((word, np.minimum(rarity, int(most)), line))
+        word, line, rarity = word[order], line[order], rarity[order]
+        new = np.append(True, (word[1:] != word[:-1]) | (line[1:] != line[:-1]))
+        word, line, rarity = word[new], line[new], rarity[new]
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
         size = np.diff(np.append(first, len(word)))
-        with np.errstate(over="ignore"):
-            whole = np.add.reduceat(mix64(word ^ np.uint64(0x51)), first) ^ size.astype(np.uint64)
+        whole = np.add.reduceat(mix64(word ^ np.uint64(0x51)), first) ^ size.astype(np.uint64)
+        owner, number = owner[line[first]], number[line[first]]
         # repeats inside the task: the earlier one stays
-        owner, number = ids[doc[first]], line[first]
         fresh, gone_doc, gone_line = np.ones(len(first), dtype=bool), [], []
         for k, (key, d, n) in enumerate(zip(whole.tolist(), owner.tolist(), number.tolist())):
             known = seen.get(key)
@@ -135,28 +128,22 @@ def _prefix_rows(counts: Broadcast, hot: int):
         if gone_doc:
             n = len(gone_doc)
             zero = np.zeros(n, dtype=np.int64)
-            yield batch_of(zero, zero, zero, zero, zero, np.array(gone_doc), np.array(gone_line), [None] * n)
-        # rarity order inside each line
+            yield batch_of(zero, zero, zero, zero, np.array(gone_doc), np.array(gone_line), [None] * n)
         group = np.repeat(np.arange(len(first)), size)
-        rarity = count[_bucket(word)]
-        order = np.lexsort((word, rarity, group))
-        word, rarity = word[order], rarity[order]
         place = np.arange(len(word)) - np.repeat(first, size)
         prefix = size - (NUMERATOR * size + DENOMINATOR - 1) // DENOMINATOR + 1
-        bit = mix64(word ^ np.uint64(0x77)) & np.uint64(127)
-        one = np.uint64(1) << (bit & np.uint64(63))
-        maps = [np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == side, one, np.uint64(0)), first) for side in (0, 1)]
-        pick = np.flatnonzero((place < np.repeat(prefix, size)) & np.repeat(fresh, size) & (rarity > 1))
+        maps = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(word ^ np.uint64(0x77)) & np.uint64(63)), first)
+        pick = np.flatnonzero((place < prefix[group]) & fresh[group] & (rarity > 1))
         if len(pick):
             g = group[pick]
             yield batch_of(
-                word[pick].view(np.int64), (size[g] << 32) | place[pick], maps[0][g].view(np.int64), maps[1][g].view(np.int64),
-                np.where(rarity[pick] > hot, whole[g].view(np.int64), 0), owner[g], number[g], rarity[pick] > hot,
+                word[pick].view(np.int64), (size[g] << 32) | place[pick], maps[g].view(np.int64),
+                whole[g].view(np.int64), owner[g], number[g], rarity[pick] > hot,
             )
 
-    def batch_of(token, sizes, map_a, map_b, whole, doc_id, number, hot):
+    def batch_of(token, sizes, maps, whole, doc_id, number, hot):
         return pa.RecordBatch.from_arrays(
-            [pa.array(token), pa.array(sizes), pa.array(map_a), pa.array(map_b), pa.array(whole),
+            [pa.array(token), pa.array(sizes), pa.array(maps), pa.array(whole),
              pa.array(np.asarray(doc_id, dtype=np.int64)), pa.array(np.asarray(number, dtype=np.int32)), pa.array(hot, pa.bool_())],
             names=[c.split()[0] for c in _ROWS.split(", ")],
         )
@@ -164,42 +151,58 @@ def _prefix_rows(counts: Broadcast, hot: int):
     return run
 
 
-_OFFERED = "doc_id long, line int, with_doc long, with_line int, more boolean"
+_OFFERED = "doc_id long, line int, with_doc long, with_line int, more boolean, same boolean"
 
 
 def _offers(keys: list[str], most: int | None):
-    """Earlier partners that the filters leave, at most `most` per row (then `more` is set)."""
+    """Earlier partners that the filters leave, at most `most` per row (then `more` is set).
+
+    A row with an equal earlier set offers nothing else (`same`).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cells in whole_cells(batches, keys):
+            shared = np.zeros(len(cells), dtype=bool)
+            shared[1:] = cells[1:] == cells[:-1]
+            shared[:-1] |= shared[1:]
+            if not shared.any():
+                continue
+            rows, cells = rows.filter(pa.array(shared)), cells[shared]
             doc, line = rows.column("doc_id").to_numpy(), rows.column("line").to_numpy()
             order = np.lexsort((line, doc, cells))
-            doc, line = doc[order], line[order]
-            sizes = rows.column("sizes").to_numpy()[order]
+            take = lambda name: rows.column(name).to_numpy()[order]
+            doc, line, sizes, maps, whole = doc[order], line[order], take("sizes"), take("map"), take("whole")
             size, place = sizes >> 32, sizes & 0xFFFFFFFF
-            map_a, map_b = (rows.column(c).to_numpy()[order].view(np.uint64) for c in ("map_a", "map_b"))
             crossed = part = asks = None
             if "cell_x" in keys:
-                part = rows.column("part").to_numpy()[order]
-                crossed = (rows.column("cell_x").to_numpy() != rows.column("cell_y").to_numpy())[order]
+                part, crossed = take("part"), take("cell_x") != take("cell_y")
             if "asks" in rows.column_names:
-                asks = rows.column("asks").to_numpy()[order]
+                asks = take("asks")
             given = np.zeros(len(doc), dtype=np.int64)
-            more = np.zeros(len(doc), dtype=bool)
-            out_a, out_b = [], []
+            more, done = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
+            out_a, out_b, out_same = [], [], []
             for i, j in cell_pairs(cells):  # i before j in order
-                ok = (doc[i] != doc[j]) | (line[i] != line[j])
                 a, b = size[i], size[j]
-                ok &= DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
-                bound = np.minimum(place[i], place[j]) + 1 + np.minimum(a - place[i], b - place[j]) - 1
-                apart = np.bitwise_count(map_a[i] ^ map_a[j]).astype(np.int64) + np.bitwise_count(map_b[i] ^ map_b[j])
+                apart = np.bitwise_count((maps[i] ^ maps[j]).view(np.uint64)).astype(np.int64)
+                bound = np.minimum(place[i], place[j]) + np.minimum(a - place[i], b - place[j])
                 bound = np.minimum(bound, (a + b - apart) // 2)
-                ok &= (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (a + b)
+                ok = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (a + b)
+                ok &= DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
+                ok &= (doc[i] != doc[j]) | (line[i] != line[j])
                 if crossed is not None:
                     ok &= ~crossed[i] | (part[i] != part[j])
                 if asks is not None:
                     ok &= asks[j]
                 i, j = i[ok], j[ok]
+                same = (whole[i] == whole[j]) & (maps[i] == maps[j]) & (size[i] == size[j])
+                new = np.unique(j[same])
+                new = new[~done[new]]
+                if len(new):
+                    out_a.append(new)
+                    out_b.append(new)
+                    out_same.append(np.ones(len(new), dtype=bool))
+                    done[new] = True
+                i, j = i[~done[j]], j[~done[j]]
                 if most is not None and len(j):
                     by = np.argsort(j, kind="stable")
                     i, j = i[by], j[by]
@@ -209,50 +212,76 @@ def _offers(keys: list[str], most: int | None):
                     i, j = i[at < most], j[at < most]
                 out_a.append(j)
                 out_b.append(i)
+                out_same.append(np.zeros(len(j), dtype=bool))
             if not out_a:
                 continue
-            j, i = np.concatenate(out_a), np.concatenate(out_b)
+            j, i, same = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_same)
+            left = same | ~done[j]
+            j, i, same = j[left], i[left], same[left]
             if len(j):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[j]), pa.array(line[j]), pa.array(doc[i]), pa.array(line[i]), pa.array(more[j])],
+                    [pa.array(doc[j]), pa.array(line[j]), pa.array(doc[i]), pa.array(line[i]), pa.array(more[j]), pa.array(same)],
                     names=[c.split()[0] for c in _OFFERED.split(", ")],
                 )
 
     return run
 
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word sets of the listed lines."""
+def _slot(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix64(doc.astype(np.int64).view(np.uint64) + mix64(line.astype(np.uint64))) & np.uint64((1 << _SLOT_BITS) - 1)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        wanted = batch.column("lines").to_pylist()
-        ids = batch.column("doc_id").to_pylist()
-        for start, end in text_slices(batch):
-            doc, line, word = line_sets(texts_of(batch, start, end))
-            out: list[tuple[int, int, np.ndarray]] = []
-            for k in range(end - start):
-                low, high = np.searchsorted(doc, [k, k + 1])
-                own, values = line[low:high], word[low:high].view(np.int64)
-                for n in wanted[start + k]:
-                    a, b = np.searchsorted(own, [n, n + 1])
-                    out.append((ids[start + k], n, values[a:b]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()),
-                 pa.array([o[2] for o in out], pa.list_(pa.int64()))],
-                ["doc_id", "line", "words"],
-            )
+        slot = np.unique(_slot(batch.column(0).to_numpy(), batch.column(1).to_numpy())).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(slot >> _BLOCK_BITS), pa.array(slot & ((1 << _BLOCK_BITS) - 1))], ["block", "slot"])
+
+
+def _wanted_sets(bits: Broadcast):
+    """Word sets of the lines whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = bits.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for start, end in text_slices(batch):
+                word, line, doc, number = line_words(texts_of(batch, start, end))
+                owner = ids[start:end][doc]
+                asked = wanted[_slot(owner, number)]
+                own = asked[line]
+                word, line = word[own], line[own]
+                order = np.lexsort((word, line))
+                word, line = word[order], line[order]
+                if not len(word):
+                    continue
+                new = np.append(True, (word[1:] != word[:-1]) | (line[1:] != line[:-1]))
+                word, line = word[new], line[new]
+                first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+                words = pa.ListArray.from_arrays(
+                    pa.array(np.append(first, len(word)).astype(np.int32)), pa.array(word.view(np.int64))
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owner[line[first]]), pa.array(number[line[first]].astype(np.int32)), words],
+                    ["doc_id", "line", "words"],
+                )
+
+    return run
 
 
 def _verified(docs: DataFrame, offers: DataFrame) -> DataFrame:
-    """Offers whose word sets reach the similarity: distinct (doc_id, line)."""
-    needed = (
-        offers.select("doc_id", "line").unionByName(offers.select(F.col("with_doc").alias("doc_id"), F.col("with_line").alias("line")))
-        .groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    """Offers whose word sets reach the similarity: (doc_id, line), distinct."""
+    needed = offers.select("doc_id", "line").unionByName(
+        offers.select(F.col("with_doc").alias("doc_id"), F.col("with_line").alias("line"))
     )
-    sets = stored(
-        docs.join(stored(needed, "needed-lines"), "doc_id").select("doc_id", "lines", "text")
-        .mapInArrow(_wanted_sets, "doc_id long, line int, words array<long>").dropDuplicates(["doc_id", "line"]),
-        "line-sets",
+    blocks = (
+        needed.mapInArrow(_slots, "block long, slot long")
+        .groupBy("block").agg(F.collect_set("slot").alias("slots")).toPandas()  # at most 2^24 slots
     )
+    bits = np.zeros(1 << _SLOT_BITS, dtype=bool)
+    for block, slots in zip(blocks.block, blocks.slots):
+        bits[(int(block) << _BLOCK_BITS) + np.asarray(slots, dtype=np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    sets = stored(docs.mapInArrow(_wanted_sets(shared), "doc_id long, line int, words array<long>"), "line-sets")
     other = sets.select(F.col("doc_id").alias("with_doc"), F.col("line").alias("with_line"), F.col("words").alias("with_words"))
     both = F.size(F.array_intersect("words", "with_words"))
     return (
@@ -269,10 +298,10 @@ def removed_lines(docs: DataFrame, hot: int = HOT, tile: int = TILE, offers: int
     counts = spark.sparkContext.broadcast(bucket_counts(docs))
     rows = stored(docs.mapInArrow(_prefix_rows(counts, hot), _ROWS), "prefix-rows")
     repeats = rows.where("hot is null").select("doc_id", "line")
-    columns = ["token", "sizes", "map_a", "map_b", "doc_id", "line"]
+    columns = ["token", "sizes", "map", "whole", "doc_id", "line"]
     few = rows.where("not hot").select(*columns)
-    # equal lines: the first stands for all of them (same size, hash and map of the set)
-    equal = ["token", "sizes", "map_a", "map_b", "whole"]
+    # equal lines: the first stands for all of them
+    equal = ["token", "sizes", "map", "whole"]
     many = stored(
         rows.where("hot").groupBy(*equal).agg(F.min(F.struct("doc_id", "line")).alias("m")).select(*equal, "m.*"),
         "hot-rows",
@@ -292,12 +321,14 @@ def removed_lines(docs: DataFrame, hot: int = HOT, tile: int = TILE, offers: int
 
     first = stored(
         offered(few, many.select(*columns), offers)
-        .groupBy("doc_id", "line", "with_doc", "with_line").agg(F.max("more").alias("more")),
+        .groupBy("doc_id", "line", "with_doc", "with_line").agg(F.max("more").alias("more"), F.max("same").alias("same")),
         "offers",
     )
-    gone = stored(_verified(docs, first).unionByName(repeats).distinct(), "removed")
+    sure = stored(first.where("same").select("doc_id", "line").unionByName(repeats).distinct(), "equal-lines")
+    doubt = stored(first.where("not same").join(sure, ["doc_id", "line"], "left_anti"), "doubtful")
+    gone = stored(_verified(docs, doubt).unionByName(sure).distinct(), "removed")
     open_ = stored(
-        first.where("more").select("doc_id", "line").distinct().join(gone, ["doc_id", "line"], "left_anti"), "open"
+        doubt.where("more").select("doc_id", "line").distinct().join(gone, ["doc_id", "line"], "left_anti"), "open"
     )
     if not open_.isEmpty():
         mark = open_.withColumn("asks", F.lit(True))
@@ -305,7 +336,7 @@ def removed_lines(docs: DataFrame, hot: int = HOT, tile: int = TILE, offers: int
             d.join(mark, ["doc_id", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
             for d in (few, many.select(*columns))
         ]
-        rest = stored(offered(*asked, None).drop("more").distinct(), "all-offers")
+        rest = stored(offered(*asked, None).drop("more", "same").distinct(), "all-offers")
         gone = gone.unionByName(_verified(docs, rest)).distinct()
     return gone
 
