@@ -15,8 +15,10 @@ How matches are found, none lost:
  - each other line offers its first surviving earlier partner per word, which are verified on the
    whole word sets; lines that had more partners and none verified offer all of them in a second
    round. The word sets come from another scan, of the lines in a fixed-size bit map only.
-Prefix words whose bucket counts stay within `HOT` have few rows by construction; the others are
-merged over equal lines first and then dealt into tiles, so no word makes a large task. Repeats
+Prefix rows are shuffled once and not stored. Words whose bucket counts stay within `HOT` have few
+rows by construction and meet by word; under the others equal lines meet and are merged first, and
+the rest is dealt into tiles, so no word makes a large task. Only the rows of cells with further
+partners are kept for the second round. Repeats
 of a line inside one task are removed there, which keeps a line repeated everywhere at one row a
 task.
 
@@ -28,6 +30,7 @@ an empty table gives an empty result; other columns are kept (`deduplicate`) or
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,10 @@ TILE = 500
 OFFERS = 1  # partners offered per line and word in the first round
 _BUCKETS = 1 << BUCKET_BITS
 
-_ROWS = "token long, sizes long, map long, whole long, doc_id long, line int, hot boolean"
+# kinds of rows, in the top bits of `cell`; the rest is a hash of what meets there
+REPEAT, COLD, HOT_ROW, LATER = 0, 1, 2, 3
+_KIND_BIT = 61
+_ROWS = "cell long, token long, sizes long, map long, whole long, doc_id long, line int"
 _SLOT_BITS, _BLOCK_BITS = 24, 15  # bit map of the lines to verify
 
 
@@ -86,7 +92,11 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
 
 def _prefix_rows(counts: Broadcast, hot: int):
-    """Prefix rows of lines; rows without `hot` are lines repeated in the same task."""
+    """Prefix rows of lines, and the lines repeated in the same task.
+
+    `cell` brings cold rows of a word together, and equal lines under a hot word (which keep
+    the word in `token`).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
@@ -128,107 +138,185 @@ def _prefix_rows(counts: Broadcast, hot: int):
         if gone_doc:
             n = len(gone_doc)
             zero = np.zeros(n, dtype=np.int64)
-            yield batch_of(zero, zero, zero, zero, np.array(gone_doc), np.array(gone_line), [None] * n)
+            gone_doc, gone_line = np.array(gone_doc, dtype=np.int64), np.array(gone_line, dtype=np.int64)
+            yield batch_of(REPEAT, _place(gone_doc, gone_line), [None] * n, zero, zero, zero, gone_doc, gone_line)
         group = np.repeat(np.arange(len(first)), size)
         place = np.arange(len(word)) - np.repeat(first, size)
         prefix = size - (NUMERATOR * size + DENOMINATOR - 1) // DENOMINATOR + 1
         maps = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(word ^ np.uint64(0x77)) & np.uint64(63)), first)
         pick = np.flatnonzero((place < prefix[group]) & fresh[group] & (rarity > 1))
-        if len(pick):
-            g = group[pick]
-            yield batch_of(
-                word[pick].view(np.int64), (size[g] << 32) | place[pick], maps[g].view(np.int64),
-                whole[g].view(np.int64), owner[g], number[g], rarity[pick] > hot,
-            )
-
-    def batch_of(token, sizes, maps, whole, doc_id, number, hot):
+        hot_word = rarity[pick] > hot
+        for kind, own in ((COLD, pick[~hot_word]), (HOT_ROW, pick[hot_word])):
+            if len(own):
+                g, token = group[own], word[own]
+                yield batch_of(
+                    kind, token if kind == COLD else mix64(token ^ whole[g]),
+                    [None] * len(own) if kind == COLD else token.view(np.int64), (size[g] << 32) | place[own],
+                    maps[g].view(np.int64), whole[g].view(np.int64), owner[g], number[g],
+                )
+
+    def batch_of(kind, key, token, sizes, map_, whole, doc_id, number):
+        cell = (key >> np.uint64(64 - _KIND_BIT)).view(np.int64) | (kind << _KIND_BIT)
         return pa.RecordBatch.from_arrays(
-            [pa.array(token), pa.array(sizes), pa.array(maps), pa.array(whole),
-             pa.array(np.asarray(doc_id, dtype=np.int64)), pa.array(np.asarray(number, dtype=np.int32)), pa.array(hot, pa.bool_())],
-            names=[c.split()[0] for c in _ROWS.split(", ")],
+            [pa.array(cell), pa.array(token, pa.int64()), pa.array(sizes), pa.array(map_), pa.array(whole),
+             pa.array(np.asarray(doc_id, dtype=np.int64)), pa.array(np.asarray(number, dtype=np.int32))],
+            names=_names(_ROWS),
         )
 
     return run
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 _OFFERED = "doc_id long, line int, with_doc long, with_line int, more boolean, same boolean"
 
 
-def _offers(keys: list[str], most: int | None):
-    """Earlier partners that the filters leave, at most `most` per row (then `more` is set).
+def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
+    """Earlier partners (j, i) inside cells that the filters leave, at most `most` per row j.
 
-    A row with an equal earlier set offers nothing else (`same`).
+    Returns (rows in order, cells, j, i, same, more); `more` marks rows that had further
+    partners. A row with an equal earlier set gets that partner only (`same`).
     """
+    shared = np.zeros(len(cells), dtype=bool)
+    shared[1:] = cells[1:] == cells[:-1]
+    shared[:-1] |= shared[1:]
+    if not shared.any():
+        return None
+    rows, cells = rows.filter(pa.array(shared)), cells[shared]
+    order = np.lexsort((rows.column("line").to_numpy(), rows.column("doc_id").to_numpy(), cells))
+    rows = rows.take(pa.array(order))
+    doc, line, sizes, maps, whole = (rows.column(n).to_numpy() for n in ("doc_id", "line", "sizes", "map", "whole"))
+    size, place = sizes >> 32, sizes & 0xFFFFFFFF
+    part = crossed = None
+    if "cell_x" in rows.column_names:
+        part = rows.column("part").to_numpy()
+        crossed = rows.column("cell_x").to_numpy() != rows.column("cell_y").to_numpy()
+    asks = rows.column("asks").to_numpy() if "asks" in rows.column_names else None
+    given = np.zeros(len(doc), dtype=np.int64)
+    more, done = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, j in cell_pairs(cells):  # i before j in order
+        a, b = size[i], size[j]
+        apart = np.bitwise_count((maps[i] ^ maps[j]).view(np.uint64)).astype(np.int64)
+        bound = np.minimum(place[i], place[j]) + np.minimum(a - place[i], b - place[j])
+        bound = np.minimum(bound, (a + b - apart) // 2)
+        ok = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (a + b)
+        ok &= DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
+        ok &= (doc[i] != doc[j]) | (line[i] != line[j])
+        if crossed is not None:
+            ok &= ~crossed[i] | (part[i] != part[j])
+        if asks is not None:
+            ok &= asks[j]
+        i, j = i[ok], j[ok]
+        same = (whole[i] == whole[j]) & (maps[i] == maps[j]) & (size[i] == size[j])
+        new, at = np.unique(j[same], return_index=True)
+        fresh = ~done[new]
+        new, by = new[fresh], i[same][at[fresh]]
+        found.append((new, by, np.ones(len(new), dtype=bool)))
+        done[new] = True
+        i, j = i[~done[j]], j[~done[j]]
+        if most is not None and len(j):
+            by = np.argsort(j, kind="stable")
+            i, j = i[by], j[by]
+            at = np.arange(len(j)) - np.searchsorted(j, j) + given[j]
+            given += np.bincount(j, minlength=len(given))
+            more[j[at >= most]] = True
+            i, j = i[at < most], j[at < most]
+        found.append((j, i, np.zeros(len(j), dtype=bool)))
+    j, i, same = (np.concatenate(x) for x in zip(*found))
+    left = same | ~done[j]
+    return rows, cells, j[left], i[left], same[left], more & ~done
+
+
+def _offer_columns(found) -> list[pa.Array]:
+    rows, _, j, i, same, more = found
+    doc, line = rows.column("doc_id").to_numpy(), rows.column("line").to_numpy()
+    return [pa.array(doc[j]), pa.array(line[j]), pa.array(doc[i]), pa.array(line[i]), pa.array(more[j]), pa.array(same)]
+
+
+def _offers(keys: list[str], most: int | None):
+    """Offers inside the cells of `keys`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cells in whole_cells(batches, keys):
-            shared = np.zeros(len(cells), dtype=bool)
-            shared[1:] = cells[1:] == cells[:-1]
-            shared[:-1] |= shared[1:]
-            if not shared.any():
-                continue
-            rows, cells = rows.filter(pa.array(shared)), cells[shared]
-            doc, line = rows.column("doc_id").to_numpy(), rows.column("line").to_numpy()
-            order = np.lexsort((line, doc, cells))
-            take = lambda name: rows.column(name).to_numpy()[order]
-            doc, line, sizes, maps, whole = doc[order], line[order], take("sizes"), take("map"), take("whole")
-            size, place = sizes >> 32, sizes & 0xFFFFFFFF
-            crossed = part = asks = None
-            if "cell_x" in keys:
-                part, crossed = take("part"), take("cell_x") != take("cell_y")
-            if "asks" in rows.column_names:
-                asks = take("asks")
-            given = np.zeros(len(doc), dtype=np.int64)
-            more, done = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
-            out_a, out_b, out_same = [], [], []
-            for i, j in cell_pairs(cells):  # i before j in order
-                a, b = size[i], size[j]
-                apart = np.bitwise_count((maps[i] ^ maps[j]).view(np.uint64)).astype(np.int64)
-                bound = np.minimum(place[i], place[j]) + np.minimum(a - place[i], b - place[j])
-                bound = np.minimum(bound, (a + b - apart) // 2)
-                ok = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (a + b)
-                ok &= DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
-                ok &= (doc[i] != doc[j]) | (line[i] != line[j])
-                if crossed is not None:
-                    ok &= ~crossed[i] | (part[i] != part[j])
-                if asks is not None:
-                    ok &= asks[j]
-                i, j = i[ok], j[ok]
-                same = (whole[i] == whole[j]) & (maps[i] == maps[j]) & (size[i] == size[j])
-                new = np.unique(j[same])
-                new = new[~done[new]]
-                if len(new):
-                    out_a.append(new)
-                    out_b.append(new)
-                    out_same.append(np.ones(len(new), dtype=bool))
-                    done[new] = True
-                i, j = i[~done[j]], j[~done[j]]
-                if most is not None and len(j):
-                    by = np.argsort(j, kind="stable")
-                    i, j = i[by], j[by]
-                    at = np.arange(len(j)) - np.searchsorted(j, j) + given[j]
-                    given += np.bincount(j, minlength=len(given))
-                    more[j[at >= most]] = True
-                    i, j = i[at < most], j[at < most]
-                out_a.append(j)
-                out_b.append(i)
-                out_same.append(np.zeros(len(j), dtype=bool))
-            if not out_a:
+            found = _partners(rows, cells, most)
+            if found is not None and len(found[2]):
+                yield pa.RecordBatch.from_arrays(_offer_columns(found), _names(_OFFERED))
+
+    return run
+
+
+_MET = f"kind int, {_OFFERED}, {_ROWS.partition(', doc_id')[0]}"
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Stretches of one kind of cell-sorted rows."""
+    for batch in batches:
+        kind = batch.column("cell").to_numpy() >> _KIND_BIT
+        cuts = [0, *(np.flatnonzero(kind[1:] != kind[:-1]) + 1).tolist(), len(kind)]
+        for low, high in zip(cuts, cuts[1:]):
+            if high > low:
+                yield int(kind[low]), batch.slice(low, high - low)
+
+
+def _meetings(most: int):
+    """Cell-sorted prefix rows to offers (COLD), the first of equal lines under each hot word
+    (HOT_ROW), lines equal to an earlier one (REPEAT), and the rows of cold cells that hold
+    further partners than were offered (LATER)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, group in groupby(_kinds(batches), key=lambda found: found[0]):
+            slices = (rows for _, rows in group)
+            if kind == REPEAT:
+                for rows in slices:
+                    yield out(REPEAT, rows)
                 continue
-            j, i, same = np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_same)
-            left = same | ~done[j]
-            j, i, same = j[left], i[left], same[left]
-            if len(j):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[j]), pa.array(line[j]), pa.array(doc[i]), pa.array(line[i]), pa.array(more[j]), pa.array(same)],
-                    names=[c.split()[0] for c in _OFFERED.split(", ")],
-                )
+            for rows, cells in whole_cells(slices, ["cell"]):
+                if kind == COLD:
+                    found = _partners(rows, cells, most)
+                    if found is None or not len(found[2]):
+                        continue
+                    n = len(found[2])
+                    none = [pa.nulls(n, pa.int64())] * (len(_names(_MET)) - 7)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, COLD, dtype=np.int32)), *_offer_columns(found), *none], _names(_MET)
+                    )
+                    own = np.isin(found[1], np.unique(found[1][found[5]]))
+                    if own.any():
+                        yield out(LATER, found[0].filter(pa.array(own)))
+                else:
+                    order = np.lexsort((rows.column("line").to_numpy(), rows.column("doc_id").to_numpy(), cells))
+                    rows, cells = rows.take(pa.array(order)), cells[order]
+                    first = np.append(True, cells[1:] != cells[:-1])
+                    doc, line = rows.column("doc_id").to_numpy(), rows.column("line").to_numpy()
+                    head = np.flatnonzero(first)[np.cumsum(first) - 1]
+                    again = ~first & ((doc != doc[head]) | (line != line[head]))
+                    yield out(HOT_ROW, rows.filter(pa.array(first)))
+                    if again.any():
+                        yield out(REPEAT, rows.filter(pa.array(again)))
+
+    def out(kind: int, rows: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
+        n = rows.num_rows
+        whole = lambda name: rows.column(name).combine_chunks() if isinstance(rows, pa.Table) else rows.column(name)
+        have = {"kind": pa.array(np.full(n, kind, dtype=np.int32)), "doc_id": whole("doc_id"), "line": whole("line")}
+        if kind != REPEAT:
+            have |= {name: whole(name) for name in ("cell", "token", "sizes", "map", "whole")}
+        kinds = {"int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64()}
+        return pa.RecordBatch.from_arrays(
+            [have.get(c.split()[0], pa.nulls(n, kinds[c.split()[1]])) for c in _MET.split(", ")], _names(_MET)
+        )
 
     return run
 
 
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix64(doc.astype(np.int64).view(np.uint64) + mix64(line.astype(np.uint64)))
+
+
 def _slot(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return mix64(doc.astype(np.int64).view(np.uint64) + mix64(line.astype(np.uint64))) & np.uint64((1 << _SLOT_BITS) - 1)
+    return _place(doc, line) & np.uint64((1 << _SLOT_BITS) - 1)
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,48 +384,49 @@ def removed_lines(docs: DataFrame, hot: int = HOT, tile: int = TILE, offers: int
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     counts = spark.sparkContext.broadcast(bucket_counts(docs))
-    rows = stored(docs.mapInArrow(_prefix_rows(counts, hot), _ROWS), "prefix-rows")
-    repeats = rows.where("hot is null").select("doc_id", "line")
-    columns = ["token", "sizes", "map", "whole", "doc_id", "line"]
-    few = rows.where("not hot").select(*columns)
-    # equal lines: the first stands for all of them
-    equal = ["token", "sizes", "map", "whole"]
-    many = stored(
-        rows.where("hot").groupBy(*equal).agg(F.min(F.struct("doc_id", "line")).alias("m")).select(*equal, "m.*"),
-        "hot-rows",
-    )
-    repeats = repeats.unionByName(
-        rows.where("hot")
-        .join(many.select(*equal, F.col("doc_id").alias("with_doc"), F.col("line").alias("with_line")), equal)
-        .where("doc_id <> with_doc or line <> with_line").select("doc_id", "line")
+    met = stored(
+        docs.mapInArrow(_prefix_rows(counts, hot), _ROWS).repartition("cell").sortWithinPartitions("cell")
+        .mapInArrow(_meetings(offers), _MET),
+        "meetings",
     )
-    cell = ["token", "cell_x", "cell_y"]
+    line, partner = ["doc_id", "line"], ["with_doc", "with_line"]
+    many = met.where(F.col("kind") == HOT_ROW).select("token", "sizes", "map", "whole", *line)
 
-    def offered(few: DataFrame, many: DataFrame, most: int | None) -> DataFrame:
-        cold = few.repartition("token").sortWithinPartitions("token").mapInArrow(_offers(["token"], most), _OFFERED)
+    def warm(many: DataFrame, most: int | None) -> DataFrame:
         many = many.withColumn("key", F.xxhash64("doc_id", "line", "sizes"))
-        warm = tiled(many, ["token"], "key", tile).mapInArrow(_offers(cell, most), _OFFERED)
-        return cold.unionByName(warm)
+        return tiled(many, ["token"], "key", tile).mapInArrow(_offers(["token", "cell_x", "cell_y"], most), _OFFERED)
 
+    # one row per line: a line has at most one partner per prefix word here
     first = stored(
-        offered(few, many.select(*columns), offers)
-        .groupBy("doc_id", "line", "with_doc", "with_line").agg(F.max("more").alias("more"), F.max("same").alias("same")),
+        met.where(F.col("kind") == COLD).select(*line, *partner, "more", "same")
+        .unionByName(warm(many, offers))
+        .unionByName(
+            met.where(F.col("kind") == REPEAT)
+            .select(*line, *[F.lit(None).cast(t).alias(c) for c, t in zip(partner, ("long", "int"))],
+                    F.lit(False).alias("more"), F.lit(True).alias("same"))
+        )
+        .groupBy(*line)
+        .agg(F.max("same").alias("same"), F.max("more").alias("more"),
+             F.collect_set(F.when(~F.col("same"), F.struct(*partner))).alias("partners")),
         "offers",
     )
-    sure = stored(first.where("same").select("doc_id", "line").unionByName(repeats).distinct(), "equal-lines")
-    doubt = stored(first.where("not same").join(sure, ["doc_id", "line"], "left_anti"), "doubtful")
-    gone = stored(_verified(docs, doubt).unionByName(sure).distinct(), "removed")
-    open_ = stored(
-        doubt.where("more").select("doc_id", "line").distinct().join(gone, ["doc_id", "line"], "left_anti"), "open"
-    )
+    sure = first.where("same").select(*line)
+    doubt = first.where("not same").select(*line, F.explode("partners").alias("p")).select(*line, "p.*")
+    verified = stored(_verified(docs, doubt), "verified")
+    gone = sure.unionByName(verified)
+    open_ = stored(first.where("not same and more").select(*line).join(verified, line, "left_anti"), "open")
     if not open_.isEmpty():
         mark = open_.withColumn("asks", F.lit(True))
-        asked = [
-            d.join(mark, ["doc_id", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-            for d in (few, many.select(*columns))
-        ]
-        rest = stored(offered(*asked, None).drop("more", "same").distinct(), "all-offers")
-        gone = gone.unionByName(_verified(docs, rest)).distinct()
+
+        def asked(rows: DataFrame, key: str) -> DataFrame:
+            """Rows of the words under which an open line has a row."""
+            marked = rows.join(mark, line, "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+            return marked.join(marked.where("asks").select(key).distinct(), key, "left_semi")
+
+        later = asked(met.where(F.col("kind") == LATER).select("cell", "sizes", "map", "whole", *line), "cell")
+        cold = later.repartition("cell").sortWithinPartitions("cell").mapInArrow(_offers(["cell"], None), _OFFERED)
+        rest = cold.unionByName(warm(asked(many, "token"), None)).select(*line, *partner)
+        gone = gone.unionByName(_verified(docs, stored(rest.distinct(), "all-offers"))).distinct()
     return gone
 
 
