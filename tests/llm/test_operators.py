@@ -297,8 +297,8 @@ def brute_lines(rows):
     return gone
 
 
-@pytest.mark.parametrize("hot,tile,offers", [(1000, 500, 3), (1, 4, 1)])
-def test_line_dedup_matches_brute_force(spark, hot, tile, offers):
+@pytest.mark.parametrize("hot,tile,offers,share", [(1000, 500, 3, 2.0**-14), (1, 4, 1, 2.0**-14), (3, 4, 1, 1.0)])
+def test_line_dedup_matches_brute_force(spark, hot, tile, offers, share):
     rng = np.random.default_rng(4)
     common, rows = [f"c{k}" for k in range(12)], []
     passages = [[f"p{n}x{k}" for k in range(20)] for n in range(6)]
@@ -316,7 +316,7 @@ def test_line_dedup_matches_brute_force(spark, hot, tile, offers):
     expected = brute_lines(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = collections.defaultdict(set)
-    for r in line_dedup.removed_lines(df, hot, tile, offers).collect():
+    for r in line_dedup.removed_lines(df, hot, tile, offers, share).collect():
         got[r.doc_id].add(r.line)
     assert {k: v for k, v in got.items()} == {k: v for k, v in expected.items() if v}
 

@@ -223,3 +223,18 @@ def test_new_sources(make_events):
     data = [{**view, "event_id": i, "timestamp": stamp(t * 86_400), "referrer_domain": d}
             for i, (t, d) in enumerate([(0, "old"), (8, "old"), (9, "new"), (10, "new")])]
     assert rows(insights.new_sources(make_events(data)), "referrer_domain", "pageviews") == [("new", 2)]
+
+
+def test_session_start_rows_have_their_own_ids(spark):
+    df = spark.sql("""
+        SELECT 'w' AS website_id, 'c' AS client_id, id AS event_id, 'page_view' AS event_type,
+               timestamp_seconds(n) AS timestamp FROM VALUES ('a', 0), ('b', 10), ('c', 9000) AS t(id, n)""")
+    starts = sessions.emit_session_starts(df)
+    assert starts.count() == 2 and starts.columns == df.columns
+    assert starts.unionByName(df).select("event_id").distinct().count() == 5
+
+
+def test_datalayer_quantity_of_any_size(spark):
+    entry = '{"event":"purchase","ecommerce":{"items":[{"item_id":"a","quantity":"99999999999999999999"},{"item_id":"b","quantity":2}]}}'
+    df = sessions.normalize_datalayer(spark.createDataFrame([(entry,)], "entry string"))
+    assert df.selectExpr("items.quantity AS q").first().q == [1, 2]

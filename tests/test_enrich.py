@@ -16,6 +16,8 @@ def evaluate(spark, value, expression):
     ("https://www.Google.com/a", "google.com"), ("not a url", ""), ("", ""), ("http://a.b:8080?x", "a.b"),
     ("https://u:p@shop.example.org/x", "shop.example.org"), ("https://www.www.de#t", "www.de"),
     ("android-app://com.x.y/", "com.x.y"), ("//a.b/c", ""), ("https://a.b/p?q=a b|c", "a.b"),
+    ("http://[::1]:80/x", "[::1]"), ("http://a.b:99999/", ""), ("http://a.b:x/", ""), ("http:a.b/c", "a.b"),
+    ("https://www." + "a" * 1200 + ".de", "a" * 1200 + ".de"),
 ])
 def test_referrer_domain(spark, referrer, domain):
     assert evaluate(spark, referrer, urls.referrer_domain) == domain
@@ -25,11 +27,19 @@ def test_referrer_domain(spark, referrer, domain):
     ("?utm_source=a%20b&utm_source=c", "a b"), ("utm_source=x+y", "x y"), ("?q=1&utm_source=%zz", "%zz"),
     ("?utm_source", ""), ("?utm_source&utm_source=b", ""), ("?my_utm_source=b", ""), ("", ""),
     ("?a=1&utm_source=%C3%A7", "ç"), ("?utm_source=", ""),
+    ("?utm_source=a%20b%zz", "a b%zz"), ("?utm%5Fsource=x", "x"), ("?utm%5fsource=x%", "x%"),
 ])
 def test_query_param(spark, query, value):
     assert evaluate(spark, query, lambda c: urls.query_param(c, "utm_source")) == value
 
 
+@pytest.mark.parametrize("ip, number", [
+    ("10.0.3.7", 167773063), ("255.255.255.255", 4294967295), ("10.0.300.7", None), ("10.0.3", None),
+])
+def test_ipv4_number(spark, ip, number):
+    assert evaluate(spark, ip, identity.ipv4_number) == number
+
+
 @pytest.mark.parametrize("domain, default, strict", [
     ("", "direct", "direct"), ("google.com", "search", "search"), ("mail.google.com", "search", "email"),
     ("netflix.com", "social", "referral"), ("x.com", "social", "social"), ("outlook.live.com", "email", "email"),

@@ -36,6 +36,13 @@ REASONS = {
     "[1": "invalid_body",
     "[1]": "missing_website_id",
     "[]": "missing_website_id",
+    "[1] x": "invalid_body",
+    "[1] [": "invalid_body",
+    "[1],2": "invalid_body",
+    '{"website_id":"s","event_type":"page_view"} xyz': "invalid_body",
+    '{"website_id":"s","event_type":"page_view"} {"a":1}': "invalid_body",
+    '{"website_id":"s","event_type":"page_view"},{"a":1}': "invalid_body",
+    '{"website_id":"s","event_type":"page_view"}] [': "invalid_body",
     "{}": "missing_website_id",
     '{"website_id":5,"event_type":"page_view"}': "missing_website_id",
     '{"website_id":" \\t ","event_type":"page_view"}': "missing_website_id",

@@ -26,7 +26,8 @@ def cookieless_id(website: Column, host: Column, ip: Column, user_agent: Column,
 def ipv4_number(ip: Column) -> Column:
     """Dotted IPv4 text as a number; NULL for anything else."""
     octets = F.split(ip, "[.]")
-    valid = ip.rlike(r"^(?:\d{1,3}[.]){3}\d{1,3}$")
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|0?\d?\d)"
+    valid = ip.rlike(rf"^(?:{octet}[.]){{3}}{octet}$")
     number = F.lit(0).cast("long")
     for i in range(4):
         number = number * 256 + octets[i].try_cast("long")

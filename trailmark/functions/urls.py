@@ -18,26 +18,40 @@ EMAIL_DOMAINS = ("mail.google.com", "outlook.live.com", "mail.yahoo.com")
 # Ad click ids with the source they stand for, in order of precedence.
 CLICK_SOURCES = {"gclid": "google", "fbclid": "facebook", "msclkid": "bing"}
 
-_HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@\s]*@)?([^/:?#\s]+)(?=[/:?#]|$)"
+_SCHEME = r"^(?:https?:/*|[a-z][a-z0-9+.-]*://)"
+_HOST = _SCHEME + r"(?:[^/?#@\s]*@)?(\[[0-9a-f:.]+\]|[^/:?#\s\[\]]+)(?::(\d*))?(?=[/?#]|$)"
 
 
 def referrer_domain(referrer: Column) -> Column:
     """Lower-case host without a leading `www.`; '' for a blank or malformed URL."""
-    host = F.regexp_extract(F.lower(F.trim(referrer)), _HOST, 1)
-    bare = F.when(host.startswith("www."), F.substring(host, 5, 1000)).otherwise(host)
-    return F.when(referrer.contains("://"), bare).otherwise(F.lit(""))
+    url = F.lower(F.trim(referrer))
+    host, port = F.regexp_extract(url, _HOST, 1), F.regexp_extract(url, _HOST, 2)
+    bare = F.when(host.startswith("www."), F.substr(host, F.lit(5))).otherwise(host)
+    port_fits = (port == "") | F.coalesce(port.try_cast("long") <= 65535, F.lit(False))
+    return F.when(referrer.contains(":") & port_fits, bare).otherwise(F.lit(""))
+
+
+def _encodable(name: str) -> str:
+    """Pattern of a parameter name of which any character may be percent-encoded."""
+    def code(c: str) -> str:
+        return "%" + "".join(f"[{d}{d.upper()}]" if d.isalpha() else d for d in f"{ord(c):02x}")
+
+    return "".join(f"(?:{c}|{code(c)})" for c in name)
 
 
 def query_param(query: Column, name: str, length: int = 500) -> Column:
     """First value of a query parameter, URL-decoded; '' when absent.
 
-    A value that is not valid percent-encoding is kept as written.
+    The name may be encoded too. What is not valid percent-encoding is kept as written.
     """
-    raw = F.regexp_extract(query, rf"(?:^[?]{{0,2}}|&){name}(?:=([^&]*))?(?=&|$)", 1)
+    pattern = rf"(?:^[?]{{0,2}}|&){_encodable(name)}(?:=([^&]*))?(?=&|$)"
+    raw = F.regexp_extract(query, pattern, 1)
     plain = F.translate(raw, "+", " ")
     encoded = raw.contains("%") | raw.contains("+")
-    decoded = F.when(encoded, F.coalesce(F.try_url_decode(raw), plain)).otherwise(raw)
-    return F.when(query.contains(name), F.left(decoded, F.lit(length))).otherwise(F.lit(""))
+    valid = F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25")
+    decoded = F.when(encoded, F.coalesce(F.try_url_decode(valid), plain)).otherwise(raw)
+    named = query.contains(name) | query.contains("%")
+    return F.when(named, F.left(decoded, F.lit(length))).otherwise(F.lit(""))
 
 
 def _mentions(domain: Column, names: tuple[str, ...]) -> Column:

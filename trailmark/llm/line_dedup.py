@@ -15,9 +15,10 @@ How matches are found, none lost:
  - each other line offers its first surviving earlier partner per word, which are verified on the
    whole word sets; lines that had more partners and none verified offer all of them in a second
    round. The word sets come from another scan, of the lines in a fixed-size bit map only.
-Prefix rows are shuffled once and not stored. Words whose bucket counts stay within `HOT` have few
-rows by construction and meet by word; under the others equal lines meet and are merged first, and
-the rest is dealt into tiles, so no word makes a large task. Only the rows of cells with further
+Prefix rows are shuffled once and not stored. Words whose bucket holds at most `SHARE` of all words
+meet by word in one partition, and leave it unpaired when they have more than `HOT` rows; under the
+others equal lines meet and are merged. The rows of both kinds of frequent words are dealt into tiles,
+so no word makes a large task or is held in memory whole. Only the rows of cells with further
 partners are kept for the second round. Repeats
 of a line inside one task are removed there, which keeps a line repeated everywhere at one row a
 task.
@@ -45,6 +46,7 @@ from trailmark.llm.common import (
 NUMERATOR, DENOMINATOR = 4, 5  # Jaccard similarity
 BUCKET_BITS = 17
 HOT = 1000
+SHARE = 2.0**-14
 TILE = 500
 OFFERS = 1  # partners offered per line and word in the first round
 _BUCKETS = 1 << BUCKET_BITS
@@ -261,10 +263,33 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBa
                 yield int(kind[low]), batch.slice(low, high - low)
 
 
-def _meetings(most: int):
+def _bounded(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[bool, pa.Table, np.ndarray]]:
+    """Cell-sorted rows as (False, rows of whole cells, cells), but cells of more than `limit` rows
+    in pieces, as (True, rows, cells): no more than `limit` rows and a batch are held."""
+    rest, large = None, None  # rows of the last cell so far; that cell if already passed on in part
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+        cells = rows.column("cell").to_numpy()
+        last = int(np.searchsorted(cells, cells[-1]))
+        _, of, size = np.unique(cells, return_inverse=True, return_counts=True)
+        over = (size > limit)[of] | (cells == large if large is not None else False)
+        if over.any():
+            yield True, rows.filter(pa.array(over)), cells[over]
+        ready = ~over
+        ready[last:] = False
+        if ready.any():
+            yield False, rows.filter(pa.array(ready)), cells[ready]
+        large = cells[-1] if over[-1] else None
+        rest = None if over[-1] else rows.slice(last)
+    if rest is not None and rest.num_rows:
+        yield False, rest, rest.column("cell").to_numpy()
+
+
+def _meetings(most: int, limit: int):
     """Cell-sorted prefix rows to offers (COLD), the first of equal lines under each hot word
     (HOT_ROW), lines equal to an earlier one (REPEAT), and the rows of cold cells that hold
-    further partners than were offered (LATER)."""
+    further partners than were offered (LATER). A cold cell of more than `limit` rows turns hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, group in groupby(_kinds(batches), key=lambda found: found[0]):
@@ -273,8 +298,8 @@ def _meetings(most: int):
                 for rows in slices:
                     yield out(REPEAT, rows)
                 continue
-            for rows, cells in whole_cells(slices, ["cell"]):
-                if kind == COLD:
+            for large, rows, cells in _bounded(slices, limit):
+                if kind == COLD and not large:
                     found = _partners(rows, cells, most)
                     if found is None or not len(found[2]):
                         continue
@@ -287,12 +312,16 @@ def _meetings(most: int):
                     if own.any():
                         yield out(LATER, found[0].filter(pa.array(own)))
                 else:
-                    order = np.lexsort((rows.column("line").to_numpy(), rows.column("doc_id").to_numpy(), cells))
-                    rows, cells = rows.take(pa.array(order)), cells[order]
-                    first = np.append(True, cells[1:] != cells[:-1])
+                    whole = rows.column("whole").to_numpy()
+                    order = np.lexsort((rows.column("line").to_numpy(), rows.column("doc_id").to_numpy(), whole, cells))
+                    rows, cells, whole = rows.take(pa.array(order)), cells[order], whole[order]
+                    first = np.append(True, (cells[1:] != cells[:-1]) | (whole[1:] != whole[:-1]))
                     doc, line = rows.column("doc_id").to_numpy(), rows.column("line").to_numpy()
                     head = np.flatnonzero(first)[np.cumsum(first) - 1]
                     again = ~first & ((doc != doc[head]) | (line != line[head]))
+                    if kind == COLD:  # the cell stands for its word
+                        at = rows.schema.get_field_index("token")
+                        rows = rows.set_column(at, "token", rows.column("cell"))
                     yield out(HOT_ROW, rows.filter(pa.array(first)))
                     if again.any():
                         yield out(REPEAT, rows.filter(pa.array(again)))
@@ -379,14 +408,21 @@ def _verified(docs: DataFrame, offers: DataFrame) -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame, hot: int = HOT, tile: int = TILE, offers: int = OFFERS) -> DataFrame:
-    """Distinct (doc_id, line) of the lines to remove; line numbers start at 0."""
+def removed_lines(
+    docs: DataFrame, hot: int = HOT, tile: int = TILE, offers: int = OFFERS, share: float = SHARE
+) -> DataFrame:
+    """Distinct (doc_id, line) of the lines to remove; line numbers start at 0.
+
+    Words of more than `hot` rows are dealt into tiles; those that may make up more than `share`
+    of all words never meet in one partition before that.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    counts = spark.sparkContext.broadcast(bucket_counts(docs))
+    found = bucket_counts(docs)
+    counts, spread = spark.sparkContext.broadcast(found), max(hot, int(found.sum() * share))
     met = stored(
-        docs.mapInArrow(_prefix_rows(counts, hot), _ROWS).repartition("cell").sortWithinPartitions("cell")
-        .mapInArrow(_meetings(offers), _MET),
+        docs.mapInArrow(_prefix_rows(counts, spread), _ROWS).repartition("cell").sortWithinPartitions("cell")
+        .mapInArrow(_meetings(offers, hot), _MET),
         "meetings",
     )
     line, partner = ["doc_id", "line"], ["with_doc", "with_line"]

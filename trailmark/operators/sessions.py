@@ -110,10 +110,12 @@ def sessionize(
 def emit_session_starts(events: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """`session_start` rows for sessions that a page view opens.
 
-    Returns the new rows only; union them with the events to store them.
+    Returns the new rows only, with event ids of their own that are made from those of the
+    page views; union them with the events to store them.
     """
     first = sessionize(events, gap_seconds, mark_first=True).filter(F.col("is_session_start") & _is_view())
-    return first.withColumn("event_type", F.lit("session_start")).select(*events.columns)
+    own_id = F.sha2(F.concat(F.lit("session_start|"), "event_id"), 256)
+    return first.withColumns({"event_type": F.lit("session_start"), "event_id": own_id}).select(*events.columns)
 
 
 _LANDING = ("url_path", "url_query", "referrer")
@@ -266,7 +268,7 @@ def normalize_datalayer(entries: DataFrame, column: str = "entry") -> DataFrame:
             elif kind.typeName() == "double":
                 value = F.coalesce(text.float_prefix(raw), F.lit(0.0))
             else:
-                value = text.int_prefix(raw).cast("long")
+                value = text.int_prefix(raw).try_cast("long")
             if name == "quantity":
                 value = F.when(value != 0, value).otherwise(F.lit(1).cast("long"))
             fields.append(value.alias(name))

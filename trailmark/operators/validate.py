@@ -30,6 +30,7 @@ _TEXT_FIELDS = (
 )
 _REQUIRED_FIELDS = ("website_id", "event_type")
 _CORRUPT = "_corrupt_record"
+_MARK = "_end_of_body"
 _STRICT_JSON = {
     "allowSingleQuotes": "false",
     "allowNonNumericNumbers": "false",
@@ -41,12 +42,18 @@ def parse_body(payloads: DataFrame, fields: tuple[str, ...] = _TYPED_FIELDS + _T
     """Add `doc`, a struct of the wanted body fields.
 
     The struct comes out of a generator, which Catalyst does not fold into the many
-    expressions that read it: each body is parsed once per row.
+    expressions that read it: each body is parsed once per row. The body is read as the first
+    of two array elements, the second being a mark made from the body itself, so text behind
+    the object makes it unreadable (`doc` is NULL).
     """
     columns = [f"{n}: {'VARIANT' if n in _TYPED_FIELDS else 'STRING'}" for n in fields]
-    layout = f"struct<{', '.join(columns)}, {_CORRUPT}: STRING>"
-    parsed = F.from_json("body", layout, _STRICT_JSON)
-    return payloads.select("*", F.explode(F.array(parsed)).alias("doc"))
+    layout = f"array<struct<{', '.join(columns)}, {_CORRUPT}: STRING, {_MARK}: STRING>>"
+    mark = F.sha2("body", 256)
+    marked = F.concat(F.lit("["), F.col("body"), F.lit(f',{{"{_MARK}":"'), mark, F.lit('"}]'))
+    parsed = F.from_json(marked, layout, _STRICT_JSON)
+    read = payloads.select("*", F.explode(F.array(parsed)).alias("_read"))
+    whole = (F.size("_read") == 2) & (F.try_element_at("_read", F.lit(2))[_MARK] == mark)
+    return read.withColumn("doc", F.when(whole, F.try_element_at("_read", F.lit(1)))).drop("_read")
 
 
 def _missing(field: Column) -> Column:
@@ -62,7 +69,10 @@ def reject_reason(body: Column, doc: Column) -> Column:
     An array is an object without fields.
     """
     is_object = body.rlike(r"^\s*[{]") & doc.isNotNull() & doc[_CORRUPT].isNull()
-    is_array = body.rlike(r"^\s*[\[]") & F.try_parse_json(body).isNotNull()
+    mark = F.sha2(body, 256)
+    marked = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), mark, F.lit('"]')))
+    whole = (F.try_variant_get(marked, "$[1]", "string") == mark) & F.try_variant_get(marked, "$[2]", "variant").isNull()
+    is_array = body.rlike(r"^\s*[\[]") & whole
     event_type = F.try_variant_get(doc["event_type"], "$", "string")
     return (
         F.when(F.coalesce(is_array, F.lit(False)), MISSING_WEBSITE)

@@ -472,7 +472,7 @@ _SESSIONIZED = f"SELECT event_id, website_id, client_id, session_no, {_time('ses
 _web("sessionize", f"{_sessions()} {_SESSIONIZED}")
 _web("sessionize_midnight", f"{_sessions(f'OR {DAY} <> CAST(lag(ts) OVER ({_W}) AS DATE)')} {_SESSIONIZED}")
 _web("sessionize_12h", f"{_sessions(gap='12 HOUR')} {_SESSIONIZED}")
-_web("session_starts", f"""{_sessions()} SELECT event_id, website_id, client_id, 'session_start' AS event_type,
+_web("session_starts", f"""{_sessions()} SELECT sha256('session_start|' || event_id) AS event_id, website_id, client_id, 'session_start' AS event_type,
   {_time('ts')} AS timestamp FROM s3 WHERE opens = 1 AND {VIEW}""")
 _FIRST = "OVER (PARTITION BY website_id, client_id, session_id ORDER BY ts, event_id)"
 _web("session_attribution", f"""+ f AS (SELECT *, first_value(url_query) {_FIRST} AS fq,
