@@ -105,6 +105,15 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
+def phrase_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each position on; the last k - 1 positions have none."""
+    n = max(0, len(words) - k + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        out = mix64(out * _ODD + words[j : j + n])
+    return out
+
+
 # ---- pairs inside cells ---------------------------------------------------------------
 
 def whole_cells(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
