@@ -34,7 +34,7 @@ def test_query_param(spark, query, value):
 
 
 @pytest.mark.parametrize("ip, number", [
-    ("10.0.3.7", 167773063), ("255.255.255.255", 4294967295), ("10.0.300.7", None), ("10.0.3", None),
+    ("10.0.3.7", 167772935), ("255.255.255.255", 4294967295), ("10.0.300.7", None), ("10.0.3", None),
 ])
 def test_ipv4_number(spark, ip, number):
     assert evaluate(spark, ip, identity.ipv4_number) == number

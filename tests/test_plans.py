@@ -60,7 +60,7 @@ def test_geo_join_is_an_equi_join(spark):
 
 def test_each_body_is_parsed_once(spark):
     good, _ = validate.split_good_bad(samples.payloads(spark, SAMPLE))
-    assert plan(validate.parse_events(good)).count("from_json(StructField(website_id") == 1
+    assert plan(validate.parse_events(good)).count("from_json(") == 1
 
 
 def test_windows_never_run_over_the_rows_of_a_visitor(events):

@@ -28,24 +28,6 @@ def apply_retention(df: DataFrame, table: str, as_of: datetime) -> DataFrame:
     return kept
 
 
-def _folders(spark: SparkSession, path: str, column: str = "event_month") -> dict[str, object]:
-    """Partition value -> folder; a listing of folders, not of data."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folders = {}
-    for status in fs.listStatus(root) if fs.exists(root) else ():
-        name = status.getPath().getName()
-        if name.startswith(f"{column}="):
-            folders[name.split("=", 1)[1]] = status.getPath()
-    return folders
-
-
-def _delete(spark: SparkSession, folder) -> None:
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(folder, True)
-
-
 def rewrite_months(
     spark: SparkSession,
     path: str,
@@ -62,21 +44,21 @@ def rewrite_months(
     if not months:
         return
     new = change(spark.read.parquet(path).filter(F.col("event_month").isin(*months)))
-    below = [c for c in ("batch_id",) if c in new.columns]
-    for column in below:
-        new = new.withColumn(column, F.lit(-1).cast("long"))
+    below = [c for c in ("event_date", "batch_id") if c in new.columns]
+    if "batch_id" in below:
+        new = new.withColumn("batch_id", F.lit(-1).cast("long"))
     order = ["event_month", *tables.SORT[table]]
     staged = work_dir(spark, table)
     new.hint("rebalance", F.col("event_month")).sortWithinPartitions(*order).write.partitionBy(
         "event_month", *below
     ).parquet(staged)
-    written, current = _folders(spark, staged), _folders(spark, path)
+    written, current = tables.folders(spark, staged, "event_month"), tables.folders(spark, path, "event_month")
     for month in months:
         if month in written:
             rows = spark.read.parquet(f"{staged}/event_month={month}")
             rows.write.mode("overwrite").partitionBy(*below).parquet(f"{path}/event_month={month}")
         elif month in current:
-            _delete(spark, current[month])
+            tables.delete(spark, current[month].toString())
 
 
 def expire_table(spark: SparkSession, path: str, table: str, as_of: datetime) -> None:
@@ -84,10 +66,10 @@ def expire_table(spark: SparkSession, path: str, table: str, as_of: datetime) ->
     row = spark.range(1).select(
         F.date_format(F.lit(as_of) - F.expr(f"INTERVAL {TTL[table]}"), "yyyyMM").alias("m")
     ).first()
-    folders = _folders(spark, path)
+    folders = tables.folders(spark, path, "event_month")
     for month, folder in folders.items():
         if month < row["m"]:
-            _delete(spark, folder)
+            tables.delete(spark, folder.toString())
     if row["m"] in folders:
         rewrite_months(spark, path, table, [row["m"]], lambda df: apply_retention(df, table, as_of))
 
@@ -125,9 +107,9 @@ def erase_from_table(
         kept = spark.read.parquet(path).filter(F.col("event_month").cast("string").isin(*months))
         for name, build in rollups.items():
             target = f"{rollup_path}/{name}"
-            for day, folder in _folders(spark, target, "date").items():
+            for day, folder in tables.folders(spark, target, "date").items():
                 if day[:7].replace("-", "") in months:
-                    _delete(spark, folder)
+                    tables.delete(spark, folder.toString())
             tables.write_rollup(build(kept), target)
     return months
 

@@ -7,7 +7,8 @@ first pass per visitor; both spread a dominant website over all its visitors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +76,6 @@ def revenue_daily(events: DataFrame) -> DataFrame:
 
     `items_sold` counts item lines; `units_sold` adds up their quantities.
     """
-    units = F.aggregate("items.quantity", F.lit(0).cast("long"), lambda acc, q: acc + q)
     return (
         events.filter(_is("purchase") & (F.col("value") > 0))
         .groupBy(_date(), "website_id", "currency")
@@ -85,7 +85,7 @@ def revenue_daily(events: DataFrame) -> DataFrame:
             F.sum("tax").alias("tax_total"),
             F.sum("shipping").alias("shipping_total"),
             F.sum(F.size("items.item_id")).alias("items_sold"),
-            F.sum(units).alias("units_sold"),
+            _units().alias("units_sold"),
             F.count_distinct("client_id").alias("buyers"),
         )
     )
@@ -225,6 +225,79 @@ def sketch_estimate(sketches: DataFrame, name: str = "visitors") -> DataFrame:
     return sketches.withColumn(name, F.hll_sketch_estimate("sketch")).drop("sketch")
 
 
+class Spec(NamedTuple):
+    """A rollup taken apart: what adds up, and what is a distinct count of which column."""
+
+    keys: tuple[str, ...]
+    rows: Callable[[], Column]
+    sums: Mapping[str, Callable[[], Column]]
+    distinct: Mapping[str, Callable[[], Column]]
+    labels: tuple[str, ...] = ()
+
+
+def _sum(name: str) -> Callable[[], Column]:
+    return lambda: F.sum(name)
+
+
+def _client() -> Column:
+    return F.col("client_id")
+
+
+def _client_if(*event_types: str) -> Callable[[], Column]:
+    return lambda: F.when(F.col("event_type").isin(*event_types), F.col("client_id"))
+
+
+def _view_spec(*keys: str, counted: bool = True) -> Spec:
+    sums = {"pageviews": lambda: F.count("*")} if counted else {}
+    return Spec(keys, lambda: _is("page_view"), sums, {"visitors": _client})
+
+
+def _units() -> Column:
+    return F.sum(F.aggregate("items.quantity", F.lit(0).cast("long"), lambda acc, q: acc + q))
+
+
+_SHOP_KINDS = ("view_item", "add_to_cart", *CHECKOUT_EVENTS, "purchase")
+SPECS = {
+    "daily_stats": Spec(
+        (), lambda: F.lit(True),
+        {"pageviews": lambda: F.count_if(_is("page_view")), "bounces": lambda: F.sum(F.lit(0).cast("long"))},
+        {"visitors": _client, "sessions": lambda: F.col("session_id")}),
+    "page_stats": _view_spec("url_path"),
+    "referrer_stats": _view_spec("referrer_domain", "utm_source", "utm_medium"),
+    "device_stats": _view_spec("browser", "os", "device_type", counted=False),
+    "country_stats": _view_spec("country"),
+    "revenue_daily": Spec(
+        ("currency",), lambda: _is("purchase") & (F.col("value") > 0),
+        {"transactions": lambda: F.count("*"), "revenue": _sum("value"), "tax_total": _sum("tax"),
+         "shipping_total": _sum("shipping"), "items_sold": lambda: F.sum(F.size("items.item_id")), "units_sold": _units},
+        {"buyers": _client}),
+    "product_stats": Spec(
+        ("item_id",), lambda: F.lit(True),
+        {n: _sum(n) for n in ("views", "adds_to_cart", "purchases", "revenue", "quantity_sold")}, {},
+        ("item_name", "item_brand", "item_category")),
+    "custom_event_stats": Spec(
+        ("event_name", "event_category"), lambda: _is("custom") & (F.col("event_name") != ""),
+        {"event_count": lambda: F.count("*"), "total_value": _sum("event_value")}, {"unique_users": _client}),
+    "ecommerce_funnel": Spec(
+        (), lambda: F.col("event_type").isin(*_SHOP_KINDS), {},
+        {"view_item_users": _client_if("view_item"), "add_to_cart_users": _client_if("add_to_cart"),
+         "checkout_users": _client_if(*CHECKOUT_EVENTS), "purchase_users": _client_if("purchase")}),
+}
+
+
+def countable(column: Column | str) -> Column:
+    """A text as sketches count it: they pass over the empty one, so each gets a mark."""
+    return F.concat(F.lit("="), column)
+
+
+def sketch_part(events: DataFrame, spec: Spec, lg_k: int = 12) -> DataFrame:
+    """Sums of a rollup and a mergeable sketch for each of its distinct counts."""
+    return events.filter(spec.rows()).groupBy(_date(), "website_id", *spec.keys).agg(
+        *[make().alias(name) for name, make in spec.sums.items()],
+        *[F.hll_sketch_agg(countable(make()), F.lit(lg_k)).alias(name) for name, make in spec.distinct.items()],
+    )
+
+
 ROLLUPS = {
     "daily_stats": daily_stats,
     "page_stats": page_stats,

@@ -185,10 +185,11 @@ def event_id() -> Column:
     return F.sha2(F.concat_ws("|", "body", "ip_hash", second), 256)
 
 
-def parse_events(good: DataFrame) -> DataFrame:
+def parse_events(good: DataFrame, *keep: str) -> DataFrame:
     """Typed event columns of validated rows (see `validate`), before enrichment.
 
-    Request columns (`body, ip, ip_hash, user_agent, ingest_time`) stay for later steps.
+    Request columns (`body, ip, ip_hash, user_agent, ingest_time`) and those named in `keep`
+    stay for later steps.
     """
     doc = F.col("doc")
     columns = [
@@ -205,17 +206,26 @@ def parse_events(good: DataFrame) -> DataFrame:
         parse_properties(doc["properties"]).alias("properties"),
     ]
     return with_ip_hash(good).select(
-        "body", "ip", "ip_hash", "user_agent", "ingest_time", *columns
+        "body", "ip", "ip_hash", "user_agent", "ingest_time", *keep, *columns
     )
 
 
+def sent_website() -> Column:
+    """The website a body names, unclipped; empty without one."""
+    return F.coalesce(F.try_variant_get("doc.website_id", "$", "string"), F.lit(""))
+
+
 def to_bad(rejected: DataFrame) -> DataFrame:
-    """Dead-letter rows of rejected payloads (see `validate`)."""
+    """Dead-letter rows of rejected payloads (see `validate`).
+
+    They bring `doc`, or `sent_website` when it was read from it before.
+    """
+    site = F.col("sent_website") if "sent_website" in rejected.columns else sent_website()
     body = F.col("body")
     blank = body.isNull() | body.rlike(r'^\s*(?:null|false|-?0(?:[.]0+)?|"")?\s*$')
     return with_ip_hash(rejected).select(
         F.date_trunc("second", "ingest_time").alias("timestamp"),
-        F.coalesce(F.try_variant_get("doc.website_id", "$", "string"), F.lit("")).alias("website_id"),
+        site.alias("website_id"),
         F.when(blank, F.lit("{}")).otherwise(body).alias("payload"),
         F.col("reason"),
         "ip_hash",

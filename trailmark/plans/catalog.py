@@ -5,6 +5,7 @@ Results leave with portable types: times as text, money and ratios rounded, list
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -15,9 +16,10 @@ from trailmark.functions import identity, urls
 from trailmark.operators import enrich, insights, lifecycle, panels, reports, rollups, sessions, validate
 from trailmark.plans.ingest import ingest
 from trailmark.session import work_dir
+from trailmark.sources import payloads as payload_source
 from trailmark.sources import samples, tables
 from trailmark.streaming import ingest as stream_ingest
-from trailmark.streaming import attribution, windows
+from trailmark.streaming import attribution, parts, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,9 +166,11 @@ _payloads("parse_items", lambda pay: _good(pay).select(
 _payloads("parse_properties", lambda pay: _good(pay).select(
     "event_id", F.explode("properties").alias("key", "value")))
 _payloads("ingest_raw", lambda pay: ingest(pay).raw)
-_payloads("ingest_events", lambda pay: ingest(pay).events.select(
+_EVENT_DIGEST = (
     "event_id", "timestamp", "website_id", "event_type", "referrer_domain", "utm_source",
-    "utm_medium", "utm_campaign", "browser", "browser_version", "os", "device_type", "country"))
+    "utm_medium", "utm_campaign", "browser", "browser_version", "os", "device_type", "country")
+_FOLDERS = ("event_month", "batch_id")
+_payloads("ingest_events", lambda pay: ingest(pay).events.select(*_EVENT_DIGEST))
 
 
 def _replayed(pay: DataFrame) -> DataFrame:
@@ -355,6 +359,30 @@ _add("erase_clients", _erased)
 # --- streams (run to the end of the stored input) ---------------------------
 
 
+_KEYS = {name: ("date", "website_id", *spec.keys) for name, spec in rollups.SPECS.items()}
+
+
+def _stream_rollups(mode: str, late_policy: str = "recompute") -> Query:
+    """All nine rollups kept by a stream of three batches, as (rollup, key, measure, value)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = work_dir(spark, f"stream-{mode}")
+        stream_ingest.stream_rollups(
+            samples.stream_web_batches(spark, sf_dir, f"{out}/source"), f"{out}/events", f"{out}/rollups",
+            f"{out}/checkpoint", trigger=None, mode=mode, late_policy=late_policy).awaitTermination()
+        found = []
+        for name, spec in rollups.SPECS.items():
+            rows = stream_ingest.read_rollup(spark, f"{out}/rollups", name, mode)
+            key = F.concat_ws("|", *[F.col(k).cast("string") for k in _KEYS[name]])
+            measures = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+                        for m in (*spec.sums, *spec.distinct)]
+            found.append(rows.select(F.lit(name).alias("rollup"), key.alias("key"), F.explode(F.array(*measures)).alias("m"))
+                         .select("rollup", "key", "m.*"))
+        return functools.reduce(DataFrame.unionByName, found)
+
+    return run
+
+
 def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "stream-daily")
     used = ("event_id", "timestamp", "event_type", "website_id", "client_id", "session_id")
@@ -366,6 +394,56 @@ def _stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date", "website_id", "pageviews", "visitors", "sessions", "bounces")
 
 
+def _stream_part(name: str, part: parts.Part, late_policy: str = "recompute") -> Query:
+    """A result kept as parts by a stream of three batches."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = work_dir(spark, name)
+        stream = samples.stream_web_batches(spark, sf_dir, f"{out}/source").withColumn("ip_hash", F.col("client_id"))
+        used = ("event_id", "timestamp", "event_type", "website_id", "client_id", "session_id", "ip_hash",
+                "url_path", "url_query", "referrer", "referrer_domain", "utm_source", "utm_medium", "utm_campaign")
+        parts.run_parts(stream.select(*used), {"result": part}, out, f"{out}/checkpoint",
+                        late_policy=late_policy).awaitTermination()
+        return parts.read_result(spark, f"{out}/result", part)
+
+    return run
+
+
+def _stream_updates(name: str, build: Callable[[DataFrame], DataFrame], keys: tuple[str, ...]) -> Query:
+    """An aggregation in update mode, its newest row per key."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = work_dir(spark, name)
+        stream = samples.stream_web_events(spark, sf_dir)
+        parts.run_updates(build(stream), keys, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+        return parts.read_result(spark, f"{out}/rows", parts.upserts(keys))
+
+    return run
+
+
+def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = work_dir(spark, "stream-late")
+    stream = samples.stream_web_batches(spark, sf_dir, f"{out}/source").select(
+        "event_id", "timestamp", "event_type", "website_id")
+    parts.run_parts(stream, {"result": parts.daily_windows()}, out, f"{out}/checkpoint",
+                    late_policy="side").awaitTermination()
+    return parts.read_late(spark, out).select("event_id", "timestamp")
+
+
+def _stream_ingest(table: str) -> Query:
+    """The whole collector: stored payload lines, streamed, as one of its three tables."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = work_dir(spark, f"stream-ingest-{table}")
+        payload_source.write_payloads(samples.payloads(spark, sf_dir), f"{out}/lines")
+        stream = payload_source.stream_payloads(spark, f"{out}/lines", max_files_per_trigger=4)
+        stream_ingest.run_ingest(stream, f"{out}/tables", f"{out}/checkpoint", trigger=None,
+                                 rollups={}).awaitTermination()
+        return spark.read.parquet(f"{out}/tables/{table}")
+
+    return run
+
+
 def _stream_to_table(name: str, build: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = work_dir(spark, name)
@@ -381,16 +459,27 @@ def _stream_to_table(name: str, build: Callable[[DataFrame], DataFrame]) -> Quer
 
 
 _add("stream_daily_stats", _stream_daily)
-_add("stream_sessions", _stream_to_table("stream-sessions", windows.stream_sessions))
-_add("stream_windowed_daily", _stream_to_table("stream-windowed", windows.windowed_daily))
+for _mode in stream_ingest.MODES:
+    _add(f"stream_rollups_{_mode}", _stream_rollups(_mode))
+_add("stream_rollups_drop", _stream_rollups("exact", "drop"))
+_add("stream_late_rows", _stream_late)
+_add("stream_sessions", _stream_part("stream-sessions", parts.session_parts()))
+_add("stream_windowed_daily", _stream_part("stream-windowed", parts.daily_windows()))
+_add("stream_windowed_daily_update", _stream_updates(
+    "stream-windowed-update", windows.windowed_daily, ("date", "website_id")))
+_add("stream_windowed_daily_drop", _stream_part("stream-windowed-drop", parts.daily_windows(), "drop"))
 _add("stream_windowed_distinct", _stream_to_table("stream-distinct", windows.windowed_distinct))
-_add("stream_sliding_activity", _stream_to_table(
-    "stream-sliding", lambda ev: windows.sliding_activity(ev).drop("visitors")))
+_add("stream_visitors_exact", _stream_part("stream-visitors-exact", parts.distinct_clients("exact")))
+_add("stream_visitors_sketch", _stream_part("stream-visitors-sketch", parts.distinct_clients("sketch")))
+_add("stream_visitors_approx", _stream_updates(
+    "stream-visitors-approx", lambda ev: windows.windowed_distinct(ev, how="approx"), ("date", "website_id")))
+_add("stream_sliding_activity", _stream_part("stream-sliding", parts.sliding_windows()))
+_add("stream_rate_flag", _stream_part("stream-rate", parts.rate_windows(1, "1 hour")))
+_add("stream_ingest_events", lambda spark, sf_dir: _stream_ingest("events")(spark, sf_dir).select(*_EVENT_DIGEST))
+_add("stream_ingest_raw", lambda spark, sf_dir: _stream_ingest("raw_events")(spark, sf_dir).drop(*_FOLDERS))
+_add("stream_ingest_bad", lambda spark, sf_dir: _stream_ingest("bad_events")(spark, sf_dir).drop(*_FOLDERS))
 _add("stream_dedupe", _stream_to_table(
     "stream-dedupe", lambda ev: windows.dedupe_stream(ev).select("event_id", "event_type")))
-_add("stream_rate_flag", _stream_to_table(
-    "stream-rate", lambda ev: windows.rate_flag(
-        ev.withColumn("ip_hash", F.col("client_id")), n=1, window="1 hour")))
 _add("stream_attribution", _stream_to_table(
     "stream-attribution", lambda ev: attribution.stream_attribution(ev, carry=()).select(
         "event_id", "utm_source", "utm_medium", "utm_campaign", "utm_term", "referrer",

@@ -45,3 +45,30 @@ def ingest(
     events = conform(enriched, extra)
     return Ingested(events, validate.to_raw(parsed), bad)
 
+
+
+def parse_once(payloads: DataFrame, websites: DataFrame | None = None) -> DataFrame:
+    """One row per payload: reject reason (NULL: good), bot mark, typed columns, request columns.
+
+    Every body is parsed here and nowhere behind it. Stored, it serves all that `split` makes.
+    """
+    checked = validate.validate(payloads).withColumn("sent_website", validate.sent_website())
+    marked = validate.parse_events(checked, "reason", "sent_website").withColumn(
+        "is_bot", enrich.is_bot(F.col("user_agent"))
+    )
+    if websites is None:
+        return marked
+    known = websites.select(F.col("id").cast("string").alias("website_id")).distinct().withColumn("_known", F.lit(True))
+    stranger = F.col("reason").isNull() & ~F.col("is_bot") & F.col("_known").isNull()
+    return (
+        marked.join(known, "website_id", "left")
+        .withColumn("reason", F.when(stranger, F.lit(validate.UNKNOWN_WEBSITE)).otherwise(F.col("reason")))
+        .drop("_known")
+    )
+
+
+def split(parsed: DataFrame, ip_ranges: DataFrame | None = None) -> Ingested:
+    """Events, raw and bad rows of a `parse_once` table; the same rows as `ingest` gives."""
+    good = parsed.where(F.col("reason").isNull() & ~F.col("is_bot"))
+    events = conform(enrich.enrich(good, ip_ranges))
+    return Ingested(events, validate.to_raw(good), validate.to_bad(parsed.where(F.col("reason").isNotNull())))

@@ -647,20 +647,84 @@ WHERE ts > TIMESTAMP '2024-01-15 12:00:00' GROUP BY ALL""")
 _web("erase_clients", f"""{_DAILY}
 WHERE client_id NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY ALL""")
 ORACLES["stream_daily_stats"] = ORACLES["daily_stats"]
+# The nine rollups as (rollup, key, measure, value): source, condition, keys, sums, distinct counts.
+_FUNNEL_KINDS = {
+    "view_item_users": "'view_item'", "add_to_cart_users": "'add_to_cart'", "checkout_users": _CHECKOUT,
+    "purchase_users": "'purchase'",
+}
+_WEB_PRODUCTS = "(SELECT w.*, unnest(w.items) AS item FROM {} w)"
+_BOUGHT = "event_type = 'purchase'"
+_LONG = {
+    "daily_stats": ("{}", "true", "", {"pageviews": _n(VIEW), "bounces": "0"},
+                    {"visitors": "client_id", "sessions": "session_id"}),
+    "page_stats": ("{}", VIEW, "url_path", {"pageviews": "count(*)"}, {"visitors": "client_id"}),
+    "referrer_stats": ("{}", VIEW, "referrer_domain, utm_source, utm_medium", {"pageviews": "count(*)"},
+                       {"visitors": "client_id"}),
+    "device_stats": ("{}", VIEW, "browser, os, device_type", {}, {"visitors": "client_id"}),
+    "country_stats": ("{}", VIEW, "country", {"pageviews": "count(*)"}, {"visitors": "client_id"}),
+    "revenue_daily": (
+        "{}", f"{_BOUGHT} AND value > 0", "currency",
+        {"transactions": "count(*)", "revenue": "sum(value)", "tax_total": "sum(tax)", "shipping_total": "sum(shipping)",
+         "items_sold": "sum(len(items))", "units_sold": "sum(list_sum(list_transform(items, lambda i: i.quantity)))"},
+        {"buyers": "client_id"}),
+    "product_stats": (
+        _WEB_PRODUCTS, f"event_type IN ({_ALL_KINDS})", "item.item_id",
+        {"views": _n("event_type = 'view_item'"), "adds_to_cart": _n("event_type = 'add_to_cart'"), "purchases": _n(_BOUGHT),
+         "revenue": f"sum(CASE WHEN {_BOUGHT} THEN item.price ELSE 0.0 END)",
+         "quantity_sold": f"sum(CASE WHEN {_BOUGHT} THEN item.quantity ELSE 0 END)"}, {}),
+    "custom_event_stats": (
+        "{}", "event_type = 'custom' AND event_name <> ''", "event_name, event_category",
+        {"event_count": "count(*)", "total_value": "sum(event_value)"}, {"unique_users": "client_id"}),
+    "ecommerce_funnel": (
+        "{}", f"event_type IN ('view_item', 'add_to_cart', 'purchase', {_CHECKOUT})", "", {},
+        {n: f"CASE WHEN event_type IN ({k}) THEN client_id END" for n, k in _FUNNEL_KINDS.items()}),
+}
+
+
+def _long(source: str, per_batch: bool) -> str:
+    """All nine rollups over `source`; with `per_batch`, distinct counts of batches are added up."""
+    parts = []
+    for name, (rows, condition, keys, sums, distinct) in _LONG.items():
+        key = f"concat_ws('|', CAST({DAY} AS VARCHAR), website_id{', ' + keys if keys else ''})"
+        at = f"FROM {rows.format(source)} WHERE {condition} GROUP BY ALL"
+        for measure, sql in sums.items():
+            parts.append(f"SELECT '{name}' AS rollup, {key} AS key, '{measure}' AS measure, "
+                         f"round(CAST({sql} AS DOUBLE), 4) AS value {at}")
+        for measure, column in distinct.items():
+            batch = f"event_id % {samples.BATCHES}" if per_batch else "0"
+            parts.append(f"SELECT '{name}', key, '{measure}', CAST(sum(n) AS DOUBLE) FROM (SELECT {key} AS key, "
+                         f"{batch} AS batch, count(DISTINCT {column}) AS n {at}) GROUP BY key")
+    return " UNION ALL ".join(parts)
+
+
+# Rows behind the largest time of earlier batches less a day.
+_EARLIER = f"""+ late AS (SELECT w.*, ts < (SELECT max(o.ts) FROM web o WHERE o.event_id % {samples.BATCHES}
+    < w.event_id % {samples.BATCHES}) - INTERVAL 1 DAY AS is_late FROM web w),
+punctual AS (SELECT * EXCLUDE is_late FROM late WHERE NOT coalesce(is_late, false))"""
+for _mode in ("exact", "sketch"):
+    _web(f"stream_rollups_{_mode}", _long("web", False))
+_web("stream_rollups_additive", _long("web", True))
+_web("stream_rollups_drop", f"{_EARLIER} {_long('punctual', False)}")
+_web("stream_late_rows", f"{_EARLIER} SELECT event_id, {_time('ts')} AS timestamp FROM late WHERE is_late")
 _web("stream_sessions", f"""{_sessions()}, {_TABLE} SELECT website_id, client_id, {_time('a')} AS started_at,
-  {_time('b')} AS ended_at, events, pageviews FROM st
-WHERE b + INTERVAL '1799999 milliseconds' <= {LATEST} - INTERVAL 1 HOUR""")
-_web("stream_windowed_daily", f"""SELECT {DAY} AS date, website_id, count(*) AS events, {_n(VIEW)} AS pageviews
-FROM web WHERE {DAY} + INTERVAL 1 DAY <= {LATEST} - INTERVAL 1 DAY GROUP BY ALL""")
+  {_time('b')} AS ended_at, events, pageviews FROM st""")
+_WINDOWED = f"SELECT {DAY} AS date, website_id, count(*) AS events, {_n(VIEW)} AS pageviews FROM"
+_web("stream_windowed_daily", f"{_WINDOWED} web GROUP BY ALL")
+_web("stream_windowed_daily_update", f"{_WINDOWED} web GROUP BY ALL")
+_web("stream_windowed_daily_drop", f"{_EARLIER} {_WINDOWED} punctual GROUP BY ALL")
 _web("stream_windowed_distinct", f"SELECT DISTINCT {DAY} AS date, website_id, client_id FROM web")
+for _how in ("exact", "sketch", "approx"):
+    _web(f"stream_visitors_{_how}", f"""SELECT {DAY} AS date, website_id, count(DISTINCT client_id) AS visitors
+FROM web GROUP BY ALL""")
 _web("stream_sliding_activity", f"""+ s AS (SELECT *, unnest(generate_series(0, 25, 5)) AS back FROM web),
-w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(back) AS a, website_id, event_type FROM s)
+w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(back) AS a, website_id, event_type, client_id FROM s)
 SELECT {_time('a')} AS start, {_time('a + INTERVAL 30 MINUTE')} AS "end", website_id, count(*) AS events,
-  {_n(VIEW)} AS pageviews FROM w WHERE a + INTERVAL 30 MINUTE <= {LATEST} - INTERVAL 10 MINUTE GROUP BY ALL""")
+  {_n(VIEW)} AS pageviews, count(DISTINCT client_id) AS visitors FROM w GROUP BY ALL""")
 _web("stream_dedupe", "SELECT event_id, event_type FROM web")
-_web("stream_rate_flag", f"""+ h AS (SELECT date_trunc('hour', ts) AS a, client_id AS ip_hash, count(*) AS requests
-  FROM web GROUP BY ALL)
-SELECT {_time('a')} AS window_start, ip_hash, requests, requests > 1 AS over_limit FROM h
-WHERE a + INTERVAL 1 HOUR <= {LATEST} - INTERVAL 5 MINUTE""")
+_web("stream_rate_flag", f"""SELECT {_time("date_trunc('hour', ts)")} AS window_start, client_id AS ip_hash,
+  count(*) AS requests, count(*) > 1 AS over_limit FROM web GROUP BY ALL""")
+ORACLES["stream_ingest_events"] = ORACLES["ingest_events"]
+ORACLES["stream_ingest_raw"] = ORACLES["ingest_raw"]
+ORACLES["stream_ingest_bad"] = ORACLES["validate_bad"]
 ORACLES["stream_attribution"] = f"""SELECT event_id, utm_source, utm_medium, utm_campaign, utm_term, referrer,
   landing_page FROM ({ORACLES["session_attribution"]})"""

@@ -129,6 +129,22 @@ def stream_web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_web_events(files.parquet(sf_dir))
 
 
+BATCHES = 3
+
+
+def stream_web_batches(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """`web_events` in BATCHES micro-batches, dealt by event id: most of the later ones are late.
+
+    The files are written to `folder`, one per batch, in batch order.
+    """
+    source = load(spark, sf_dir, "events")
+    for k in range(BATCHES):
+        part = source.where(F.pmod(F.col("event_id"), F.lit(BATCHES)) == k)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    files = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1)
+    return as_web_events(files.parquet(folder))
+
+
 def as_web_events(source: DataFrame) -> DataFrame:
     """Rows of the `events` layout, batch or stream, as site events."""
 

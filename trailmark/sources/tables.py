@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,52 @@ def write_rollup(rollup: DataFrame, path: str) -> None:
     )
 
 
+# --- folders -----------------------------------------------------------------
+
+
+def _file_system(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    root, fs = _file_system(spark, path)
+    return fs.exists(root)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    root, fs = _file_system(spark, path)
+    fs.delete(root, True)
+
+
+def folders(spark: SparkSession, path: str, column: str) -> dict[str, object]:
+    """Partition value -> folder; a listing of folders, not of data."""
+    root, fs = _file_system(spark, path)
+    found = {}
+    for status in fs.listStatus(root) if fs.exists(root) else ():
+        name = status.getPath().getName()
+        if name.startswith(f"{column}="):
+            found[name.split("=", 1)[1]] = status.getPath()
+    return found
+
+
+@contextmanager
+def staged(df: DataFrame, out: str, batch_id: int, name: str = "batch") -> Iterator[DataFrame]:
+    """`df` stored once for several readers; the folder goes when they are done.
+
+    A repeated batch overwrites what a killed one left.
+    """
+    path = f"{out}/_staging/{name}-{batch_id}"
+    df.write.mode("overwrite").parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        delete(df.sparkSession, path)
+
+
+# --- dimensions --------------------------------------------------------------
+
+
 def read_websites(
     spark: SparkSession, path: str | None = None, jdbc: Mapping[str, str] | None = None
 ) -> DataFrame:
