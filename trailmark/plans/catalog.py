@@ -400,10 +400,7 @@ def _stream_part(name: str, part: parts.Part, late_policy: str = "recompute") ->
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = work_dir(spark, name)
         stream = samples.stream_web_batches(spark, sf_dir, f"{out}/source").withColumn("ip_hash", F.col("client_id"))
-        used = ("event_id", "timestamp", "event_type", "website_id", "client_id", "session_id", "ip_hash",
-                "url_path", "url_query", "referrer", "referrer_domain", "utm_source", "utm_medium", "utm_campaign")
-        parts.run_parts(stream.select(*used), {"result": part}, out, f"{out}/checkpoint",
-                        late_policy=late_policy).awaitTermination()
+        parts.run_parts(stream, {"result": part}, out, f"{out}/checkpoint", late_policy=late_policy).awaitTermination()
         return parts.read_result(spark, f"{out}/result", part)
 
     return run
