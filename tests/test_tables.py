@@ -163,11 +163,12 @@ def test_stream_attribution(spark, make_events, tmp_path):
         {**base, "event_id": 3, "timestamp": str(START), "session_id": "t", "referrer": "q"}])
     events.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
-    query = attribution.stream_attribution(stream).writeStream.format("parquet").option(
-        "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
-    query.awaitTermination()
+    attribution.run_attribution(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     columns = ["event_id", "utm_source", "utm_medium", "utm_term", "referrer", "landing_page"]
-    got = rows(spark.read.parquet(f"{tmp_path}/out"), *columns)
+    attribution.fold(spark, f"{tmp_path}/out")
+    stamped = attribution.read_attribution(spark, f"{tmp_path}/out")
+    assert "Python" not in stamped._jdf.queryExecution().executedPlan().toString()
+    got = rows(stamped, *columns)
     assert got == [(1, "google", "cpc", "", "r", "/p?gclid=1"), (2, "google", "cpc", "own", "r", "/p?gclid=1"),
                    (3, "", "", "", "q", "/p")]
     assert got == rows(sessions.session_attribution(events), *columns)

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import identity, text, urls
+from trailmark.operators.ranking import top_rows
 from trailmark.schema import UTM_FIELDS
 
 
@@ -225,15 +226,13 @@ def enrich(events: DataFrame, ip_ranges: DataFrame | None = None) -> DataFrame:
 def rate_cap(requests: DataFrame, n: int = 60, window: str = "60 seconds") -> DataFrame:
     """At most `n` requests per address in each time window, oldest first.
 
-    The limit is the feature. The rank filter is applied before the shuffle too
-    (`WindowGroupLimit`), so a flood from one address sends at most `n` rows per task
-    and window.
+    The limit is the feature. Requests without an address are nobody's and all pass. A
+    flood from one address is cut before its last shuffle, whatever `n` is (see `ranking`).
     """
-    slot = F.window("ingest_time", window)["start"]
-    order = Window.partitionBy("ip", "slot").orderBy("ingest_time", "event_id")
-    return (
-        requests.withColumn("slot", slot)
-        .withColumn("rank_in_window", F.row_number().over(order))
-        .filter(F.col("rank_in_window") <= n)
-        .drop("slot")
-    )
+    known = F.coalesce(F.col("ip") != "", F.lit(False))
+    slotted = requests.withColumns({
+        "slot": F.window("ingest_time", window)["start"],
+        "caller": F.when(known, F.col("ip")).otherwise(F.concat(F.lit("|"), F.col("event_id").cast("string"))),
+    })
+    order = [F.col("ingest_time"), F.col("event_id")]
+    return top_rows(slotted, ["caller", "slot"], order, n, "rank_in_window", "event_id").drop("slot", "caller")

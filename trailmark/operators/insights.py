@@ -11,6 +11,7 @@ from trailmark.operators.panels import _is_view, _shares, period
 from trailmark.operators.sessions import VISITOR, session_table
 
 DAY_SECONDS = 86_400
+SLICE_SECONDS = 600
 
 
 def funnel_levels(
@@ -18,17 +19,18 @@ def funnel_levels(
     steps: Sequence[str],
     window_seconds: int = DAY_SECONDS,
     keys: Sequence[str] = VISITOR,
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Deepest funnel step per visitor (visitors without step 1 are absent).
 
     A visitor reaches step i when events of steps 1..i follow each other in time order
     and the last is at most `window_seconds` after the first.
 
-    A chain that starts in one slice of window length ends in it or in the next. So each
-    later-step event is placed in its own slice and in the one before, and slices are
-    searched independently: no task ever holds more than two window lengths of a visitor,
-    and events between are never collected into arrays. Within a slice, running maxima
-    carry the latest start of a chain of each length.
+    Events are searched within short time slices of their visitor and each slice is
+    summarized: the latest start of a chain of steps 1..j, and for each i <= j the earliest
+    end of a chain of steps i..j. Summaries are then combined in time order: a chain left
+    open by earlier slices is carried on by the steps a slice holds. So a task holds one
+    slice of events of a visitor, or the summaries of a visitor, never a visitor's events.
     """
     step_of = F.lit(None).cast("int")
     for i, step in enumerate(steps, start=1):
@@ -36,31 +38,42 @@ def funnel_levels(
     if len(set(steps)) != len(steps):
         raise ValueError("funnel steps must differ")
 
-    width = window_seconds * 1_000_000
-    own = F.floor(F.col("at") / F.lit(width)).cast("long")
-    placed = (
+    width, n = window_seconds * 1_000_000, len(steps)
+    at, step = F.col("at"), F.col("step")
+    rows = (
         events.filter(F.col("event_type").isin(*steps))
         .select(*keys, F.unix_micros("timestamp").alias("at"), "event_id", step_of.alias("step"))
-        .withColumn(
-            "slice",
-            F.explode(F.when(F.col("step") == 1, F.array(own)).otherwise(F.array(own, own - 1))),
-        )
+        .withColumn("slice", F.floor(at / F.lit(slice_seconds * 1_000_000)).cast("long"))
     )
-    before = (
-        Window.partitionBy(*keys, "slice")
-        .orderBy("at", "event_id")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, "slice").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    # start_j: latest start of steps 1..j ending here; end_i_j: this row, if steps i..j end here
+    rows = rows.withColumns({
+        "start_1": F.when(step == 1, at), **{f"end_{i}_{i}": F.when(step == i, at) for i in range(2, n + 1)},
+    })
+    for j in range(2, n + 1):
+        rows = rows.withColumns({
+            f"start_{j}": F.when(step == j, F.max(f"start_{j - 1}").over(before)),
+            **{f"end_{i}_{j}": F.when((step == j) & F.min(f"end_{i}_{j - 1}").over(before).isNotNull(), at)
+               for i in range(2, j)},
+        })
+    whole = F.max(F.coalesce(*[F.when(at - F.col(f"start_{j}") <= width, F.lit(j)) for j in range(n, 0, -1)]))
+    spans = [(i, j) for j in range(2, n + 1) for i in range(2, j + 1)]
+    slices = rows.groupBy(*keys, "slice").agg(
+        whole.alias("reached"),
+        *[F.max(f"start_{j}").alias(f"start_{j}") for j in range(1, n + 1)],
+        *[F.min(f"end_{i}_{j}").alias(f"end_{i}_{j}") for i, j in spans],
     )
-    out = placed.withColumn("start_1", F.when(F.col("step") == 1, F.col("at")))
-    for i in range(2, len(steps) + 1):
-        start = F.max(f"start_{i - 1}").over(before)
-        out = out.withColumn("chain", start).withColumn(
-            f"start_{i}",
-            F.when((F.col("step") == i) & (F.col("at") - F.col("chain") <= width), F.col("chain")),
-        )
-    reached = [F.when(F.col(f"start_{i}").isNotNull(), F.lit(i)) for i in range(1, len(steps) + 1)]
-    level = F.max(F.coalesce(*reversed(reached))).alias("level")
-    return out.groupBy(*keys).agg(level).filter(F.col("level").isNotNull())
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    for j in range(1, n + 1):
+        # open_j: latest start of steps 1..j that ended in an earlier slice
+        carried = [F.when(F.col(f"end_{i}_{j}").isNotNull(), F.col(f"open_{i - 1}")) for i in range(2, j + 1)]
+        latest = F.greatest(F.col(f"start_{j}"), *carried) if carried else F.col(f"start_{j}")
+        slices = slices.withColumn(f"latest_{j}", latest).withColumn(f"open_{j}", F.max(f"latest_{j}").over(earlier))
+    joined = [
+        F.when(F.col(f"end_{i}_{j}") - F.col(f"open_{i - 1}") <= width, F.lit(j)) for i, j in sorted(spans, key=lambda s: -s[1])
+    ]
+    level = F.greatest(F.col("reached"), F.coalesce(*joined)) if joined else F.col("reached")
+    return slices.groupBy(*keys).agg(F.max(level).alias("level")).filter(F.col("level").isNotNull())
 
 
 def funnel(
@@ -121,8 +134,16 @@ def retention(events: DataFrame, grain: str = "week") -> DataFrame:
     )
 
 
-def retention_matrix(events: DataFrame, grain: str = "week", periods: int = 8) -> DataFrame:
-    """Retention rates with one column per offset: `p0, p1, ...`."""
+def retention_matrix(events: DataFrame, grain: str = "week", periods: int | None = None) -> DataFrame:
+    """Retention rates with one column per offset: `p0, p1, ...`.
+
+    Without `periods` there is a column for every offset between the first and the last
+    period of the data, which are looked up first; a number limits the report to that many.
+    """
+    if periods is None:
+        ends = events.agg(F.min(period(grain)).alias("a"), F.max(period(grain)).alias("b"))
+        last = ends.select(_offset(grain, F.col("a"), F.col("b")).alias("n")).first()["n"]
+        periods = 1 + (last or 0)
     cells = retention(events, grain)
     return cells.groupBy("website_id", "cohort").agg(*[
         F.max(F.when(F.col("offset") == i, F.col("rate"))).alias(f"p{i}") for i in range(periods)

@@ -8,7 +8,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.functions import text
+from trailmark.operators import validate
 from trailmark.plans.ingest import Ingested, ingest
+from trailmark.schema import TEXT_LIMITS
 from trailmark.session import work_dir
 from trailmark.sources import tables
 
@@ -114,12 +117,52 @@ def erase_from_table(
     return months
 
 
-def replay(raw: DataFrame, old_events: DataFrame | None = None) -> Ingested:
-    """Events rebuilt from stored raw payloads after a change of the logic.
+# A client id in a body that is no JSON object.
+_NAMED_CLIENT = r'"client_id"\s*:\s*"((?:[^"\\]|\\.)*)"'
+
+
+def erase_from_payloads(rows: DataFrame, clients: DataFrame) -> DataFrame:
+    """Raw or bad rows without the payloads of the given `client_id`s.
+
+    The client is the one the event would have had; a broken payload counts as that of the
+    client its text names.
+    """
+    read = validate.parse_body(rows.withColumn("body", F.col("payload")), ("client_id",))
+    sent = F.when(F.col("doc.client_id").isNotNull(), text.clip(F.col("doc.client_id"), TEXT_LIMITS["client_id"]))
+    named = read.withColumn("client_id", F.coalesce(sent, F.regexp_extract("payload", _NAMED_CLIENT, 1)))
+    return named.join(clients.select("client_id").distinct(), "client_id", "left_anti").select(*rows.columns)
+
+
+def erase_everywhere(
+    spark: SparkSession,
+    out: str,
+    clients: DataFrame,
+    rollups: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
+) -> None:
+    """Erase clients from the event, raw and bad tables below `out`, and from its rollups.
+
+    The ids go to a table of tombstones first, which `replay` takes as `erased`: rows that a
+    killed erasure has not reached yet cannot come back. Repeating the call finishes it.
+    """
+    clients.select("client_id").distinct().write.mode("append").parquet(f"{out}/tombstones")
+    gone = spark.read.parquet(f"{out}/tombstones").distinct()
+    erase_from_table(spark, f"{out}/events", gone, rollups, f"{out}/rollups")
+    for table in ("raw_events", "bad_events"):
+        path = f"{out}/{table}"
+        for month in sorted(tables.folders(spark, path, "event_month")):
+            rewrite_months(spark, path, table, [month], lambda df: erase_from_payloads(df, gone))
+
+
+def replay(
+    raw: DataFrame, old_events: DataFrame | None = None, erased: DataFrame | None = None
+) -> Ingested:
+    """Events rebuilt from stored raw payloads after a change of the logic, without erased clients.
 
     Raw rows hold no address, so country and city cannot be computed again; they are
     taken over from `old_events` by event id.
     """
+    if erased is not None:
+        raw = erase_from_payloads(raw, erased)
     payloads = raw.select(
         F.col("payload").alias("body"),
         F.lit("").alias("ip"),

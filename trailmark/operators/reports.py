@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import text
+from trailmark.operators.ranking import top_rows
 
 ID_PREFIX = 8  # characters of an id shown in lists
 
@@ -445,12 +446,9 @@ def client_timeline(
     ]
     if max_events is None:
         return chosen.select("client_id", *shown).orderBy("client_id", "ts", "event_id")
-    order = Window.partitionBy("client_id").orderBy("timestamp", "event_id")
-    return (
-        chosen.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= max_events)
-        .select("client_id", "position", *shown)
-    )
+    order = [F.col("timestamp"), F.col("event_id")]
+    ranked = top_rows(chosen, ["client_id"], order, max_events, "position", "event_id")
+    return ranked.select("client_id", "position", *shown)
 
 
 def client_journey(timeline: DataFrame, with_events: bool = False) -> DataFrame:

@@ -121,17 +121,34 @@ def emit_session_starts(events: DataFrame, gap_seconds: int = GAP_SECONDS) -> Da
 _LANDING = ("url_path", "url_query", "referrer")
 
 
+def first_touch(events: DataFrame) -> DataFrame:
+    """Landing columns of the first event of each session (`first`), and its place in order."""
+    return events.groupBy(*VISITOR, "session_id").agg(
+        F.min_by(F.struct(*_LANDING), _order()).alias("first"), F.min(_order()).alias("first_order")
+    )
+
+
+def merge_touch(parts: DataFrame) -> DataFrame:
+    """First touches of several lots of events (see `first_touch`) as those of all of them."""
+    return parts.groupBy(*VISITOR, "session_id").agg(
+        F.min_by("first", "first_order").alias("first"), F.min("first_order").alias("first_order")
+    )
+
+
 def session_attribution(events: DataFrame) -> DataFrame:
-    """Events stamped with the first touch of their session.
+    """Events stamped with the first touch of their session (see `stamp_touch`)."""
+    return stamp_touch(events, first_touch(events))
+
+
+def stamp_touch(events: DataFrame, touches: DataFrame) -> DataFrame:
+    """Events with the first touch of their session.
 
     Campaign columns take the value of the session's first event (with ad click ids
     applied); where that is blank, the event keeps its own. The referrer falls back to
     the session's only when the page has none. Adds the click ids and `landing_page`.
     """
     keys = [*VISITOR, "session_id"]
-    first = events.groupBy(*keys).agg(
-        F.min_by(F.struct(*_LANDING), _order()).alias("first")
-    ).select(*keys, *[F.col(f"first.{c}").alias(f"first_{c}") for c in _LANDING])
+    first = touches.select(*keys, *[F.col(f"first.{c}").alias(f"first_{c}") for c in _LANDING])
     query = F.col("first_url_query")
     source, medium = urls.click_source(query)
     touch = first.select(
@@ -154,12 +171,13 @@ def session_attribution(events: DataFrame) -> DataFrame:
 
 
 def previous_value(
-    events: DataFrame, value: Column, keys: Sequence[str], name: str, slice_seconds: int = 3600
+    events: DataFrame, value: Column, keys: Sequence[str], name: str, slice_seconds: int = 60
 ) -> DataFrame:
     """`lag(value)` per key in time order, safe for a key with any number of rows.
 
-    Rows are windowed within one time slice of their key; only the first row of a slice
-    needs the last value of the slice before it, which comes from slice summaries.
+    Rows are windowed within one short time slice of their key; only the first row of a slice
+    needs the last value of the slice before it, which comes from slice summaries. A task
+    holds the rows of a key's slice or one summary per slice of the key.
     """
     sliced = events.withColumns({
         "lag_value": value,

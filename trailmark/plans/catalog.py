@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import identity, urls
 from trailmark.operators import enrich, insights, lifecycle, panels, reports, rollups, sessions, validate
 from trailmark.plans.ingest import ingest
+from trailmark.schema import UTM_FIELDS
 from trailmark.session import work_dir
 from trailmark.sources import payloads as payload_source
 from trailmark.sources import samples, tables
@@ -124,8 +125,10 @@ _web("monthly_usage", reports.monthly_usage)
 _web("cost_estimate", lambda ev: reports.cost_estimate(reports.monthly_usage(ev)))
 _web("live_events", lambda ev: reports.live_events(ev, n=100, tz=TZ))
 _web("client_profiles", lambda ev: reports.client_profiles(ev, tz=TZ))
+_web("client_summary", lambda ev: reports.client_summary(ev, "c1", tz=TZ))
 _web("client_timeline", lambda ev: reports.client_timeline(ev, tz=TZ).drop("properties"))
-_web("client_journey", lambda ev: reports.client_journey(reports.client_timeline(ev)))
+_web("client_journey", lambda ev: reports.client_journey(
+    reports.client_timeline(ev, max_events=None)))
 _add("storage_report", lambda spark, sf_dir: reports.storage_report(
     spark, {t: f"{sf_dir}/{t}.parquet" for t in ("events", "orders", "lineitem", "pages")}))
 
@@ -325,7 +328,7 @@ _web("funnel", lambda ev: insights.funnel(ev, FUNNEL_STEPS))
 _web("funnel_levels_week", lambda ev: insights.funnel_levels(ev, FUNNEL_STEPS, 7 * 86_400))
 _web("retention", insights.retention)
 _web("retention_daily", lambda ev: insights.retention(ev, "day"))
-_web("retention_matrix", lambda ev: insights.retention_matrix(ev, periods=4))
+_web("retention_matrix", lambda ev: insights.retention_matrix(ev))
 _web("anomalies", lambda ev: insights.anomalies(rollups.daily_stats(ev)))
 _web("anomalies_trailing", lambda ev: insights.anomalies(
     rollups.daily_stats(ev), metric="visitors", mode="trailing", history=7))
@@ -348,14 +351,32 @@ _web("apply_retention", _retained)
 
 
 def _erased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inactive = samples.load(spark, sf_dir, "customer").filter("c_acctbal < 0").select(
-        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("client_id"))
-    kept = lifecycle.erase_clients(samples.web_events(spark, sf_dir), inactive)
+    kept = lifecycle.erase_clients(samples.web_events(spark, sf_dir), _inactive(spark, sf_dir))
     return rollups.daily_stats(kept)
 
 
 _add("erase_clients", _erased)
 
+
+def _inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.load(spark, sf_dir, "customer").filter("c_acctbal < 0").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("client_id"))
+
+
+def _erased_payloads(table: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = getattr(ingest(samples.payloads(spark, sf_dir)), table)
+        return lifecycle.erase_from_payloads(rows, _inactive(spark, sf_dir))
+
+    return run
+
+
+_add("erase_raw", _erased_payloads("raw"))
+_add("erase_bad", _erased_payloads("bad"))
+_add("replay_erased", lambda spark, sf_dir: lifecycle.replay(
+    ingest(samples.payloads(spark, sf_dir)).raw, erased=_inactive(spark, sf_dir)).events.select(
+    "event_id", "timestamp", "event_type", "client_id"))
+
 # --- streams (run to the end of the stored input) ---------------------------
 
 
@@ -427,6 +448,16 @@ def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.read_late(spark, out).select("event_id", "timestamp")
 
 
+def _stream_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = work_dir(spark, "stream-attribution")
+    attribution.run_attribution(
+        samples.stream_web_batches(spark, sf_dir, f"{out}/source").select(
+            "event_id", "timestamp", "website_id", "client_id", "session_id", "url_path", "url_query", *UTM_FIELDS, "referrer"),
+        out, f"{out}/checkpoint").awaitTermination()
+    return attribution.read_attribution(spark, out).select(
+        "event_id", "utm_source", "utm_medium", "utm_campaign", "utm_term", "referrer", "landing_page")
+
+
 def _stream_ingest(table: str) -> Query:
     """The whole collector: stored payload lines, streamed, as one of its three tables."""
 
@@ -477,7 +508,4 @@ _add("stream_ingest_raw", lambda spark, sf_dir: _stream_ingest("raw_events")(spa
 _add("stream_ingest_bad", lambda spark, sf_dir: _stream_ingest("bad_events")(spark, sf_dir).drop(*_FOLDERS))
 _add("stream_dedupe", _stream_to_table(
     "stream-dedupe", lambda ev: windows.dedupe_stream(ev).select("event_id", "event_type")))
-_add("stream_attribution", _stream_to_table(
-    "stream-attribution", lambda ev: attribution.stream_attribution(ev, carry=()).select(
-        "event_id", "utm_source", "utm_medium", "utm_campaign", "utm_term", "referrer",
-        "landing_page")))
+_add("stream_attribution", _stream_attribution)

@@ -246,6 +246,11 @@ _web("client_profiles", f"""SELECT website_id, client_id, count(*) AS total_even
   count(DISTINCT session_id) AS total_sessions, {_time(_local('min(ts)'))} AS first_seen,
   {_time(_local('max(ts)'))} AS last_seen, {", ".join(f"arg_min({c}, (ts, event_id)) AS {c}" for c in _PROFILE)}
 FROM web GROUP BY website_id, client_id""")
+_web("client_summary", f"""SELECT client_id, count(*) AS total_events, {_n(VIEW)} AS pageviews,
+  {_n("event_type = 'purchase'")} AS purchases, {_n("event_type = 'add_to_cart'")} AS add_to_carts,
+  count(DISTINCT session_id) AS total_sessions, {_time(_local('min(ts)'))} AS first_seen,
+  {_time(_local('max(ts)'))} AS last_seen, {", ".join(f"arg_min({c}, (ts, event_id)) AS {c}" for c in _PROFILE)}
+FROM web WHERE client_id = 'c1' GROUP BY client_id""")
 _TIMELINE = """+ t AS (
   SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY ts, event_id) AS position FROM web),
 tl AS (SELECT * FROM t WHERE position <= 500)"""
@@ -259,7 +264,7 @@ _web("client_journey", f"""{_TIMELINE}
 SELECT client_id, CASE WHEN session_id = '' THEN 'unknown' ELSE session_id END AS session_id,
   count(*) AS events, {_time('min(ts)')} AS first_event, {_time('max(ts)')} AS last_event,
   {", ".join(f"arg_min({c}, (ts, event_id)) AS {c}" for c in ("referrer_domain", "utm_source", "utm_medium"))},
-  arg_min(url_path, (ts, event_id)) AS landing_page FROM tl GROUP BY 1, 2""")
+  arg_min(url_path, (ts, event_id)) AS landing_page FROM t GROUP BY 1, 2""")
 
 # --- validation ------------------------------------------------------------
 
@@ -396,7 +401,7 @@ SELECT event_id, {_time(_SENT)} AS timestamp, website_id, event_type, {_HOST.for
   {_param('utm_campaign')} AS utm_campaign, {_DEVICE}, '' AS country FROM g""")
 _pay("replay", f"""{_CHECKED} SELECT event_id, {_time(_SENT)} AS timestamp, event_type,
   {_prefix_number("json_extract_string(j, '$.value')")} AS value FROM good WHERE NOT {_BOT}""")
-_SITES = f"sites AS (SELECT {_select(samples.WEBSITES)} FROM nation WHERE n_regionkey < 2)"
+_SITES = f"sites AS (SELECT {_select(samples.WEBSITES)} FROM nation)"
 _KEYS = f"keys AS (SELECT {_select(samples.API_KEYS)} FROM customer)"
 _web("filter_registered", f"""+ {_SITES}
 SELECT website_id, CASE WHEN website_id IN (SELECT id FROM sites) THEN '' ELSE 'unknown_website' END AS reason,
@@ -452,7 +457,7 @@ _pay("drop_bots", f"SELECT user_agent, count(*) AS requests FROM pay WHERE NOT {
 _pay("rate_cap", """+ a AS (SELECT row_id, split_part(ip, '.', 1) AS ip, ingest_time FROM pay),
 w AS (SELECT row_id, ip, row_number() OVER (
     PARTITION BY ip, CAST(floor(epoch(ingest_time) / 7200) AS BIGINT) ORDER BY ingest_time, row_id) AS rn FROM a)
-SELECT row_id, ip FROM w WHERE rn <= 1""")
+SELECT row_id, ip FROM w WHERE rn <= 1 OR ip = ''""")
 _pay("hash_session_id", """SELECT row_id, sha256(concat('site|www.example.com|', ip, '|', user_agent, '|',
   strftime(date_trunc('month', ingest_time), '%Y-%m-%d'))) AS cookieless_id FROM pay""")
 
@@ -597,7 +602,7 @@ r AS (SELECT website_id, cohort, off AS "offset", clients, round(clients * 1.0 /
 _web("retention", f"{_cohorts(_WEEK, 7)} SELECT * FROM r")
 _web("retention_daily", f"{_cohorts(DAY, 1)} SELECT * FROM r")
 _web("retention_matrix", f"""{_cohorts(_WEEK, 7)} SELECT website_id, cohort,
-  {", ".join(f'max(rate) FILTER (WHERE "offset" = {i}) AS p{i}' for i in range(4))} FROM r GROUP BY website_id, cohort""")
+  {", ".join(f'max(rate) FILTER (WHERE "offset" = {i}) AS p{i}' for i in range(5))} FROM r GROUP BY website_id, cohort""")
 
 
 def _anomaly(metric: str, partition: str, history: int) -> str:
@@ -646,6 +651,17 @@ _web("apply_retention", f"""SELECT {DAY} AS date, count(*) AS events FROM web
 WHERE ts > TIMESTAMP '2024-01-15 12:00:00' GROUP BY ALL""")
 _web("erase_clients", f"""{_DAILY}
 WHERE client_id NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY ALL""")
+_GONE = "SELECT 'c' || c_custkey FROM customer WHERE c_acctbal < 0"
+_SENDER = """coalesce(json_extract_string(j, '$.client_id'),
+  regexp_extract({}, '"client_id"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"', 1))"""
+_pay("erase_raw", f"""{_CHECKED} SELECT {_time('seen')} AS timestamp, website_id, body AS payload, ip_hash, user_agent
+FROM good WHERE NOT {_BOT} AND {_SENDER.format('body')} NOT IN ({_GONE})""")
+_pay("erase_bad", f"""{_CHECKED} SELECT {_time('seen')} AS timestamp,
+  coalesce(json_extract_string(j, '$.website_id'), '') AS website_id,
+  CASE WHEN body = 'null' THEN '{{}}' ELSE body END AS payload, reason, ip_hash, user_agent
+FROM chk WHERE reason IS NOT NULL AND {_SENDER.format('body')} NOT IN ({_GONE})""")
+_pay("replay_erased", f"""{_CHECKED} SELECT event_id, {_time(_SENT)} AS timestamp, event_type,
+  {_field('client_id')} AS client_id FROM good WHERE NOT {_BOT} AND {_SENDER.format('body')} NOT IN ({_GONE})""")
 ORACLES["stream_daily_stats"] = ORACLES["daily_stats"]
 # The nine rollups as (rollup, key, measure, value): source, condition, keys, sums, distinct counts.
 _FUNNEL_KINDS = {

@@ -1,77 +1,38 @@
-"""First-touch attribution on a stream, with one small state per open session."""
+"""First-touch attribution on a stream: events and first touches, kept batch by batch.
+
+Each batch leaves its events and the first touch of each of its sessions (see `parts`); reading
+takes the earliest touch of all batches and stamps the events with it. So a first event that
+arrives late still decides, whatever was stored before it, unless `late_policy` keeps it out.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from trailmark.operators import sessions
+from trailmark.streaming import parts
 
-from trailmark.functions import urls
-from trailmark.operators.sessions import VISITOR
-from trailmark.schema import UTM_FIELDS
+PARTS = {
+    "events": parts.Part(lambda events: events, lambda stored: stored),
+    "touches": parts.Part(sessions.first_touch, sessions.merge_touch),
+}
 
-_STAMPED = (*UTM_FIELDS, "referrer")
-_TOUCH = tuple(f"touch_{c}" for c in (*_STAMPED, "landing_page"))
-_STATE = T.StructType([T.StructField(c, T.StringType()) for c in _TOUCH])
 
+def run_attribution(
+    events: DataFrame, out: str, checkpoint: str, trigger: str | None = None,
+    delay: str = "1 day", late_policy: str = "recompute",
+) -> StreamingQuery:
+    """Keep a stream of events and its first touches below `out`."""
+    return parts.run_parts(events, PARTS, out, checkpoint, trigger, delay, late_policy)
 
-def stream_attribution(
-    events: DataFrame,
-    carry: Sequence[str] | None = None,
-    watermark: str = "10 minutes",
-    idle_seconds: int = 1800,
-) -> DataFrame:
-    """Events with campaign columns, referrer and `landing_page` of their session's first event.
 
-    "First" is the first event the stream sees of (website, client, session). Touch values
-    are computed for every event by JVM expressions; Python only keeps the first ones and
-    copies them. `carry` names the other event columns to hand through (all by default);
-    fewer columns mean less to move to Python. State is dropped once the watermark passes
-    the last event by `idle_seconds`. Rows of one session arrive in Arrow chunks.
-    """
-    query = F.col("url_query")
-    source, medium = urls.click_source(query)
-    needed = [*VISITOR, "session_id", "timestamp", "event_id", *_STAMPED]
-    kept = [c for c in events.columns if carry is None or c in carry or c in needed]
-    touch_values = {
-        "touch_utm_source": source,
-        "touch_utm_medium": medium,
-        **{f"touch_{n}": urls.query_param(query, n) for n in UTM_FIELDS[2:]},
-        "touch_referrer": F.col("referrer"),
-        "touch_landing_page": F.concat("url_path", "url_query"),
-    }
-    touched = events.select(
-        *kept, *[c.alias(n) for n, c in touch_values.items()]
-    ).withWatermark("timestamp", watermark)
-    output = T.StructType([
-        *[f for f in events.schema.fields if f.name in kept],
-        T.StructField("landing_page", T.StringType()),
-    ])
-    names = output.names
+def read_attribution(spark: SparkSession, out: str) -> DataFrame:
+    """Events with campaign columns, referrer and `landing_page` of their session's first event."""
+    stored = {name: parts.read_result(spark, f"{out}/{name}", part) for name, part in PARTS.items()}
+    return sessions.stamp_touch(stored["events"], stored["touches"])
 
-    def stamp(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = 0
-        for chunk in chunks:
-            if len(chunk) > 1:
-                chunk = chunk.sort_values(["timestamp", "event_id"])
-            if not state.exists:
-                state.update(tuple(chunk[c].iat[0] for c in _TOUCH))
-            touch = dict(zip(_TOUCH, state.get))
-            stamped = {n: touch[f"touch_{n}"] for n in UTM_FIELDS if touch[f"touch_{n}"]}
-            stamped["referrer"] = chunk["referrer"].where(chunk["referrer"] != "", touch["touch_referrer"])
-            stamped["landing_page"] = touch["touch_landing_page"]
-            last = max(last, int(chunk["timestamp"].iat[-1].timestamp() * 1000))
-            yield chunk.assign(**stamped)[names]
-        deadline = max(last, state.getCurrentWatermarkMs()) + idle_seconds * 1000
-        state.setTimeoutTimestamp(deadline)
 
-    return touched.groupBy(*VISITOR, "session_id").applyInPandasWithState(
-        stamp, output, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+def fold(spark: SparkSession, out: str) -> None:
+    for name, part in PARTS.items():
+        parts.fold(spark, f"{out}/{name}", part)

@@ -67,7 +67,7 @@ def touched_events(events_path: str, batch: DataFrame) -> DataFrame | None:
     """Stored events of all dates of the batch, from their day folders alone; None without dates."""
     spark = batch.sparkSession
     dates = batch.select(F.to_date("timestamp").alias("event_date")).where(F.col("event_date").isNotNull()).distinct()
-    named = [r["event_date"] for r in dates.limit(_MAX_NAMED_DATES + 1).collect()]
+    named = sorted(r["event_date"] for r in dates.limit(_MAX_NAMED_DATES + 1).collect())
     if not named:
         return None
     events = spark.read.parquet(events_path)
