@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import phrase_hashes, stored, text_slices, word_hashes
+from trailmark.llm.common import phrase_hashes, stored, text_slices, texts_of, word_hashes
 
 LONGEST = 4
 MIN_COUNT = 30
@@ -52,8 +52,8 @@ _BLANKS = np.zeros(256, dtype=bool)
 _BLANKS[[0x20, 0x09]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CHUNK = 1 << 20  # bytes of text tokenized at once
-_WINDOWS = 1 << 16  # windows gathered at once
+_CHUNK = 1 << 18  # bytes of text tokenized at once
+_WINDOWS = 1 << 14  # windows gathered at once
 
 
 class Tokens:
@@ -107,25 +107,32 @@ def _stretches(text: bytes, overlap: int) -> Iterator[tuple[bytes, int]]:
                 start -= 1
 
 
+def _groups(texts: list[bytes], k: int) -> Iterator[list[tuple[int, bytes, int]]]:
+    """(number, text, first new byte) of texts tokenized together; long texts come in stretches."""
+    group, held = [], 0
+    for i, text in enumerate(texts):
+        if group and held + len(text) > _CHUNK:
+            yield group
+            group, held = [], 0
+        if len(text) > _CHUNK:
+            for stretch, new in _stretches(text, k - 1):
+                yield [(i, stretch, new)]
+        elif text:
+            group.append((i, text, 0))
+            held += len(text)
+    if group:
+        yield group
+
+
 def _token_runs(batch: pa.RecordBatch, k: int) -> Iterator[tuple[Tokens, np.ndarray]]:
     """Tokens of row ranges, and for each range which windows of k words are new."""
-    values = batch.column("text")
     for start, end in text_slices(batch):
-        texts = [v or b"" for v in values.slice(start, end - start).cast(pa.large_binary()).to_pylist()]
-        if len(texts) == 1 and len(texts[0]) > _CHUNK:
-            parts = [(start, t, new) for t, new in _stretches(texts[0], k - 1)]
-            groups = [[p] for p in parts]
-        else:
-            groups = [[(start + i, t, 0) for i, t in enumerate(texts) if t]]
-        for group in groups:
-            if not group:
-                continue
+        for group in _groups(texts_of(batch, start, end), k):
             data = np.frombuffer(b"".join(t for _, t, _ in group), dtype=np.uint8)
-            owner = np.repeat([i for i, _, _ in group], [len(t) for _, t, _ in group])
+            owner = np.repeat([start + i for i, _, _ in group], [len(t) for _, t, _ in group])
             tokens = Tokens(data, owner)
             n = max(0, len(tokens.starts) - k + 1)
-            new = np.ones(n, dtype=bool) if group[0][2] == 0 else tokens.source[k - 1 : k - 1 + n] >= group[0][2]
-            yield tokens, new
+            yield tokens, tokens.source[k - 1 : k - 1 + n] >= group[0][2]
 
 
 def _passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
