@@ -1,5 +1,7 @@
 """Enrichment on literal values."""
 
+import ipaddress
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,34 @@ def test_query_param(spark, query, value):
     assert evaluate(spark, query, lambda c: urls.query_param(c, "utm_source")) == value
 
 
+IPV6 = [
+    "::", "::1", "1::", "2001:db8::", "fe80::1:2", "1:2:3:4:5:6:7:8", "2001:DB8:0:0:8:800:200C:417A", "1:2:3:4:5:6:7::",
+    "::2:3:4:5:6:7:8", "1::2::3", ":1", "1:", "1:2:3", "12345::", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8::", "1.2.3.4", "",
+    "g::", ":::", "::1:", ":1::", "1:::2", "a:b", "::ffff:0:0",
+]
+
+
+def test_ipv6_bits(spark):
+    df = spark.createDataFrame([(t,) for t in IPV6], "ip string").select("ip", identity.ipv6_bits(F.col("ip")).alias("bits"))
+    for r in df.collect():
+        try:
+            expected = f"{int(ipaddress.IPv6Address(r.ip)):0128b}"
+        except ValueError:
+            expected = None
+        assert r.bits == expected, r.ip
+
+
+def test_longest_network_wins(spark):
+    networks = spark.createDataFrame(
+        [("2001:db8::/32", "A", ""), ("2001:db8:5::/48", "B", "b"), ("::/1", "C", "c"), ("bad/9", "D", ""), ("1::", "E", ""),
+         ("2001:db8::/32", "Z", "")], "network string, country string, city string")
+    ips = [("2001:db8:5::9", "B"), ("2001:db8:6::9", "A"), ("7::", "C"), ("ffff::", ""), ("1.2.3.4", ""), ("", ""), (None, "")]
+    events = spark.createDataFrame(ips, "ip string, expected string")
+    for size in (0, 64 << 20):
+        assert all(r.country == r.expected for r in enrich.add_geo_networks(events, networks, size).collect())
+    assert {r.country for r in enrich.add_geo_networks(events, networks.limit(0)).collect()} == {""}
+
+
 @pytest.mark.parametrize("ip, number", [
     ("10.0.3.7", 167772935), ("255.255.255.255", 4294967295), ("10.0.300.7", None), ("10.0.3", None),
 ])

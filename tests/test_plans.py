@@ -54,7 +54,7 @@ def test_geo_join_is_an_equi_join(spark):
     payloads, ranges = samples.payloads(spark, SAMPLE), samples.ip_ranges(spark, SAMPLE)
     small = plan(enrich.add_geo(payloads, ranges))
     assert "BroadcastHashJoin" in small and "NestedLoop" not in small and "Cartesian" not in small
-    large = plan(enrich.add_geo(payloads, ranges, max_broadcast_rows=0))
+    large = plan(enrich.add_geo(payloads, ranges, max_broadcast_bytes=0))
     assert "NestedLoop" not in large and "Cartesian" not in large
 
 

@@ -78,6 +78,46 @@ def test_compaction_keeps_rows(spark, make_events, tmp_path):
     assert len(list((tmp_path / "events" / "event_month=202402").glob("*.parquet"))) == 1
 
 
+def test_a_killed_replacement_leaves_one_version(spark, make_events, tmp_path, monkeypatch):
+    """Stopped before the manifest: the old version. Stopped between two months: the new one."""
+    path = f"{tmp_path}/events"
+    tables.write_events(sample_events(make_events), path)
+    before = rows(spark.read.parquet(path), "event_id", "event_month")
+    every = ["202401", "202402", "202403"]
+
+    def stop(*_):
+        raise RuntimeError("killed")
+
+    def odd(df):
+        return df.filter((F.col("event_id") % 2 == 1) & (F.col("event_month") != 202403))
+
+    with monkeypatch.context() as patched:
+        patched.setattr(tables, "write_text", stop)
+        with pytest.raises(RuntimeError):
+            lifecycle.rewrite_months(spark, path, "events", every, odd)
+    assert rows(lifecycle.read_table(spark, path), "event_id", "event_month") == before
+    assert rows(spark.read.parquet(path), "event_id", "event_month") == before
+
+    moved, move = [], tables.move
+
+    def one(spark, source, target):
+        if moved:
+            stop()
+        moved.append(target)
+        move(spark, source, target)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(tables, "move", one)
+        with pytest.raises(RuntimeError):
+            lifecycle.rewrite_months(spark, path, "events", every, odd)
+    expected = [r for r in before if r[0] % 2 == 1 and str(r[1]) != "202403"]
+    assert moved and rows(lifecycle.read_table(spark, path), "event_id", "event_month") == expected
+    lifecycle.recover(spark, path)
+    assert rows(spark.read.parquet(path), "event_id", "event_month") == expected
+    assert rows(lifecycle.read_table(spark, path), "event_id", "event_month") == expected
+    assert months(tmp_path / "events") == ["202401", "202402"] and not (tmp_path / "events" / "_rewrite").exists()
+
+
 def test_dimensions_need_one_source(spark, tmp_path):
     spark.createDataFrame([("s",)], "id string").write.parquet(f"{tmp_path}/w")
     assert tables.read_websites(spark, f"{tmp_path}/w").count() == 1

@@ -187,15 +187,55 @@ def prefix_ranges(ip_ranges: DataFrame) -> DataFrame:
     )
 
 
+BROADCAST_BYTES = 64 << 20
+
+
+def _small(df: DataFrame, max_bytes: int) -> bool:
+    """Whether the plan's own statistics put a table within the bound; reads no data."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= max_bytes
+
+
+def add_geo_networks(
+    events: DataFrame, networks: DataFrame, max_broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Add `country, city` of the IPv6 address; '' when no network holds it.
+
+    `networks(network, country, city)` has texts like `2001:db8::/32`; of nested ones the
+    longest counts. An address is looked up under its leading bits, once per prefix length
+    that the table has (128 at most), by an equi join. Only distinct addresses are looked
+    up; a table within the bound is broadcast.
+    """
+    parts = F.split("network", "/")
+    keyed = (
+        networks.withColumn("_length", F.try_element_at(parts, F.lit(2)).try_cast("int"))
+        .withColumn("_prefix", F.left(identity.ipv6_bits(F.element_at(parts, 1)), F.col("_length")))
+        .where(F.col("_length").between(1, 128) & F.col("_prefix").isNotNull())
+        .groupBy("_length", "_prefix").agg(F.min(F.struct("country", "city")).alias("_place"))
+    )
+    lengths = sorted(r["_length"] for r in keyed.select("_length").distinct().collect())
+    base = events.drop("country", "city")
+    if not lengths:
+        return base.withColumns({"country": F.lit(""), "city": F.lit("")})
+    table = F.broadcast(keyed) if _small(networks, max_broadcast_bytes) else keyed
+    bits = base.select("ip").distinct().withColumn("_bits", identity.ipv6_bits(F.col("ip"))).where("_bits is not null")
+    looked = bits.withColumn("_length", F.explode(F.array(*[F.lit(n) for n in lengths]))).select(
+        "ip", "_length", F.left("_bits", F.col("_length")).alias("_prefix"))
+    places = looked.join(table, ["_length", "_prefix"]).groupBy("ip").agg(F.max_by("_place", "_length").alias("_place"))
+    located = base.join(places, "ip", "left").withColumns(
+        {c: F.coalesce(f"_place.{c}", F.lit("")) for c in ("country", "city")})
+    return located.select(*base.columns, "country", "city")
+
+
 def add_geo(
-    events: DataFrame, ip_ranges: DataFrame, max_broadcast_rows: int = 4_000_000
+    events: DataFrame, ip_ranges: DataFrame, max_broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Add `country, city` of the IPv4 address; '' when no range holds it.
 
     `ip_ranges(lo, hi, country, city)` must not overlap. The range join becomes an equi
-    join on the address prefix. The range table is counted first: within the bound it is
-    broadcast and events do not move; beyond it, only the distinct addresses are matched
-    and the result is joined back on `ip`, where adaptive execution splits a hot address.
+    join on the address prefix. By its size in the plan, a range table within the bound is
+    broadcast and events do not move (prefixes add 65,536 rows at most); beyond it, only the
+    distinct addresses are matched and the result is joined back on `ip`, where adaptive
+    execution splits a hot address.
     """
     ranges = prefix_ranges(ip_ranges)
     number = identity.ipv4_number(F.col("ip"))
@@ -209,7 +249,7 @@ def add_geo(
         return joined.drop("ip_prefix", "ip_number", "lo", "hi")
 
     base = events.drop("country", "city")
-    if ranges.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+    if _small(ip_ranges, max_broadcast_bytes):
         return located(base, F.broadcast(ranges)).withColumns(fill)
     places = located(base.select("ip").distinct(), ranges)
     return base.join(places, "ip", "left").withColumns(fill)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable, Mapping
 from datetime import datetime
 
@@ -12,7 +14,6 @@ from trailmark.functions import text
 from trailmark.operators import validate
 from trailmark.plans.ingest import Ingested, ingest
 from trailmark.schema import TEXT_LIMITS
-from trailmark.session import work_dir
 from trailmark.sources import tables
 
 # How long each table keeps its rows.
@@ -31,6 +32,50 @@ def apply_retention(df: DataFrame, table: str, as_of: datetime) -> DataFrame:
     return kept
 
 
+# --- replacing months ----------------------------------------------------------
+#
+# New months are written below `_rewrite` in the table's folder. A manifest, put there in one
+# step when all of them are complete, makes them the table's version for `read_table`; then
+# folders are moved one by one. A job killed before the manifest leaves the old version, one
+# killed after it leaves the new one, and `recover` finishes or clears up either.
+
+_STAGE, _MANIFEST = "_rewrite", "_rewrite/manifest.json"
+
+
+def _manifest(spark: SparkSession, path: str) -> dict[str, list[str]] | None:
+    if not tables.exists(spark, f"{path}/{_MANIFEST}"):
+        return None
+    return json.loads(tables.read_text(spark, f"{path}/{_MANIFEST}"))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A monthly table in one version, also while or after months are replaced."""
+    plan = _manifest(spark, path)
+    if plan is None:
+        return spark.read.parquet(path)
+    waiting = tables.folders(spark, f"{path}/{_STAGE}", "event_month")
+    current = {m: f for m, f in tables.folders(spark, path, "event_month").items() if m not in (*plan["remove"], *waiting)}
+    both = [(root, [f.toString() for f in found.values()])
+            for root, found in ((f"{path}/{_STAGE}", waiting), (path, current)) if found]
+    if not both:
+        return spark.read.parquet(path).limit(0)
+    parts = [spark.read.option("basePath", root).parquet(*found) for root, found in both]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish the replacement that a killed job had decided on; clear up one it had not."""
+    plan = _manifest(spark, path)
+    if plan is not None:
+        for month, folder in tables.folders(spark, f"{path}/{_STAGE}", "event_month").items():
+            target = f"{path}/event_month={month}"
+            tables.delete(spark, target)
+            tables.move(spark, folder.toString(), target)
+        for month in plan["remove"]:
+            tables.delete(spark, f"{path}/event_month={month}")
+    tables.delete(spark, f"{path}/{_STAGE}")
+
+
 def rewrite_months(
     spark: SparkSession,
     path: str,
@@ -38,30 +83,25 @@ def rewrite_months(
     months: list[str],
     change: Callable[[DataFrame], DataFrame],
 ) -> None:
-    """Replace the given months of a stored table by `change` of them.
+    """Replace the given months of a stored table by `change` of them, all at once.
 
-    The new rows are written to the shared work folder first, because a job cannot
-    overwrite the files it reads; then each month folder is overwritten. Months left
-    without rows are removed. Batch folders left by streaming become one.
+    Months left without rows are removed. Batch folders left by streaming become one.
     """
+    recover(spark, path)
     if not months:
         return
-    new = change(spark.read.parquet(path).filter(F.col("event_month").isin(*months)))
+    new = change(spark.read.parquet(path).filter(F.col("event_month").cast("string").isin(*months)))
     below = [c for c in ("event_date", "batch_id") if c in new.columns]
     if "batch_id" in below:
         new = new.withColumn("batch_id", F.lit(-1).cast("long"))
     order = ["event_month", *tables.SORT[table]]
-    staged = work_dir(spark, table)
-    new.hint("rebalance", F.col("event_month")).sortWithinPartitions(*order).write.partitionBy(
+    staged = f"{path}/{_STAGE}"
+    new.hint("rebalance", F.col("event_month")).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(
         "event_month", *below
     ).parquet(staged)
-    written, current = tables.folders(spark, staged, "event_month"), tables.folders(spark, path, "event_month")
-    for month in months:
-        if month in written:
-            rows = spark.read.parquet(f"{staged}/event_month={month}")
-            rows.write.mode("overwrite").partitionBy(*below).parquet(f"{path}/event_month={month}")
-        elif month in current:
-            tables.delete(spark, current[month].toString())
+    written = tables.folders(spark, staged, "event_month")
+    tables.write_text(spark, f"{path}/{_MANIFEST}", json.dumps({"remove": sorted(set(months) - set(written))}))
+    recover(spark, path)
 
 
 def expire_table(spark: SparkSession, path: str, table: str, as_of: datetime) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import identity, urls
 from trailmark.operators import enrich, insights, lifecycle, panels, reports, rollups, sessions, validate
 from trailmark.plans.ingest import ingest
-from trailmark.schema import UTM_FIELDS
+from trailmark.schema import EVENTS_SCHEMA, UTM_FIELDS
 from trailmark.session import work_dir
 from trailmark.sources import payloads as payload_source
 from trailmark.sources import samples, tables
@@ -129,8 +129,24 @@ _web("client_summary", lambda ev: reports.client_summary(ev, "c1", tz=TZ))
 _web("client_timeline", lambda ev: reports.client_timeline(ev, tz=TZ).drop("properties"))
 _web("client_journey", lambda ev: reports.client_journey(
     reports.client_timeline(ev, max_events=None)))
-_add("storage_report", lambda spark, sf_dir: reports.storage_report(
-    spark, {t: f"{sf_dir}/{t}.parquet" for t in ("events", "orders", "lineitem", "pages")}))
+
+
+def _storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.storage_report(spark, {t: f"{sf_dir}/{t}.parquet" for t in samples.TABLES})
+
+
+_add("storage_report", _storage)
+_add("storage_rows", lambda spark, sf_dir: _storage(spark, sf_dir).select("table", "total_rows"))
+
+
+def _stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "stored-events")
+    tables.write_events(samples.web_events(spark, sf_dir), path)
+    return lifecycle.read_table(spark, path).select(
+        "event_id", "timestamp", "event_month", "website_id", "event_type", "value")
+
+
+_add("stored_events", _stored_events)
 
 
 def _bad(pay: DataFrame) -> DataFrame:
@@ -172,6 +188,16 @@ _payloads("ingest_raw", lambda pay: ingest(pay).raw)
 _EVENT_DIGEST = (
     "event_id", "timestamp", "website_id", "event_type", "referrer_domain", "utm_source",
     "utm_medium", "utm_campaign", "browser", "browser_version", "os", "device_type", "country")
+
+
+def _all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event column, with places and the website register; lists as counts."""
+    found = ingest(samples.payloads(spark, sf_dir), samples.ip_ranges(spark, sf_dir), samples.websites(spark, sf_dir)).events
+    return found.withColumns({"items": F.size("items"), "properties": F.size("properties")}).select(*WIDE)
+
+
+WIDE = [c for c in EVENTS_SCHEMA.names if c != "is_bot"] + ["event_id"]
+_add("ingest_all_columns", _all_columns)
 _FOLDERS = ("event_month", "batch_id")
 _payloads("ingest_events", lambda pay: ingest(pay).events.select(*_EVENT_DIGEST))
 
@@ -234,7 +260,10 @@ _add("geo_range_join", lambda spark, sf_dir: enrich.add_geo(
     samples.payloads(spark, sf_dir), samples.ip_ranges(spark, sf_dir)).select(
     "row_id", "ip", "country", "city"))
 _add("geo_range_join_shuffled", lambda spark, sf_dir: enrich.add_geo(
-    samples.payloads(spark, sf_dir), samples.ip_ranges(spark, sf_dir), max_broadcast_rows=0).select(
+    samples.payloads(spark, sf_dir), samples.ip_ranges(spark, sf_dir), max_broadcast_bytes=0).select(
+    "row_id", "ip", "country", "city"))
+_add("geo_networks", lambda spark, sf_dir: enrich.add_geo_networks(
+    samples.payloads(spark, sf_dir).withColumn("ip", F.expr(samples.IPV6)), samples.networks(spark, sf_dir)).select(
     "row_id", "ip", "country", "city"))
 _payloads("ua_dim", enrich.build_ua_dim)
 _payloads("drop_bots", lambda pay: enrich.drop_bots(pay).groupBy("user_agent").agg(

@@ -7,7 +7,9 @@ is computed here on its own, in plain SQL over the raw tables.
 from __future__ import annotations
 
 from trailmark.operators.reports import COVERAGE_TEXTS, DETAIL_COLUMNS, DETAIL_INTERACTION, DETAIL_ITEMS
-from trailmark.schema import CHECKOUT_EVENTS, EVENT_TYPES, MAX_TEXT, TEXT_LIMITS
+from trailmark.schema import (
+    CHECKOUT_EVENTS, EVENT_TYPES, EVENTS_SCHEMA, MAX_TEXT, NUMBER_FIELDS, PERCENT_FIELDS, TEXT_LIMITS,
+)
 from trailmark.sources import samples
 
 ORACLES: dict[str, str] = {}
@@ -450,6 +452,30 @@ num AS (SELECT row_id, ip, CASE WHEN ip <> '' THEN
     + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) END AS n FROM pay)
 SELECT row_id, ip, coalesce(country, '') AS country, coalesce(city, '') AS city
 FROM num LEFT JOIN rng ON n BETWEEN lo AND hi""")
+_pay("geo_networks", f"""+ a AS (SELECT row_id, {samples.IPV6} AS ip, row_id % 300 AS block FROM pay),
+n AS (SELECT n_nationkey * 10 AS block, n_name, CAST(n_regionkey AS VARCHAR) AS region FROM nation)
+SELECT row_id, ip, CASE WHEN ip LIKE '2001:db8:%' THEN coalesce(n_name, '{samples.REST_NETWORK[1]}') ELSE '' END AS country,
+  CASE WHEN ip LIKE '2001:db8:%' THEN coalesce(region, '{samples.REST_NETWORK[2]}') ELSE '' END AS city
+FROM a LEFT JOIN n USING (block)""")
+_WIDE_SQL = {
+    **{c: _field(c) for c in TEXT_LIMITS},
+    **{c: _prefix_number(f"json_extract_string(j, '$.{c}')") for c in NUMBER_FIELDS},
+    **{c: _percent(c) for c in PERCENT_FIELDS},
+    **{c: f"CASE WHEN {_field(c)} <> '' THEN {_field(c)} ELSE {_param(c, _field('url_query'))} END" for c in _UTM},
+    "timestamp": _time(_SENT), "website_id": "website_id", "event_type": "event_type", "event_id": "event_id",
+    "referrer_domain": _HOST.format(_field("referrer")), "country": "coalesce(country, '')", "city": "coalesce(city, '')",
+    "items": f"CAST(len({_OBJECTS}) AS BIGINT)", "properties": "coalesce(np.n, 0)", "user_agent": "user_agent", "ip_hash": "ip_hash",
+    "ingest_time": _time("ingest_time"),
+}
+_wide = [c for c in EVENTS_SCHEMA.names if c != "is_bot" and c not in ("browser", "browser_version", "os", "device_type")]
+_pay("ingest_all_columns", f"""{_GOOD}, rng AS (SELECT {_RANGES} FROM customer), {_SITES},
+np AS (SELECT row_id, count(*) AS n FROM props GROUP BY row_id),
+num AS (SELECT *, CASE WHEN ip <> '' THEN
+    CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536
+    + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) END AS ip_n
+  FROM obj WHERE NOT {_BOT} AND website_id IN (SELECT id FROM sites))
+SELECT {", ".join(f"{_WIDE_SQL[c]} AS {c}" for c in [*_wide, "event_id"])}, {_DEVICE}
+FROM num LEFT JOIN rng ON ip_n BETWEEN lo AND hi LEFT JOIN np USING (row_id)""")
 ORACLES["geo_range_join_shuffled"] = ORACLES["geo_range_join"]
 _pay("ua_dim", f"""+ b AS (SELECT user_agent, count(*) AS events FROM pay GROUP BY ALL)
 SELECT user_agent, events, {_DEVICE} FROM b""")
@@ -645,6 +671,11 @@ SELECT website_id, device_type, week, round(share, 4) AS share, round(previous,
   round(share - previous, 4) AS shift FROM j
 WHERE week <= (SELECT max(w2.week) FROM w w2 WHERE w2.website_id = j.website_id)""")
 
+ORACLES["storage_rows"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS total_rows FROM {t}" for t in samples.TABLES)
+_web("stored_events", f"""SELECT event_id, {_time('ts')} AS timestamp, CAST(strftime(ts, '%Y%m') AS BIGINT) AS event_month,
+  website_id, event_type, round(value, 4) AS value FROM web""")
+
 # --- lifecycle and streams -------------------------------------------------
 
 _web("apply_retention", f"""SELECT {DAY} AS date, count(*) AS events FROM web

@@ -102,6 +102,12 @@ WEB_ITEM = {
 }
 
 
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+    "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -302,6 +308,24 @@ def ip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# IPv6 networks over `nation`, nested in one for all; and addresses for payload rows.
+NETWORKS = {
+    "network": "concat('2001:DB8:', CAST(n_nationkey * 10 AS VARCHAR(9)), '::/48')",
+    "country": "n_name",
+    "city": "CAST(n_regionkey AS VARCHAR(9))",
+}
+REST_NETWORK = ("2001:db8::/32", "elsewhere", "")
+IPV6 = (
+    "CASE WHEN row_id % 5 = 0 THEN ip WHEN row_id % 7 = 0 THEN concat('2001:db9::', CAST(row_id % 9 AS VARCHAR(9))) "
+    "ELSE concat('2001:db8:', CAST(row_id % 300 AS VARCHAR(9)), '::', CAST(row_id % 9 AS VARCHAR(9)), ':1') END"
+)
+
+
+def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = load(spark, sf_dir, "nation").selectExpr(*[f"{e} AS {n}" for n, e in NETWORKS.items()])
+    return own.unionByName(spark.createDataFrame([REST_NETWORK], "network string, country string, city string"))
+
+
 WEBSITES = {
     "id": "concat('site-', CAST(n_nationkey * 2 AS VARCHAR(9)))",
     "name": "n_name",

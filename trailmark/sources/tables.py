@@ -94,6 +94,28 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(root, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    root, fs = _file_system(spark, source)
+    if not fs.rename(root, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all."""
+    root, fs = _file_system(spark, path)
+    half = root.suffix(".half")
+    out = fs.create(half, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(root, False)
+    if not fs.rename(half, root):
+        raise OSError(f"cannot write {path}")
+
+
 def folders(spark: SparkSession, path: str, column: str) -> dict[str, object]:
     """Partition value -> folder; a listing of folders, not of data."""
     root, fs = _file_system(spark, path)
