@@ -353,6 +353,20 @@ def test_bpe_equals_the_library(spark, sample, odd, empty):
     assert bpe.digests(empty).count() == 0
 
 
+def test_bpe_knows_the_letters_the_library_knows():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.WordBpe(bpe.default_path())
+    library.no_padding()
+    library.no_truncation()
+    later = [c for a, b in bpe.LATER_LETTERS for c in {a, b, *range(a, b + 1, 97)}]
+    capitals = [c for a, b, _ in bpe.LATER_CAPITALS for c in (a, b)]
+    edges = [c + d for a, b in bpe.LATER_LETTERS for c, d in ((a, -1), (b, 1))]
+    for c in (*later, *capitals, *edges, *range(0x2000), *range(0x2000, 0xD800, 53), *range(0xE000, 0x110000, 997)):
+        for text in (f"ab{chr(c)}cd", f"1{chr(c)}2 {chr(c)}"):
+            assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(c)
+
+
 # ---- op7 ------------------------------------------------------------------------------
 
 def test_language_is_found_on_held_out_documents(spark, sample):
@@ -493,6 +507,22 @@ def test_scores_defined_cases(odd, empty):
     assert {(r.train_tokens, r.n_known) for r in untaught} == {(0, 0)}
 
 
+# ---- stages on tables with clashing names ----------------------------------------------
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    lines = "one line of words here\none line of words here\nand something else again"
+    rows = [(1, lines, "a", [1], 5), (2, lines + "\nnew words at the end", "b", None, 6), (3, None, "c", [], 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, _gone array<int>, _DOC int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    quality = quality_rules.retained(df, labels)
+    assert quality.columns == df.columns and quality.count() <= 3
+    got = line_dedup.deduplicate(df)
+    assert got.columns == df.columns
+    assert {r.doc_id: (r.text, r["_text"], r["_gone"], r["_DOC"]) for r in got.collect()} == {
+        1: ("one line of words here\nand something else again", "a", [1], 5),
+        2: ("new words at the end", "b", None, 6), 3: (None, "c", [], 7)}
+
+
 # ---- registration ---------------------------------------------------------------------
 
 def test_every_operator_is_registered():

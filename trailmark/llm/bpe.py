@@ -37,12 +37,45 @@ from trailmark.llm.common import text_slices, texts_of
 CACHED_WORDS = 200_000  # pieces remembered per worker; older ones are encoded again
 CACHED_PAIRS = 400_000
 _LONGEST_CACHED = 48
+_SYMBOL = 0xE000  # neither letter nor number nor space
 
 
 def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Letters of Unicode 17 and later. The tokenizers library's patterns follow Unicode
+# 16 and treat them as symbols; the `regex` module knows them as letters.
+LATER_LETTERS = (
+    (0x0558, 0x0558), (0x058B, 0x058C), (0x088F, 0x088F), (0x0C5C, 0x0C5C), (0x0CDC, 0x0CDC), (0x208F, 0x208F),
+    (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+)
+# First and last capital, and the first small letter, that the interpreter's tables lack.
+LATER_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B),
+    (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+
+
+@functools.lru_cache(maxsize=1)
+def later_letters() -> tuple[regex.Pattern, dict[int, int], dict[int, int]]:
+    """A pattern that finds any of them, letters to a symbol, capitals to small letters."""
+    ranges = [*LATER_LETTERS, *((a, b) for a, b, _ in LATER_CAPITALS)]
+    found = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]")
+    symbols = {c: _SYMBOL for a, b in LATER_LETTERS for c in range(a, b + 1)}
+    small = {c: low + c - a for a, b, low in LATER_CAPITALS for c in range(a, b + 1)}
+    return found, symbols, small
+
+
 def byte_characters() -> list[str]:
     """The printable character of every byte: itself where printable, else from U+0100 on."""
     shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
@@ -180,6 +213,15 @@ class WordBpe:
                 at = m.end()
         yield text[at:], False
 
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a text, normalised, by the file's pattern."""
+        if not text.isascii():
+            found, symbols, small = later_letters()
+            if found.search(text):
+                text = self.normalised(text).translate(small)
+                return [text[m.start() : m.end()] for m in self.pieces.finditer(text.translate(symbols))]
+        return self.pieces.findall(self.normalised(text))
+
     def encode_parts(self, text: str) -> list[tuple[int, str, str]]:
         out: list[tuple[int, str, str]] = []
         for part, added in self.segments(text):
@@ -188,7 +230,7 @@ class WordBpe:
                 out.append((1, str(i), self.decode([i])))
                 continue
             known, make = self.words.get, self.piece
-            out.extend([known(p) or make(p) for p in self.pieces.findall(self.normalised(part))])
+            out.extend([known(p) or make(p) for p in self.cut(part)])
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import (
-    cell_pairs, mix64, stored, text_slices, texts_of, tiled, whole_cells, word_hashes,
+    cell_pairs, free_name, mix64, stored, text_slices, texts_of, tiled, whole_cells, word_hashes,
 )
 
 NUMERATOR, DENOMINATOR = 4, 5  # Jaccard similarity
@@ -488,10 +488,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents without removed lines; all columns and rows stay, emptied texts too."""
-    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
+    doc, lines = free_name(docs, "_doc"), free_name(docs, "_gone")
+    gone = removed_lines(docs).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(lines))
     kept = F.expr(
-        "CASE WHEN _gone IS NULL OR text IS NULL THEN text ELSE "
-        "array_join(filter(split(text, '\\n', -1), (l, i) -> NOT array_contains(_gone, i)), '\\n') END"
+        f"CASE WHEN {lines} IS NULL OR text IS NULL THEN text ELSE "
+        f"array_join(filter(split(text, '\\n', -1), (l, i) -> NOT array_contains({lines}, i)), '\\n') END"
     )
-    joined = docs.join(stored(gone, "removed-by-doc"), docs.doc_id.cast("long") == F.col("_doc"), "left")
+    joined = docs.join(stored(gone, "removed-by-doc"), docs.doc_id.cast("long") == F.col(doc), "left")
     return joined.select(*[(kept if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import SPACES, mix64, text_slices, texts_of, word_hashes
+from trailmark.llm.common import SPACES, free_name, mix64, text_slices, texts_of, word_hashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -279,11 +279,11 @@ def assess(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE) ->
     return rows.mapInArrow(_judge(fit(docs, labels), share), _JUDGED)
 
 
-def _retained(model, share: float):
+def _retained(model, share: float, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end in text_slices(batch, "_text"):
-                kept = judge(texts_of(batch, start, end, "_text"), model, share)[6]
+            for start, end in text_slices(batch, text):
+                kept = judge(texts_of(batch, start, end, text), model, share)[6]
                 rows = batch.slice(start, end - start)
                 yield rows.filter(pa.array(kept)).select(batch.schema.names[:-1])
 
@@ -292,5 +292,5 @@ def _retained(model, share: float):
 
 def retained(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:
     """The documents that pass, with all their columns; decided row by row, without a join."""
-    model = fit(docs, labels)
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(_retained(model, share), docs.schema)
+    model, text = fit(docs, labels), free_name(docs, "_text")
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(_retained(model, share, text), docs.schema)
