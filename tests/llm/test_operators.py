@@ -180,6 +180,24 @@ def test_secret_scan_stays_in_the_engine(spark):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
+def test_secret_scan_of_very_many_secrets(spark):
+    """Positions come in lots; the work grows with the number of matches."""
+    import time
+
+    def text(n):
+        return " ".join(f"{'é' * (k % 3)}token=abcdef{k}" for k in range(n))
+
+    took = []
+    for n in (255, 256, 257, 4000, 16000):
+        own = text(n)
+        started = time.time()
+        row = secret_scan.scan(spark.createDataFrame([(1, own)], "doc_id long, text string")).first()
+        took.append(time.time() - started)
+        expected = [(m.start(), m.end()) for m in re.finditer(r"token=[a-z0-9]+", own)]
+        assert [(s.start, s.end) for s in row.base] == expected
+    assert took[-1] < 8 * took[-2] + 2
+
+
 # ---- op3 ------------------------------------------------------------------------------
 
 def brute_targets(sizes, weights=(1.0, 2.0, 3.0)):

@@ -256,9 +256,10 @@ def test_toxic_documents_are_found_on_held_out_rows(spark):
 
 
 def test_learned_beginnings():
-    entries = {"low*": (40, 2.0), "lowe*": (40, 2.1), "lowei*": (40, 3.0), "loweia": (10, 2.0), "loweib": (12, 3.5),
-               "idi*": (20, 2.5), "idio*": (20, 2.5), "idiot": (20, 2.5)}
-    assert toxicity.chosen_entries(entries) == {"lowei*": 3.0, "loweib": 3.5, "idiot": 2.5}
+    entries = {"low*": (40, 2.0), "lowe*": (40, 2.1), "lowei*": (40, 3.0), "loweia": (20, 2.0), "loweib": (22, 3.5),
+               "loweic": (19, 2.0), "loweid": (18, 2.0), "loweie": (17, 2.0), "loweif": (16, 2.0), "idi*": (20, 2.5), "idio*": (20, 2.5), "idiot": (20, 2.5),
+               "los*": (50, 2.4), "lose*": (26, 4.0), "loser": (26, 4.0), "lost*": (24, 3.0), "lostr*": (24, 3.0)}
+    assert toxicity.chosen_entries(entries) == {"lowei*": 3.0, "loweib": 3.5, "idiot": 2.5, "loser": 4.0, "lostr*": 3.0}
 
 
 def test_toxicity_defined_cases(spark, odd, empty):

@@ -56,26 +56,38 @@ def _lit(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_SPAN = "STRUCT<start: BIGINT, kind: INT, end: BIGINT, found: STRING>"
+_LOT = 256  # matches whose positions are summed up in one array
+
+
 def _spans(kind: int, pattern: str, keep: str) -> str:
     """SQL: array<struct<start, kind, end, found>> of all matches m for which keep(m) holds.
 
-    The pieces between matches and the matches themselves give the positions by running sums.
+    The pieces between matches and the matches themselves give the positions by running sums:
+    first over lots of matches, then within each, so a text with very many is not quadratic.
     """
     return f"""
     transform(array(struct(split(text, {_lit(pattern)}, -1) AS gaps, regexp_extract_all(text, {_lit(pattern)}, 0) AS hits)), p ->
-      filter(
-        aggregate(sequence(1, size(p.hits)),
-          named_struct('at', 0L, 'out', CAST(array() AS ARRAY<STRUCT<start: BIGINT, kind: INT, end: BIGINT, found: STRING>>)),
+      if(size(p.hits) = 0, CAST(array() AS ARRAY<{_SPAN}>), filter(flatten(transform(
+        aggregate(sequence(0, (size(p.hits) - 1) div {_LOT}),
+          named_struct('at', 0L, 'lots', CAST(array() AS ARRAY<STRUCT<lot: INT, at: BIGINT>>)),
+          (s, lot) -> named_struct(
+            'at', s.at + aggregate(slice(p.gaps, CAST(lot * {_LOT} + 1 AS INT), least({_LOT}, size(p.hits) - CAST(lot * {_LOT} AS INT))), 0L, (x, g) -> x + length(g))
+              + aggregate(slice(p.hits, CAST(lot * {_LOT} + 1 AS INT), {_LOT}), 0L, (x, h) -> x + length(h)),
+            'lots', concat(s.lots, array(named_struct('lot', CAST(lot AS INT), 'at', s.at)))),
+          s -> s.lots),
+        l -> aggregate(sequence(l.lot * {_LOT} + 1, least((l.lot + 1) * {_LOT}, size(p.hits))),
+          named_struct('at', l.at, 'out', CAST(array() AS ARRAY<{_SPAN}>)),
           (s, i) -> named_struct(
             'at', s.at + length(p.gaps[i - 1]) + length(p.hits[i - 1]),
             'out', concat(s.out, array(named_struct(
               'start', s.at + length(p.gaps[i - 1]), 'kind', {kind},
               'end', s.at + length(p.gaps[i - 1]) + length(p.hits[i - 1]), 'found', p.hits[i - 1])))),
-          s -> s.out),
-        m -> {keep}))[0]"""
+          s -> s.out))),
+        m -> {keep})))[0]"""
 
 
-_NONE = "CAST(array() AS ARRAY<STRUCT<start: BIGINT, kind: INT, end: BIGINT, found: STRING>>)"
+_NONE = f"CAST(array() AS ARRAY<{_SPAN}>)"
 
 
 def _guarded(has: str, spans: str) -> str:

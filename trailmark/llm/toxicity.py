@@ -47,7 +47,7 @@ SAMPLE = 20_000
 LEXICON = 20_000
 SCOPE = 4
 CHANCE = 0.05
-BRANCHING = 0.8  # share of a beginning's toxic texts that one continuation may hold
+CONTINUATIONS, BRANCHING = 3, 0.8  # a beginning goes when its so many largest continuations have this share of all
 MIN_WEIGHT = 1.0
 SEED_WEIGHT = 2.0
 STEMS = range(3, 8)
@@ -292,10 +292,11 @@ def _parent(entry: str) -> str:
 
 def chosen_entries(found: dict[str, tuple[int, float]]) -> dict[str, float]:
     """Weights of entries (texts, weight): a beginning needs several continuations, and replaces them."""
-    most: dict[str, int] = {}
+    below: dict[str, list[int]] = {}
     for entry, (texts, _) in found.items():
-        most[_parent(entry)] = max(texts, most.get(_parent(entry), 0))
-    wide = {e: w for e, (texts, w) in found.items() if not e.endswith("*") or most.get(e, 0) < BRANCHING * texts}
+        below.setdefault(_parent(entry), []).append(texts)
+    narrow = {e for e, n in below.items() if sum(sorted(n)[-CONTINUATIONS:]) >= BRANCHING * sum(n)}
+    wide = {e: w for e, (_, w) in found.items() if e not in narrow}
     return {
         e: w for e, w in wide.items()
         if not any(wide.get(e[:k] + "*", 0.0) >= w for k in STEMS if k < len(e.rstrip("*")))
