@@ -468,6 +468,17 @@ def _stream_updates(name: str, build: Callable[[DataFrame], DataFrame], keys: tu
     return run
 
 
+def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed estimates of distinct visitors, and whether they are within 15 % (or 3) of the exact count."""
+    estimate = _stream_updates(
+        "stream-visitors-approx", lambda ev: windows.windowed_distinct(ev, how="approx"), ("date", "website_id")
+    )(spark, sf_dir).withColumnRenamed("visitors", "estimate")
+    exact = parts.distinct_clients("exact")
+    counted = exact.finish(exact.build(samples.web_events(spark, sf_dir)))
+    close = F.abs(F.col("estimate") - F.col("visitors")) <= F.greatest(F.lit(3.0), F.col("visitors") * 0.15)
+    return estimate.join(counted, ["date", "website_id"]).select("date", "website_id", "visitors", close.alias("close"))
+
+
 def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "stream-late")
     stream = samples.stream_web_batches(spark, sf_dir, f"{out}/source").select(
@@ -528,8 +539,7 @@ _add("stream_windowed_daily_drop", _stream_part("stream-windowed-drop", parts.da
 _add("stream_windowed_distinct", _stream_to_table("stream-distinct", windows.windowed_distinct))
 _add("stream_visitors_exact", _stream_part("stream-visitors-exact", parts.distinct_clients("exact")))
 _add("stream_visitors_sketch", _stream_part("stream-visitors-sketch", parts.distinct_clients("sketch")))
-_add("stream_visitors_approx", _stream_updates(
-    "stream-visitors-approx", lambda ev: windows.windowed_distinct(ev, how="approx"), ("date", "website_id")))
+_add("stream_visitors_approx", _estimated)
 _add("stream_sliding_activity", _stream_part("stream-sliding", parts.sliding_windows()))
 _add("stream_rate_flag", _stream_part("stream-rate", parts.rate_windows(1, "1 hour")))
 _add("stream_ingest_events", lambda spark, sf_dir: _stream_ingest("events")(spark, sf_dir).select(*_EVENT_DIGEST))
