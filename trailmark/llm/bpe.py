@@ -76,6 +76,15 @@ def later_letters() -> tuple[regex.Pattern, dict[int, int], dict[int, int]]:
     return found, symbols, small
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all code points are below U+0100; much cheaper than a search, and true of most texts."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_characters() -> list[str]:
     """The printable character of every byte: itself where printable, else from U+0100 on."""
     shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
@@ -215,7 +224,7 @@ class WordBpe:
 
     def cut(self, text: str) -> list[str]:
         """Pieces of a text, normalised, by the file's pattern."""
-        if not text.isascii():
+        if not text.isascii() and not _is_latin(text):
             found, symbols, small = later_letters()
             if found.search(text):
                 text = self.normalised(text).translate(small)
