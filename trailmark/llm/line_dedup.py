@@ -10,18 +10,22 @@ How matches are found, none lost:
    is the same for all lines keeps the filters exact; 2^17 counts are broadcast);
  - similar sets of n words share one of the n - ceil(0.8 n) + 1 rarest (prefix filter);
  - rows meet by prefix word and are compared when their sizes (length filter), the places of the
-   word (positional filter) and 64-bit parity maps of their words (words of one side only flip a
-   bit each, which bounds the overlap from above) still allow the similarity; equal sets (size, map and a 64-bit hash of the set) match at once;
+   word (positional filter) and 128-bit parity maps of their words (words of one side only flip a
+   bit each, which bounds the overlap from above) still allow the similarity; equal sets (size, map
+   and a 64-bit hash of the set) match at once;
  - each other line offers its first surviving earlier partner per word, which are verified on the
    whole word sets; lines that had more partners and none verified offer all of them in a second
-   round. The word sets come from another scan, of the lines in a fixed-size bit map only.
+   round. The word sets come from another scan, of the lines in a bit map of 2^26 bits: with more
+   offered lines than that it lets other lines through too, which costs work and changes nothing.
 Prefix rows are shuffled once and not stored. Words whose bucket holds at most `SHARE` of all words
 meet by word in one partition, and leave it unpaired when they have more than `HOT` rows; under the
 others equal lines meet and are merged. The rows of both kinds of frequent words are dealt into tiles,
 so no word makes a large task or is held in memory whole. Only the rows of cells with further
-partners are kept for the second round. Repeats
-of a line inside one task are removed there, which keeps a line repeated everywhere at one row a
-task.
+partners, and of those only the rows in a surviving pair, are kept for the second round. Repeats
+of a line are removed inside a task while its table of `KNOWN` lines remembers them; the others meet
+as equal sets.
+
+Hashes of words up to `LONG_WORD` bytes are polynomial sums, vectorized; longer ones are XXH64.
 
 Defined cases: null text has no lines; rows without doc_id are kept whole and not compared; rows
 sharing a doc_id have their lines treated alike (equal line numbers never remove each other);
@@ -35,6 +39,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,19 +54,27 @@ HOT = 1000
 SHARE = 2.0**-14
 TILE = 500
 OFFERS = 1  # partners offered per line and word in the first round
+KNOWN = 1 << 18  # lines a task remembers to drop repeats early
+LONG_WORD = 128  # bytes
 _BUCKETS = 1 << BUCKET_BITS
 
 # kinds of rows, in the top bits of `cell`; the rest is a hash of what meets there
 REPEAT, COLD, HOT_ROW, LATER = 0, 1, 2, 3
 _KIND_BIT = 61
-_ROWS = "cell long, token long, sizes long, map long, whole long, doc_id long, line int"
-_SLOT_BITS, _BLOCK_BITS = 24, 15  # bit map of the lines to verify
+_ROWS = "cell long, token long, sizes long, map long, map_2 long, whole long, doc_id long, line int"
+_SET = ("sizes", "map", "map_2", "whole")
+_SLOT_BITS = 26  # bit map of the lines to verify, 8 MB
 
 
 def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and line of every word; document and line number of every line (A-Z lowered)."""
     joined = b"\n".join(texts).lower()  # bytes: A-Z only
     hashes, at = word_hashes(joined)
+    ends = np.append(at[1:], len(joined))
+    for k in np.flatnonzero(ends - at > LONG_WORD):
+        word = joined[at[k] : ends[k]].split(None, 1)[0]
+        if len(word) > LONG_WORD:
+            hashes[k] = xxhash.xxh64_intdigest(word, seed=5)
     breaks = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 10)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     first = np.searchsorted(breaks, np.cumsum(sizes + 1) - sizes - 1)  # first line of each document
@@ -131,6 +144,8 @@ def _prefix_rows(counts: Broadcast, hot: int):
         for k, (key, d, n) in enumerate(zip(whole.tolist(), owner.tolist(), number.tolist())):
             known = seen.get(key)
             if known is None or (d, n) < known:
+                if len(seen) >= KNOWN:
+                    seen.clear()
                 seen[key] = (d, n)
             else:
                 fresh[k] = False
@@ -141,11 +156,15 @@ def _prefix_rows(counts: Broadcast, hot: int):
             n = len(gone_doc)
             zero = np.zeros(n, dtype=np.int64)
             gone_doc, gone_line = np.array(gone_doc, dtype=np.int64), np.array(gone_line, dtype=np.int64)
-            yield batch_of(REPEAT, _place(gone_doc, gone_line), [None] * n, zero, zero, zero, gone_doc, gone_line)
+            yield batch_of(REPEAT, _place(gone_doc, gone_line), [None] * n, zero, zero, zero, zero, gone_doc, gone_line)
         group = np.repeat(np.arange(len(first)), size)
         place = np.arange(len(word)) - np.repeat(first, size)
         prefix = size - (NUMERATOR * size + DENOMINATOR - 1) // DENOMINATOR + 1
-        maps = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(word ^ np.uint64(0x77)) & np.uint64(63)), first)
+        bit = mix64(word ^ np.uint64(0x77)) & np.uint64(127)
+        flip, high = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6) == 1
+        maps, maps_2 = (
+            np.bitwise_xor.reduceat(np.where(own, flip, np.uint64(0)), first).view(np.int64) for own in (~high, high)
+        )
         pick = np.flatnonzero((place < prefix[group]) & fresh[group] & (rarity > 1))
         hot_word = rarity[pick] > hot
         for kind, own in ((COLD, pick[~hot_word]), (HOT_ROW, pick[hot_word])):
@@ -154,13 +173,13 @@ def _prefix_rows(counts: Broadcast, hot: int):
                 yield batch_of(
                     kind, token if kind == COLD else mix64(token ^ whole[g]),
                     [None] * len(own) if kind == COLD else token.view(np.int64), (size[g] << 32) | place[own],
-                    maps[g].view(np.int64), whole[g].view(np.int64), owner[g], number[g],
+                    maps[g], maps_2[g], whole[g].view(np.int64), owner[g], number[g],
                 )
 
-    def batch_of(kind, key, token, sizes, map_, whole, doc_id, number):
+    def batch_of(kind, key, token, sizes, map_, map_2, whole, doc_id, number):
         cell = (key >> np.uint64(64 - _KIND_BIT)).view(np.int64) | (kind << _KIND_BIT)
         return pa.RecordBatch.from_arrays(
-            [pa.array(cell), pa.array(token, pa.int64()), pa.array(sizes), pa.array(map_), pa.array(whole),
+            [pa.array(cell), pa.array(token, pa.int64()), pa.array(sizes), pa.array(map_), pa.array(map_2), pa.array(whole),
              pa.array(np.asarray(doc_id, dtype=np.int64)), pa.array(np.asarray(number, dtype=np.int32))],
             names=_names(_ROWS),
         )
@@ -178,8 +197,9 @@ _OFFERED = "doc_id long, line int, with_doc long, with_line int, more boolean, s
 def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
     """Earlier partners (j, i) inside cells that the filters leave, at most `most` per row j.
 
-    Returns (rows in order, cells, j, i, same, more); `more` marks rows that had further
-    partners. A row with an equal earlier set gets that partner only (`same`).
+    Returns (rows in order, cells, j, i, same, more, paired); `more` marks rows that had further
+    partners, `paired` all rows of surviving pairs. A row with an equal earlier set gets that
+    partner only (`same`).
     """
     shared = np.zeros(len(cells), dtype=bool)
     shared[1:] = cells[1:] == cells[:-1]
@@ -189,7 +209,8 @@ def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
     rows, cells = rows.filter(pa.array(shared)), cells[shared]
     order = np.lexsort((rows.column("line").to_numpy(), rows.column("doc_id").to_numpy(), cells))
     rows = rows.take(pa.array(order))
-    doc, line, sizes, maps, whole = (rows.column(n).to_numpy() for n in ("doc_id", "line", "sizes", "map", "whole"))
+    doc, line, sizes, whole = (rows.column(n).to_numpy() for n in ("doc_id", "line", "sizes", "whole"))
+    maps, maps_2 = (rows.column(n).to_numpy().view(np.uint64) for n in ("map", "map_2"))
     size, place = sizes >> 32, sizes & 0xFFFFFFFF
     part = crossed = None
     if "cell_x" in rows.column_names:
@@ -197,22 +218,24 @@ def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
         crossed = rows.column("cell_x").to_numpy() != rows.column("cell_y").to_numpy()
     asks = rows.column("asks").to_numpy() if "asks" in rows.column_names else None
     given = np.zeros(len(doc), dtype=np.int64)
-    more, done = np.zeros(len(doc), dtype=bool), np.zeros(len(doc), dtype=bool)
+    more, done, paired = (np.zeros(len(doc), dtype=bool) for _ in range(3))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, j in cell_pairs(cells):  # i before j in order
         a, b = size[i], size[j]
-        apart = np.bitwise_count((maps[i] ^ maps[j]).view(np.uint64)).astype(np.int64)
+        near = DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
+        i, j, a, b = i[near], j[near], a[near], b[near]
         bound = np.minimum(place[i], place[j]) + np.minimum(a - place[i], b - place[j])
+        apart = np.bitwise_count(maps[i] ^ maps[j]).astype(np.int64) + np.bitwise_count(maps_2[i] ^ maps_2[j])
         bound = np.minimum(bound, (a + b - apart) // 2)
         ok = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (a + b)
-        ok &= DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
         ok &= (doc[i] != doc[j]) | (line[i] != line[j])
         if crossed is not None:
             ok &= ~crossed[i] | (part[i] != part[j])
         if asks is not None:
             ok &= asks[j]
         i, j = i[ok], j[ok]
-        same = (whole[i] == whole[j]) & (maps[i] == maps[j]) & (size[i] == size[j])
+        paired[i] = paired[j] = True
+        same = (whole[i] == whole[j]) & (maps[i] == maps[j]) & (maps_2[i] == maps_2[j]) & (size[i] == size[j])
         new, at = np.unique(j[same], return_index=True)
         fresh = ~done[new]
         new, by = new[fresh], i[same][at[fresh]]
@@ -229,11 +252,11 @@ def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
         found.append((j, i, np.zeros(len(j), dtype=bool)))
     j, i, same = (np.concatenate(x) for x in zip(*found))
     left = same | ~done[j]
-    return rows, cells, j[left], i[left], same[left], more & ~done
+    return rows, cells, j[left], i[left], same[left], more & ~done, paired
 
 
 def _offer_columns(found) -> list[pa.Array]:
-    rows, _, j, i, same, more = found
+    rows, _, j, i, same, more, _ = found
     doc, line = rows.column("doc_id").to_numpy(), rows.column("line").to_numpy()
     return [pa.array(doc[j]), pa.array(line[j]), pa.array(doc[i]), pa.array(line[i]), pa.array(more[j]), pa.array(same)]
 
@@ -308,7 +331,7 @@ def _meetings(most: int, limit: int):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, COLD, dtype=np.int32)), *_offer_columns(found), *none], _names(_MET)
                     )
-                    own = np.isin(found[1], np.unique(found[1][found[5]]))
+                    own = found[6] & np.isin(found[1], np.unique(found[1][found[5]]))
                     if own.any():
                         yield out(LATER, found[0].filter(pa.array(own)))
                 else:
@@ -331,7 +354,7 @@ def _meetings(most: int, limit: int):
         whole = lambda name: rows.column(name).combine_chunks() if isinstance(rows, pa.Table) else rows.column(name)
         have = {"kind": pa.array(np.full(n, kind, dtype=np.int32)), "doc_id": whole("doc_id"), "line": whole("line")}
         if kind != REPEAT:
-            have |= {name: whole(name) for name in ("cell", "token", "sizes", "map", "whole")}
+            have |= {name: whole(name) for name in ("cell", "token", *_SET)}
         kinds = {"int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64()}
         return pa.RecordBatch.from_arrays(
             [have.get(c.split()[0], pa.nulls(n, kinds[c.split()[1]])) for c in _MET.split(", ")], _names(_MET)
@@ -351,7 +374,21 @@ def _slot(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         slot = np.unique(_slot(batch.column(0).to_numpy(), batch.column(1).to_numpy())).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(slot >> _BLOCK_BITS), pa.array(slot & ((1 << _BLOCK_BITS) - 1))], ["block", "slot"])
+        yield pa.RecordBatch.from_arrays([pa.array(slot + 1)], ["slot"])  # Spark counts from 1
+
+
+def _bit_map(lines: DataFrame) -> np.ndarray:
+    """Bit map of the slots of lines (doc_id, line), packed: 8 MB whatever their number."""
+    blocks = (
+        lines.mapInArrow(_slots, "slot long")
+        .groupBy(F.bitmap_bucket_number("slot").alias("block"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+        .toPandas()
+    )
+    bits = np.zeros(((1 << _SLOT_BITS) >> 15, 1 << 12), dtype=np.uint8)
+    for block, found in zip(blocks.block, blocks.bits):
+        bits[block - 1] = np.frombuffer(found, dtype=np.uint8)
+    return bits.reshape(-1)
 
 
 def _wanted_sets(bits: Broadcast):
@@ -364,7 +401,8 @@ def _wanted_sets(bits: Broadcast):
             for start, end in text_slices(batch):
                 word, line, doc, number = line_words(texts_of(batch, start, end))
                 owner = ids[start:end][doc]
-                asked = wanted[_slot(owner, number)]
+                slot = _slot(owner, number).astype(np.int64)
+                asked = (wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
                 own = asked[line]
                 word, line = word[own], line[own]
                 order = np.lexsort((word, line))
@@ -390,14 +428,7 @@ def _verified(docs: DataFrame, offers: DataFrame) -> DataFrame:
     needed = offers.select("doc_id", "line").unionByName(
         offers.select(F.col("with_doc").alias("doc_id"), F.col("with_line").alias("line"))
     )
-    blocks = (
-        needed.mapInArrow(_slots, "block long, slot long")
-        .groupBy("block").agg(F.collect_set("slot").alias("slots")).toPandas()  # at most 2^24 slots
-    )
-    bits = np.zeros(1 << _SLOT_BITS, dtype=bool)
-    for block, slots in zip(blocks.block, blocks.slots):
-        bits[(int(block) << _BLOCK_BITS) + np.asarray(slots, dtype=np.int64)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(needed))
     sets = stored(docs.mapInArrow(_wanted_sets(shared), "doc_id long, line int, words array<long>"), "line-sets")
     other = sets.select(F.col("doc_id").alias("with_doc"), F.col("line").alias("with_line"), F.col("words").alias("with_words"))
     both = F.size(F.array_intersect("words", "with_words"))
@@ -426,7 +457,7 @@ def removed_lines(
         "meetings",
     )
     line, partner = ["doc_id", "line"], ["with_doc", "with_line"]
-    many = met.where(F.col("kind") == HOT_ROW).select("token", "sizes", "map", "whole", *line)
+    many = met.where(F.col("kind") == HOT_ROW).select("token", *_SET, *line)
 
     def warm(many: DataFrame, most: int | None) -> DataFrame:
         many = many.withColumn("key", F.xxhash64("doc_id", "line", "sizes"))
@@ -459,7 +490,7 @@ def removed_lines(
             marked = rows.join(mark, line, "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
             return marked.join(marked.where("asks").select(key).distinct(), key, "left_semi")
 
-        later = asked(met.where(F.col("kind") == LATER).select("cell", "sizes", "map", "whole", *line), "cell")
+        later = asked(met.where(F.col("kind") == LATER).select("cell", *_SET, *line), "cell")
         cold = later.repartition("cell").sortWithinPartitions("cell").mapInArrow(_offers(["cell"], None), _OFFERED)
         rest = cold.unionByName(warm(asked(many, "token"), None)).select(*line, *partner)
         gone = gone.unionByName(_verified(docs, stored(rest.distinct(), "all-offers"))).distinct()
