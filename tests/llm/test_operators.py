@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import math
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SAMPLE
@@ -339,6 +341,48 @@ def test_line_dedup_matches_brute_force(spark, hot, tile, offers, share):
     assert {k: v for k, v in got.items()} == {k: v for k, v in expected.items() if v}
 
 
+def test_line_dedup_tells_long_words_apart(spark):
+    """Two long words with the same polynomial sum modulo 2^64, as every odd base gives."""
+    bits = [bin(k).count("1") & 1 for k in range(2048)]
+    a, b = ("".join("xy"[k ^ flip] for k in bits) for flip in (0, 1))
+    hashes = line_dedup.line_words([f"{a} {b} {a} short".encode()])[0].tolist()
+    assert hashes[0] == hashes[2] and len(set(hashes)) == 3
+    df = spark.createDataFrame([(1, a), (2, b), (3, a.upper() + "\n")], "doc_id long, text string")
+    assert [tuple(r) for r in line_dedup.removed_lines(df).collect()] == [(3, 0)]
+
+
+def prefix_rows(rows):
+    counts = types.SimpleNamespace(value=np.full(line_dedup._BUCKETS, 9))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    return pa.Table.from_batches(line_dedup._prefix_rows(counts, 100)(iter([batch]))).sort_by("cell").combine_chunks()
+
+
+@pytest.mark.parametrize("known", [1, 3, 1 << 18])
+def test_line_dedup_forgets_lines_safely(monkeypatch, known):
+    rows = [(i, "\n".join(f"line {k % 4} of some words that repeat" for k in range(i, i + 6))) for i in range(6)]
+    monkeypatch.setattr(line_dedup, "KNOWN", known)
+    table = prefix_rows(rows)
+    repeat = table.column("cell").to_numpy() >> line_dedup._KIND_BIT == line_dedup.REPEAT
+    place = list(zip(table.column("doc_id").to_pylist(), table.column("line").to_pylist()))
+    early, left = ({place[k] for k in np.flatnonzero(own)} for own in (repeat, ~repeat))
+    assert early <= {(i, k) for i, ks in brute_lines(rows).items() for k in ks}
+    assert early | left == {(i, k) for i in range(6) for k in range(6)}
+
+
+@pytest.mark.parametrize("short", [0, 12, 30, 1000])
+def test_line_dedup_filters_lose_no_pair(monkeypatch, short):
+    """Lines on both sides of the size where maps widen, too."""
+    monkeypatch.setattr(line_dedup, "SHORT_LINE", short)
+    rng = np.random.default_rng(8)
+    rows = [(n, " ".join(rng.permutation([f"w{k}" for k in range(n)] + [f"x{k}" for k in rng.integers(0, 9, n // 9)]))) for n in range(5, 60)]
+    table = prefix_rows(rows)
+    found, _, j, i, *_ = line_dedup._partners(table, table.column("cell").to_numpy(), None)
+    doc = found.column("doc_id").to_numpy()
+    sets = {n: set(text.split()) for n, text in rows}
+    near = {(b, a) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert near and near <= set(zip(doc[j].tolist(), doc[i].tolist()))
+
+
 def test_line_dedup_defined_cases(odd, empty):
     kept = line_dedup.deduplicate(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()

@@ -10,13 +10,14 @@ How matches are found, none lost:
    is the same for all lines keeps the filters exact; 2^17 counts are broadcast);
  - similar sets of n words share one of the n - ceil(0.8 n) + 1 rarest (prefix filter);
  - rows meet by prefix word and are compared when their sizes (length filter), the places of the
-   word (positional filter) and 128-bit parity maps of their words (words of one side only flip a
+   word (positional filter) and 128-bit parity maps (64-bit for short lines) of their words (words of one side only flip a
    bit each, which bounds the overlap from above) still allow the similarity; equal sets (size, map
    and a 64-bit hash of the set) match at once;
  - each other line offers its first surviving earlier partner per word, which are verified on the
    whole word sets; lines that had more partners and none verified offer all of them in a second
-   round. The word sets come from another scan, of the lines in a bit map of 2^26 bits: with more
-   offered lines than that it lets other lines through too, which costs work and changes nothing.
+   round. The word sets of both rounds come from one more scan, of the lines in a bit map of 2^26
+   bits: with more lines in question than that it lets others through too, which costs work and
+   changes nothing.
 Prefix rows are shuffled once and not stored. Words whose bucket holds at most `SHARE` of all words
 meet by word in one partition, and leave it unpaired when they have more than `HOT` rows; under the
 others equal lines meet and are merged. The rows of both kinds of frequent words are dealt into tiles,
@@ -34,6 +35,7 @@ an empty table gives an empty result; other columns are kept (`deduplicate`) or
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -56,6 +58,7 @@ TILE = 500
 OFFERS = 1  # partners offered per line and word in the first round
 KNOWN = 1 << 18  # lines a task remembers to drop repeats early
 LONG_WORD = 128  # bytes
+SHORT_LINE = 30  # words; such lines have a map of 64 bits
 _BUCKETS = 1 << BUCKET_BITS
 
 # kinds of rows, in the top bits of `cell`; the rest is a hash of what meets there
@@ -128,7 +131,7 @@ def _prefix_rows(counts: Broadcast, hot: int):
         rarity = count[_bucket(word)]
         most = np.uint64((1 << 18) - 1)
         key = (line.astype(np.uint64) << np.uint64(42)) | (np.minimum(rarity.astype(np.uint64), most) << np.uint64(24)) | (word >> np.uint64(40))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         tie = (key[order][1:] == key[order][:-1]) & (word[order][1:] != word[order][:-1])
         if tie.any() or line[-1] >= 1 << 22:
             order = np.lexsort((word, np.minimum(rarity, int(most)), line))
@@ -160,7 +163,8 @@ def _prefix_rows(counts: Broadcast, hot: int):
         group = np.repeat(np.arange(len(first)), size)
         place = np.arange(len(word)) - np.repeat(first, size)
         prefix = size - (NUMERATOR * size + DENOMINATOR - 1) // DENOMINATOR + 1
-        bit = mix64(word ^ np.uint64(0x77)) & np.uint64(127)
+        width = np.where(size > SHORT_LINE, np.uint64(127), np.uint64(63))  # 64 bits tell short lines apart
+        bit = mix64(word ^ np.uint64(0x77)) & np.repeat(width, size)
         flip, high = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6) == 1
         maps, maps_2 = (
             np.bitwise_xor.reduceat(np.where(own, flip, np.uint64(0)), first).view(np.int64) for own in (~high, high)
@@ -225,7 +229,9 @@ def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
         near = DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
         i, j, a, b = i[near], j[near], a[near], b[near]
         bound = np.minimum(place[i], place[j]) + np.minimum(a - place[i], b - place[j])
-        apart = np.bitwise_count(maps[i] ^ maps[j]).astype(np.int64) + np.bitwise_count(maps_2[i] ^ maps_2[j])
+        low, high = maps[i] ^ maps[j], maps_2[i] ^ maps_2[j]
+        mixed = (a > SHORT_LINE) != (b > SHORT_LINE)  # a map of 128 bits is folded to meet one of 64
+        apart = np.bitwise_count(np.where(mixed, low ^ high, low)).astype(np.int64) + np.where(mixed, 0, np.bitwise_count(high))
         bound = np.minimum(bound, (a + b - apart) // 2)
         ok = (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (a + b)
         ok &= (doc[i] != doc[j]) | (line[i] != line[j])
@@ -423,13 +429,15 @@ def _wanted_sets(bits: Broadcast):
     return run
 
 
-def _verified(docs: DataFrame, offers: DataFrame) -> DataFrame:
-    """Offers whose word sets reach the similarity: (doc_id, line), distinct."""
-    needed = offers.select("doc_id", "line").unionByName(
-        offers.select(F.col("with_doc").alias("doc_id"), F.col("with_line").alias("line"))
-    )
+def _word_sets(docs: DataFrame, lines: list[DataFrame]) -> DataFrame:
+    """(doc_id, line, words) of the lines, and of some others."""
+    needed = functools.reduce(DataFrame.unionByName, (x.toDF("doc_id", "line") for x in lines))
     shared = docs.sparkSession.sparkContext.broadcast(_bit_map(needed))
-    sets = stored(docs.mapInArrow(_wanted_sets(shared), "doc_id long, line int, words array<long>"), "line-sets")
+    return stored(docs.mapInArrow(_wanted_sets(shared), "doc_id long, line int, words array<long>"), "line-sets")
+
+
+def _verified(sets: DataFrame, offers: DataFrame) -> DataFrame:
+    """Offers whose word sets reach the similarity: (doc_id, line), distinct."""
     other = sets.select(F.col("doc_id").alias("with_doc"), F.col("line").alias("with_line"), F.col("words").alias("with_words"))
     both = F.size(F.array_intersect("words", "with_words"))
     return (
@@ -479,7 +487,10 @@ def removed_lines(
     )
     sure = first.where("same").select(*line)
     doubt = first.where("not same").select(*line, F.explode("partners").alias("p")).select(*line, "p.*")
-    verified = stored(_verified(docs, doubt), "verified")
+    later = met.where(F.col("kind") == LATER)
+    # the second round's sets come from the same scan: its lines are among these
+    sets = _word_sets(docs, [doubt.select(*line), doubt.select(*partner), later.select(*line), many.select(*line)])
+    verified = stored(_verified(sets, doubt), "verified")
     gone = sure.unionByName(verified)
     open_ = stored(first.where("not same and more").select(*line).join(verified, line, "left_anti"), "open")
     if not open_.isEmpty():
@@ -490,10 +501,10 @@ def removed_lines(
             marked = rows.join(mark, line, "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
             return marked.join(marked.where("asks").select(key).distinct(), key, "left_semi")
 
-        later = asked(met.where(F.col("kind") == LATER).select("cell", *_SET, *line), "cell")
+        later = asked(later.select("cell", *_SET, *line), "cell")
         cold = later.repartition("cell").sortWithinPartitions("cell").mapInArrow(_offers(["cell"], None), _OFFERED)
         rest = cold.unionByName(warm(asked(many, "token"), None)).select(*line, *partner)
-        gone = gone.unionByName(_verified(docs, stored(rest.distinct(), "all-offers"))).distinct()
+        gone = gone.unionByName(_verified(sets, stored(rest.distinct(), "all-offers"))).distinct()
     return gone
 
 
