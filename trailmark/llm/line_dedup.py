@@ -15,9 +15,9 @@ How matches are found, none lost:
    and a 64-bit hash of the set) match at once;
  - each other line offers its first surviving earlier partner per word, which are verified on the
    whole word sets; lines that had more partners and none verified offer all of them in a second
-   round. The word sets of both rounds come from one more scan, of the lines in a bit map of 2^26
-   bits: with more lines in question than that it lets others through too, which costs work and
-   changes nothing.
+   round. The word sets come from one more scan a round, of the lines in a bit map of 2^26 bits:
+   with more offered lines than that it lets others through too, which costs work and changes
+   nothing.
 Prefix rows are shuffled once and not stored. Words whose bucket holds at most `SHARE` of all words
 meet by word in one partition, and leave it unpaired when they have more than `HOT` rows; under the
 others equal lines meet and are merged. The rows of both kinds of frequent words are dealt into tiles,
@@ -35,7 +35,6 @@ an empty table gives an empty result; other columns are kept (`deduplicate`) or
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -429,15 +428,13 @@ def _wanted_sets(bits: Broadcast):
     return run
 
 
-def _word_sets(docs: DataFrame, lines: list[DataFrame]) -> DataFrame:
-    """(doc_id, line, words) of the lines, and of some others."""
-    needed = functools.reduce(DataFrame.unionByName, (x.toDF("doc_id", "line") for x in lines))
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(needed))
-    return stored(docs.mapInArrow(_wanted_sets(shared), "doc_id long, line int, words array<long>"), "line-sets")
-
-
-def _verified(sets: DataFrame, offers: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, offers: DataFrame) -> DataFrame:
     """Offers whose word sets reach the similarity: (doc_id, line), distinct."""
+    needed = offers.select("doc_id", "line").unionByName(
+        offers.select(F.col("with_doc").alias("doc_id"), F.col("with_line").alias("line"))
+    )
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(needed))
+    sets = stored(docs.mapInArrow(_wanted_sets(shared), "doc_id long, line int, words array<long>"), "line-sets")
     other = sets.select(F.col("doc_id").alias("with_doc"), F.col("line").alias("with_line"), F.col("words").alias("with_words"))
     both = F.size(F.array_intersect("words", "with_words"))
     return (
@@ -487,10 +484,7 @@ def removed_lines(
     )
     sure = first.where("same").select(*line)
     doubt = first.where("not same").select(*line, F.explode("partners").alias("p")).select(*line, "p.*")
-    later = met.where(F.col("kind") == LATER)
-    # the second round's sets come from the same scan: its lines are among these
-    sets = _word_sets(docs, [doubt.select(*line), doubt.select(*partner), later.select(*line), many.select(*line)])
-    verified = stored(_verified(sets, doubt), "verified")
+    verified = stored(_verified(docs, doubt), "verified")
     gone = sure.unionByName(verified)
     open_ = stored(first.where("not same and more").select(*line).join(verified, line, "left_anti"), "open")
     if not open_.isEmpty():
@@ -501,10 +495,10 @@ def removed_lines(
             marked = rows.join(mark, line, "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
             return marked.join(marked.where("asks").select(key).distinct(), key, "left_semi")
 
-        later = asked(later.select("cell", *_SET, *line), "cell")
+        later = asked(met.where(F.col("kind") == LATER).select("cell", *_SET, *line), "cell")
         cold = later.repartition("cell").sortWithinPartitions("cell").mapInArrow(_offers(["cell"], None), _OFFERED)
         rest = cold.unionByName(warm(asked(many, "token"), None)).select(*line, *partner)
-        gone = gone.unionByName(_verified(sets, stored(rest.distinct(), "all-offers"))).distinct()
+        gone = gone.unionByName(_verified(docs, stored(rest.distinct(), "all-offers"))).distinct()
     return gone
 
 
