@@ -417,9 +417,10 @@ def _stream_rollups(mode: str, late_policy: str = "recompute") -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = work_dir(spark, f"stream-{mode}")
-        stream_ingest.stream_rollups(
-            samples.stream_web_batches(spark, sf_dir, f"{out}/source"), f"{out}/events", f"{out}/rollups",
-            f"{out}/checkpoint", trigger=None, mode=mode, late_policy=late_policy).awaitTermination()
+        for stream in samples.stream_web_batches(spark, sf_dir, f"{out}/source"):
+            stream_ingest.stream_rollups(
+                stream, f"{out}/events", f"{out}/rollups", f"{out}/checkpoint", trigger=None, mode=mode,
+                late_policy=late_policy).awaitTermination()
         found = []
         for name, spec in rollups.SPECS.items():
             rows = stream_ingest.read_rollup(spark, f"{out}/rollups", name, mode)
@@ -449,8 +450,9 @@ def _stream_part(name: str, part: parts.Part, late_policy: str = "recompute") ->
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = work_dir(spark, name)
-        stream = samples.stream_web_batches(spark, sf_dir, f"{out}/source").withColumn("ip_hash", F.col("client_id"))
-        parts.run_parts(stream, {"result": part}, out, f"{out}/checkpoint", late_policy=late_policy).awaitTermination()
+        for stream in samples.stream_web_batches(spark, sf_dir, f"{out}/source"):
+            parts.run_parts(stream.withColumn("ip_hash", F.col("client_id")), {"result": part}, out,
+                            f"{out}/checkpoint", late_policy=late_policy).awaitTermination()
         return parts.read_result(spark, f"{out}/result", part)
 
     return run
@@ -481,19 +483,20 @@ def _estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "stream-late")
-    stream = samples.stream_web_batches(spark, sf_dir, f"{out}/source").select(
-        "event_id", "timestamp", "event_type", "website_id")
-    parts.run_parts(stream, {"result": parts.daily_windows()}, out, f"{out}/checkpoint",
-                    late_policy="side").awaitTermination()
+    for stream in samples.stream_web_batches(spark, sf_dir, f"{out}/source"):
+        parts.run_parts(stream.select("event_id", "timestamp", "event_type", "website_id"),
+                        {"result": parts.daily_windows()}, out, f"{out}/checkpoint",
+                        late_policy="side").awaitTermination()
     return parts.read_late(spark, out).select("event_id", "timestamp")
 
 
 def _stream_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_dir(spark, "stream-attribution")
-    attribution.run_attribution(
-        samples.stream_web_batches(spark, sf_dir, f"{out}/source").select(
-            "event_id", "timestamp", "website_id", "client_id", "session_id", "url_path", "url_query", *UTM_FIELDS, "referrer"),
-        out, f"{out}/checkpoint").awaitTermination()
+    for stream in samples.stream_web_batches(spark, sf_dir, f"{out}/source"):
+        attribution.run_attribution(
+            stream.select("event_id", "timestamp", "website_id", "client_id", "session_id", "url_path", "url_query",
+                          *UTM_FIELDS, "referrer"),
+            out, f"{out}/checkpoint").awaitTermination()
     return attribution.read_attribution(spark, out).select(
         "event_id", "utm_source", "utm_medium", "utm_campaign", "utm_term", "referrer", "landing_page")
 

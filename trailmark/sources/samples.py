@@ -10,6 +10,8 @@ be checked against them. Three views of the data:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +125,16 @@ def _base(events: DataFrame) -> DataFrame:
     )
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Stored rows over all cores, before anything is made of them.
+
+    A sample is one file and so one task, in which building and parsing wide rows is the
+    costly part. There are never fewer files than cores in a stored table.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of `events` as a site event with the full event schema."""
     return as_web_events(load(spark, sf_dir, "events"))
@@ -138,17 +150,17 @@ def stream_web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCHES = 3
 
 
-def stream_web_batches(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+def stream_web_batches(spark: SparkSession, sf_dir: str, folder: str) -> Iterator[DataFrame]:
     """`web_events` in BATCHES micro-batches, dealt by event id: most of the later ones are late.
 
-    The files are written to `folder`, one per batch, in batch order.
+    Each turn adds the files of one batch to `folder` and gives the stream of that folder. Run it
+    to its end from one checkpoint: what is new is one micro-batch, of as many files as there are.
     """
     source = load(spark, sf_dir, "events")
+    layout, rows = source.schema, _spread(source)
     for k in range(BATCHES):
-        part = source.where(F.pmod(F.col("event_id"), F.lit(BATCHES)) == k)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    files = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1)
-    return as_web_events(files.parquet(folder))
+        rows.where(F.pmod(F.col("event_id"), F.lit(BATCHES)) == k).write.mode("append").parquet(folder)
+        yield as_web_events(spark.readStream.schema(layout).parquet(folder))
 
 
 def as_web_events(source: DataFrame) -> DataFrame:
@@ -279,13 +291,9 @@ PAYLOADS = {
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of `events` as a posted payload; `row_id` is the source `event_id`."""
-    rows = _base(load(spark, sf_dir, "events")).selectExpr(
+    return _base(_spread(load(spark, sf_dir, "events"))).selectExpr(
         *[f"{e} AS {n}" for n, e in PAYLOADS.items()]
     )
-    # A sample is one file and so one task. Parsing is the costly part: spread the rows
-    # when there are fewer files than cores, as there never are in a stored table.
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 # Address ranges over `customer` (which must not be empty): equal slots of the address
