@@ -126,11 +126,13 @@ def ingest_batch(
         result = split(parsed, ip_ranges)
         _replace_batch(result.raw, f"{out}/raw_events", batch_id)
         _replace_batch(result.bad, f"{out}/bad_events", batch_id)
+        if not rollups:
+            _replace_batch(result.events, f"{out}/events", batch_id, daily=True)
+            return
         with tables.staged(result.events, out, batch_id, "events") as events:
             _replace_batch(events, f"{out}/events", batch_id, daily=True)
-            if rollups:
-                counted = parts.punctual(_rollup_columns(events), batch_id, f"{out}/rollups", delay, late_policy)
-                _keep_rollups(counted, batch_id, f"{out}/events", f"{out}/rollups", rollups, mode)
+            counted = parts.punctual(_rollup_columns(events), batch_id, f"{out}/rollups", delay, late_policy)
+            _keep_rollups(counted, batch_id, f"{out}/events", f"{out}/rollups", rollups, mode)
 
 
 def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, trigger: str | None) -> StreamingQuery:
