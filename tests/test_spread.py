@@ -74,3 +74,17 @@ def test_events_are_stored_once_without_rollups(spark, small, tmp_path, monkeypa
     assert named == ["parsed"]
     written = stream_ingest.read_events(spark, str(tmp_path / "out")).count()
     assert written > 0 and written == spark.read.parquet(str(tmp_path / "out/raw_events")).count()
+
+
+def test_bpe_remembers_frequent_words_in_bounded_memory(monkeypatch):
+    bpe = pytest.importorskip("trailmark.llm.bpe")
+    plain = bpe.WordBpe(bpe.default_path())
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 40)
+    small = bpe.WordBpe(bpe.default_path())
+    coded = []
+    monkeypatch.setattr(small, "encode_mapped", lambda word: coded.append(word) or plain.encode_mapped(word))
+    text = " ".join(f"often word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(500))
+    assert small.encode(text) == plain.encode(text)
+    assert coded.count("often") == 1
+    assert len(small.words) + len(small.older) <= 40
+    assert small.decode(small.encode("often")) == plain.decode(plain.encode("often"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -32,9 +33,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import text_slices, texts_of
+from trailmark.llm.common import release_memory, text_slices, texts_of
 
-CACHED_WORDS = 200_000  # pieces remembered per worker; older ones are encoded again
+CACHED_WORDS = 160_000  # pieces remembered per worker, half of them for sure the latest ones used
 CACHED_PAIRS = 400_000
 _LONGEST_CACHED = 48
 _SYMBOL = 0xE000  # neither letter nor number nor space
@@ -133,7 +134,10 @@ class WordBpe:
                 self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        # ids of pieces: those used since the last turn, and those used in the turn before
+        self.words: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.shown = {i: str(i) for i in self.names}
 
     def pair_fits(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' text gives these two tokens.
@@ -194,17 +198,17 @@ class WordBpe:
         ids.reverse()
         return ids
 
-    def piece(self, piece: str) -> tuple[int, str, str]:
-        """(number of ids, ids as text, decoded text) of one pre-token."""
-        mapped = "".join([self.bytes[b] for b in piece.encode("utf-8")]) if not (piece.isascii() and piece.isprintable()) else piece
-        ids = self.encode_mapped(mapped)
-        out = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+    def piece(self, piece: str) -> list[int]:
+        """Ids of one pre-token."""
+        ids = self.words.get(piece) or self.older.get(piece)
+        if ids is None:
+            mapped = "".join([self.bytes[b] for b in piece.encode("utf-8")]) if not (piece.isascii() and piece.isprintable()) else piece
+            ids = self.encode_mapped(mapped)
         if len(piece) <= _LONGEST_CACHED:
-            if len(self.words) >= CACHED_WORDS:
-                for old in list(self.words)[: CACHED_WORDS // 4]:
-                    del self.words[old]
-            self.words[piece] = out
-        return out
+            if len(self.words) >= CACHED_WORDS // 2:
+                self.words, self.older = {}, self.words
+            self.words[piece] = ids
+        return ids
 
     def normalised(self, text: str) -> str:
         """NFC, then lower case of each code point by itself (no final-sigma rule)."""
@@ -231,23 +235,22 @@ class WordBpe:
                 return [text[m.start() : m.end()] for m in self.pieces.finditer(text.translate(symbols))]
         return self.pieces.findall(self.normalised(text))
 
-    def encode_parts(self, text: str) -> list[tuple[int, str, str]]:
-        out: list[tuple[int, str, str]] = []
+    def encode(self, text: str) -> list[int]:
+        out: list[int] = []
         for part, added in self.segments(text):
             if added:
-                i = self.added[part]
-                out.append((1, str(i), self.decode([i])))
+                out.append(self.added[part])
                 continue
-            known, make = self.words.get, self.piece
-            out.extend([known(p) or make(p) for p in self.cut(part)])
+            known, make = self.words.get, self.piece  # after a turn `known` asks the older ones
+            out.extend(itertools.chain.from_iterable([known(p) or make(p) for p in self.cut(part)]))
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.encode_parts(text) for i in ids.split()]
+    def ids_text(self, ids: list[int]) -> str:
+        return " ".join(map(self.shown.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by one space: the file names no decoder."""
-        return " ".join([self.names[i] for i in ids])
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=2)
@@ -259,22 +262,26 @@ _CODED = "doc_id long, n_tokens long, ids string, decoded string"
 _DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
 def _encode(path: str | None, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         bpe = load(path or default_path())
+        kept = _sha256 if digests else str
         for batch in batches:
             for start, end in text_slices(batch):
                 count = np.zeros(end - start, dtype=np.int64)
-                ids, decoded = [], []
+                shown, decoded = [], []
                 for k, text in enumerate(texts_of(batch, start, end)):
-                    parts = bpe.encode_parts(text.decode("utf-8"))
-                    count[k] = sum([p[0] for p in parts])
-                    ids.append(" ".join([p[1] for p in parts]))
-                    decoded.append(" ".join([p[2] for p in parts]))
-                if digests:
-                    ids, decoded = ([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in v] for v in (ids, decoded))
+                    ids = bpe.encode(text.decode("utf-8"))
+                    count[k] = len(ids)
+                    shown.append(kept(bpe.ids_text(ids)))
+                    decoded.append(kept(bpe.decode(ids)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), pa.array(count), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    [batch.column(0).slice(start, end - start), pa.array(count), pa.array(shown, pa.string()), pa.array(decoded, pa.string())],
                     names=[c.split()[0] for c in (_DIGESTS if digests else _CODED).split(", ")],
                 )
 

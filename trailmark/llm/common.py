@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +60,13 @@ def texts_of(batch: pa.RecordBatch, start: int, end: int, column: str = "text")
     return [v or b"" for v in values.to_pylist()]
 
 
+def release_memory() -> None:
+    """Give back what earlier work of a reused worker left behind: tables of powers, freed Arrow buffers."""
+    _powers.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 # ---- word hashes ----------------------------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
