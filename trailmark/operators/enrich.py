@@ -227,7 +227,8 @@ def add_geo_networks(
 
 
 def add_geo(
-    events: DataFrame, ip_ranges: DataFrame, max_broadcast_bytes: int = BROADCAST_BYTES
+    events: DataFrame, ip_ranges: DataFrame, max_broadcast_bytes: int = BROADCAST_BYTES,
+    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Add `country, city` of the IPv4 address; '' when no range holds it.
 
@@ -235,7 +236,8 @@ def add_geo(
     join on the address prefix. By its size in the plan, a range table within the bound is
     broadcast and events do not move (prefixes add 65,536 rows at most); beyond it, only the
     distinct addresses are matched and the result is joined back on `ip`, where adaptive
-    execution splits a hot address.
+    execution splits a hot address. `max_broadcast_rows` bounds its rows as well, which reads
+    at most one row more than that.
     """
     ranges = prefix_ranges(ip_ranges)
     number = identity.ipv4_number(F.col("ip"))
@@ -249,7 +251,8 @@ def add_geo(
         return joined.drop("ip_prefix", "ip_number", "lo", "hi")
 
     base = events.drop("country", "city")
-    if _small(ip_ranges, max_broadcast_bytes):
+    few = max_broadcast_rows is None or ip_ranges.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+    if few and _small(ip_ranges, max_broadcast_bytes):
         return located(base, F.broadcast(ranges)).withColumns(fill)
     places = located(base.select("ip").distinct(), ranges)
     return base.join(places, "ip", "left").withColumns(fill)
