@@ -88,3 +88,19 @@ def test_bpe_remembers_frequent_words_in_bounded_memory(monkeypatch):
     assert coded.count("often") == 1
     assert len(small.words) + len(small.older) <= 40
     assert small.decode(small.encode("often")) == plain.decode(plain.encode("often"))
+
+
+def test_bpe_writes_out_a_repeated_piece_once(monkeypatch):
+    bpe = pytest.importorskip("trailmark.llm.bpe")
+    own = bpe.WordBpe(bpe.default_path())
+    written = []
+    decode = own.decode
+    monkeypatch.setattr(own, "decode", lambda ids: written.append(list(ids)) or decode(ids))
+    word = "onreonlyqueéle"
+    once = own.encode(word)
+    assert len(once) > 1
+    ids, tokens = own.coded(f"{word} 7 " * 30)
+    again = (once + own.encode("7")) * 30
+    assert ids == " ".join(map(str, again)) and tokens == decode(again)
+    assert written == [once]
+    assert own.coded("") == ("", "") and own.coded(" \n") == ("", "") and own.encode("") == []

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -129,15 +128,15 @@ class WordBpe:
             if self.suffix and token.endswith(self.suffix):
                 body = token[: -len(self.suffix)]
                 if body:
-                    self.automaton.add_word(body + end, (len(body), i))
+                    self.automaton.add_word(body + end, (len(body) + 1, i))
             else:
                 self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
-        # ids of pieces: those used since the last turn, and those used in the turn before
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-        self.shown = {i: str(i) for i in self.names}
+        self.compatible: dict[int, bool] = {}  # by left << 32 | right
+        self.shown = {i: (str(i), name) for i, name in self.names.items()}
+        # ids and tokens of pieces: those used since the last turn, and those used in the turn before
+        self.words: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def pair_fits(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' text gives these two tokens.
@@ -146,7 +145,7 @@ class WordBpe:
         at the seam: had it merged before the side it belongs to was built, the seam would not
         have stayed.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self.compatible.get(key)
         if known is not None:
             return known
@@ -176,21 +175,24 @@ class WordBpe:
 
     def encode_mapped(self, word: str) -> list[int]:
         """Ids of a non-empty word in byte characters."""
-        n = len(word)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        n = len(word) + bool(self.suffix)  # the last place is that of the suffix
+        within = n - 2 if self.suffix else n  # only a token with the suffix may end the word
+        last, back, found = [-1] * (n + 1), [0] * (n + 1), -1
+        known, fits = self.compatible.get, self.pair_fits
+        # matches come by their last place, the longest first; one of them passes
         for at, (size, token) in self.automaton.iter(word + "\n" if self.suffix else word):
-            if at >= n:
-                ends[n].append((size, token))
-            elif at < n - 1 or not self.suffix:
-                ends[at + 1].append((size, token))
-        last, fits = [-1] * (n + 1), self.pair_fits
-        back = [0] * (n + 1)
-        for end in range(1, n + 1):
-            for size, token in ends[end]:
-                start = end - size
-                if start == 0 or (last[start] >= 0 and fits(last[start], token)):
-                    last[end], back[end] = token, start
-                    break
+            if at == found or at == within:
+                continue
+            start = at + 1 - size
+            if start:
+                left = last[start]
+                if left < 0:
+                    continue
+                ok = known(left << 32 | token)
+                if not (fits(left, token) if ok is None else ok):
+                    continue
+            found = at
+            last[at + 1], back[at + 1] = token, start
         ids, at = [], n
         while at:
             ids.append(last[at])
@@ -198,17 +200,18 @@ class WordBpe:
         ids.reverse()
         return ids
 
-    def piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token."""
-        ids = self.words.get(piece) or self.older.get(piece)
-        if ids is None:
+    def piece(self, piece: str) -> tuple[str, str]:
+        """Ids and tokens of one pre-token, each joined by one space."""
+        both = self.words.get(piece) or self.older.get(piece)
+        if both is None:
             mapped = "".join([self.bytes[b] for b in piece.encode("utf-8")]) if not (piece.isascii() and piece.isprintable()) else piece
             ids = self.encode_mapped(mapped)
+            both = self.shown[ids[0]] if len(ids) == 1 else (self.ids_text(ids), self.decode(ids))
         if len(piece) <= _LONGEST_CACHED:
             if len(self.words) >= CACHED_WORDS // 2:
                 self.words, self.older = {}, self.words
-            self.words[piece] = ids
-        return ids
+            self.words[piece] = both
+        return both
 
     def normalised(self, text: str) -> str:
         """NFC, then lower case of each code point by itself (no final-sigma rule)."""
@@ -235,18 +238,22 @@ class WordBpe:
                 return [text[m.start() : m.end()] for m in self.pieces.finditer(text.translate(symbols))]
         return self.pieces.findall(self.normalised(text))
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def coded(self, text: str) -> tuple[str, str]:
+        """Ids and tokens of a text, each joined by one space."""
+        out: list[tuple[str, str]] = []
         for part, added in self.segments(text):
             if added:
-                out.append(self.added[part])
+                out.append(self.shown[self.added[part]])
                 continue
             known, make = self.words.get, self.piece  # after a turn `known` asks the older ones
-            out.extend(itertools.chain.from_iterable([known(p) or make(p) for p in self.cut(part)]))
-        return out
+            out.extend([known(p) or make(p) for p in self.cut(part)])
+        return " ".join([ids for ids, _ in out]), " ".join([tokens for _, tokens in out])
+
+    def encode(self, text: str) -> list[int]:
+        return list(map(int, self.coded(text)[0].split()))
 
     def ids_text(self, ids: list[int]) -> str:
-        return " ".join(map(self.shown.__getitem__, ids))
+        return " ".join([self.shown[i][0] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by one space: the file names no decoder."""
@@ -276,10 +283,10 @@ def _encode(path: str | None, digests: bool):
                 count = np.zeros(end - start, dtype=np.int64)
                 shown, decoded = [], []
                 for k, text in enumerate(texts_of(batch, start, end)):
-                    ids = bpe.encode(text.decode("utf-8"))
-                    count[k] = len(ids)
-                    shown.append(kept(bpe.ids_text(ids)))
-                    decoded.append(kept(bpe.decode(ids)))
+                    ids, tokens = bpe.coded(text.decode("utf-8"))
+                    count[k] = ids.count(" ") + 1 if ids else 0
+                    shown.append(kept(ids))
+                    decoded.append(kept(tokens))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, end - start), pa.array(count), pa.array(shown, pa.string()), pa.array(decoded, pa.string())],
                     names=[c.split()[0] for c in (_DIGESTS if digests else _CODED).split(", ")],
