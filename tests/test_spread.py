@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+from collections import Counter
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from trailmark.plans import catalog
@@ -104,3 +108,37 @@ def test_bpe_writes_out_a_repeated_piece_once(monkeypatch):
     assert ids == " ".join(map(str, again)) and tokens == decode(again)
     assert written == [once]
     assert own.coded("") == ("", "") and own.coded(" \n") == ("", "") and own.encode("") == []
+
+
+def lm_contexts(symbols, orders):
+    """One chain of contexts: each symbol alone, then behind itself again and again."""
+    parents = [np.zeros(symbols, dtype=np.int64), *[np.arange(symbols)] * (orders - 1)]
+    return parents, [np.arange(symbols)] * orders
+
+
+def test_lm_scoring_counts_contexts_in_little_memory():
+    lm = pytest.importorskip("trailmark.llm.lm_scoring")
+    symbol = np.full(256, lm.OTHER, dtype=np.uint8)
+    symbol[[ord(c) for c in "ab "]] = range(3)
+    symbol[255] = lm.END
+    texts = ["aaaaab", "", "baaaaaaab  aaaaaa", "aaaaa"]
+    parents, older = lm_contexts(3, 5)
+    (rows,) = lm._extensions(symbol, parents, older)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    got = {(k, c): n for k, c, n in zip(*(rows.column(i).to_pylist() for i in range(3)))}
+    expected = Counter()
+    for text in texts:
+        s = [lm.END] * 8 + [symbol[ord(c)] for c in " ".join(text.split())] + [lm.END]
+        for at in range(8, len(s)):
+            if len(set(s[at - 5 : at])) == 1 and s[at - 1] < 3:
+                expected[0, int(s[at - 1]) * 64 + int(s[at])] += 1
+                expected[1, int(s[at - 1]) * 64 + int(s[at - 6])] += 1
+    assert got == expected and expected
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["aaaaaaa abab " * 200] * 1600)], ["text"])  # 4 MB
+    tracemalloc.start()
+    try:
+        list(lm._extensions(symbol, parents, older)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 48 << 20

@@ -41,12 +41,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_BYTES of text each; one longer text makes a range alone."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `size` bytes of text each; one longer text makes a range alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > SLICE_BYTES:
+        if i > start and total + n > size:
             yield start, i
             start, total = i, 0
         total += n

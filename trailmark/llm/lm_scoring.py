@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,9 @@ END, OTHER = 63, 62
 _LN10 = math.log(10)
 _EDGE = b"\xff"  # no byte of UTF-8
 _PAD = _EDGE * DEPTH
-_MERGE = 4 << 20
+_MERGE = 2 << 20
+_SLICE = 1 << 19  # bytes of text handled at once: the arrays of a slice stay in a core's cache
+_HEAD = 3  # symbols of a history that are looked up at once
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -131,31 +134,32 @@ def word_counts(chunks: DataFrame) -> tuple[DataFrame, int, int]:
 
 # ---- the tree -------------------------------------------------------------------------
 
-def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Texts as one buffer with edges around, and first and end position of every text."""
-    plain = [b" ".join(tokens(t)) for t in texts]
+def _joined(texts: list[list[bytes]]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Texts, given as tokens, as one buffer with edges around; first and end position of every text."""
+    plain = list(map(b" ".join, texts))
     sizes = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
     starts = np.cumsum(sizes + DEPTH) - sizes
     return _PAD + _PAD.join(plain) + _EDGE, starts, starts + sizes
 
 
 def _codes(data: bytes, ends: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(predicted positions, symbols of all positions)."""
-    s = symbol[np.frombuffer(data, dtype=np.uint8)].astype(np.int32)
+    """(whether a position is predicted, symbol) of all positions."""
+    s = symbol.astype(np.int32)[np.frombuffer(data, dtype=np.uint8)]
     predicted = np.ones(len(s), dtype=bool)
     predicted[:DEPTH] = False
     for k in range(1, DEPTH):  # the rest of the edge after a text's end symbol
         predicted[ends[:-1] + k] = False
-    return np.flatnonzero(predicted), s
+    return predicted, s
 
 
 def _short_codes(data: bytes, ends: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """SHORT + 1 symbols of 6 bits for every predicted position."""
-    at, s = _codes(data, ends, symbol)
+    predicted, s = _codes(data, ends, symbol)
     code = s[: len(s) - SHORT].copy()
     for k in range(1, SHORT + 1):
-        code = (code << 6) | s[k : len(s) - SHORT + k]
-    return code[at - SHORT]
+        code <<= 6
+        code |= s[k : len(s) - SHORT + k]
+    return code[predicted[SHORT:]]
 
 
 def children(parents: list[np.ndarray], older: list[np.ndarray]) -> list[np.ndarray]:
@@ -169,11 +173,44 @@ def children(parents: list[np.ndarray], older: list[np.ndarray]) -> list[np.ndar
     return out
 
 
-def _descend(at: np.ndarray, s: np.ndarray, steps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per order: indices into `at` whose history has a context there, and the context."""
-    live, state = np.arange(len(at)), np.zeros(len(at), dtype=np.int32)
-    for k, step in enumerate(steps, 1):
-        state = step[state, s[at[live] - k]]
+def _towards_last(steps: list[np.ndarray], parents: list[np.ndarray]) -> list[np.ndarray]:
+    """Steps that lead to contexts of the last order only."""
+    out, leads = [], np.ones(len(parents[-1]), dtype=bool)
+    for step, parent in zip(reversed(steps), reversed(parents)):
+        out.append(np.where((step >= 0) & leads[step], step, np.int32(-1)))
+        above = np.zeros(len(step), dtype=bool)
+        above[parent[leads]] = True
+        leads = above
+    return out[::-1]
+
+
+def _heads(steps: list[np.ndarray]) -> list[np.ndarray]:
+    """Per order up to _HEAD: the context of every history of _HEAD symbols, -1 where there is none."""
+    code = np.arange(1 << 6 * _HEAD)
+    state, out = np.zeros(len(code), dtype=np.int32), []
+    for k in range(_HEAD):
+        if k < len(steps) and len(steps[k]):
+            state = np.where(state >= 0, steps[k][state, (code >> 6 * k) & 63], np.int32(-1))
+        else:
+            state = np.full(len(code), -1, dtype=np.int32)
+        out.append(state)
+    return out
+
+
+def _histories(s: np.ndarray) -> np.ndarray:
+    """The last _HEAD symbols before every position from _HEAD on, the latest one lowest."""
+    code = s[: len(s) - _HEAD].copy()
+    for k in range(1, _HEAD):
+        code <<= 6
+        code |= s[k : len(s) - _HEAD + k]
+    return code
+
+
+def _descend(live: np.ndarray, state: np.ndarray, s: np.ndarray, steps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per order above _HEAD: the positions among `live`, which have contexts of _HEAD symbols, whose
+    history has a context there, and the context."""
+    for k, step in enumerate(steps[_HEAD:], _HEAD + 1):
+        state = step.ravel()[(state << 6) + s[live - k]]
         there = state >= 0
         live, state = live[there], state[there]
         yield live, state
@@ -183,14 +220,18 @@ def _extensions(symbol: np.ndarray, parents: list[np.ndarray], older: list[np.nd
     """Next symbols (kind 0) and older symbols (kind 1) of the contexts of the last order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps, k = children(parents, older), len(parents)
+        steps, k = _towards_last(children(parents, older), parents), len(parents)
+        head = _heads(steps)[-1]
         total = np.zeros((2, len(parents[-1]) * 64), dtype=np.int64)
         for batch in batches:
-            for start, end in text_slices(batch):
-                data, _, ends = _joined(texts_of(batch, start, end))
-                at, s = _codes(data, ends, symbol)
-                *_, (live, state) = _descend(at, s, steps)
-                cell, at = state.astype(np.int64) * 64, at[live]
+            for start, end in text_slices(batch, size=_SLICE):
+                data, _, ends = _joined(list(map(tokens, texts_of(batch, start, end))))
+                predicted, s = _codes(data, ends, symbol)
+                state = head[_histories(s)]
+                at = np.flatnonzero((state >= 0) & predicted[_HEAD:])
+                for at, state in _descend(at + _HEAD, state[at], s, steps):  # noqa: B020
+                    pass
+                cell = state << 6
                 total[0] += np.bincount(cell + s[at], minlength=total.shape[1])
                 if k < DEPTH:
                     total[1] += np.bincount(cell + s[at - k - 1], minlength=total.shape[1])
@@ -222,8 +263,8 @@ def _grams(symbol: np.ndarray):
         counts: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for start, end in text_slices(batch):
-                data, _, ends = _joined(texts_of(batch, start, end))
+            for start, end in text_slices(batch, size=_SLICE):
+                data, _, ends = _joined(list(map(tokens, texts_of(batch, start, end))))
                 code, n = np.unique(_short_codes(data, ends, symbol), return_counts=True)
                 codes.append(code)
                 counts.append(n)
@@ -336,23 +377,44 @@ def _grow(parents, older, counts, total: int):
     return kept_parents, kept_older, logs
 
 
-def token_logs(texts: list[bytes], model, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Suffixes:
+    """Lookup of the longest kept suffix: contexts of all orders numbered in one row of tables."""
+
+    def __init__(self, model):
+        self.symbol, parents, older, logs = model
+        self.steps = children(parents, older)
+        self.logs = np.concatenate([table.ravel() for table in logs])
+        self.first = np.cumsum([0, *map(len, logs)]).astype(np.int32)  # of each order
+        heads = _heads(self.steps)
+        self.head = heads[-1]
+        self.longest = np.zeros(len(self.head), dtype=np.int32)
+        for k, state in enumerate(heads, 1):
+            self.longest = np.where(state >= 0, state + self.first[min(k, len(logs))], self.longest)
+
+    def of(self, s: np.ndarray, predicted: np.ndarray) -> np.ndarray:
+        """The longest suffix of the history of every position from _HEAD on."""
+        history = _histories(s)
+        state, longest = self.head[history], self.longest[history]
+        at = np.flatnonzero((state >= 0) & predicted[_HEAD:])
+        for k, (live, state) in enumerate(_descend(at + _HEAD, state[at], s, self.steps), _HEAD + 1):
+            longest[live - _HEAD] = state + self.first[k]  # longer suffixes replace shorter
+        return longest
+
+
+def token_logs(texts: list[list[bytes]], suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 probabilities under the tree of all words in order and of each text's end token,
     and the text of every word."""
-    symbol, _, _, logs = model
     data, starts, ends = _joined(texts)
-    at, s = _codes(data, ends, symbol)
+    predicted, s = _codes(data, ends, suffixes.symbol)
+    at = np.flatnonzero(predicted)
+    table = (suffixes.of(s, predicted) << 6)[at - _HEAD]
     raw = np.frombuffer(data, dtype=np.uint8)[at]
     stops = (raw == 0x20) | (raw == _EDGE[0])  # behind a word, or in place of any
-    space = int(symbol[0x20])
-    each, go_on, finish = logs[0][0, s[at]].astype(np.float64), np.full(len(at), logs[0][0, space]), np.full(len(at), logs[0][0, END])
-    for k, (live, state) in enumerate(_descend(at, s, steps), 1):  # longer suffixes replace shorter
-        each[live] = logs[k][state, s[at[live]]]
-        own = stops[live]
-        live, state = live[own], state[own]
-        go_on[live], finish[live] = logs[k][state, space], logs[k][state, END]
+    each = suffixes.logs[table + s[at]].astype(np.float64)
     stop = np.flatnonzero(stops)
-    go_on, finish = go_on[stop].astype(np.float64), finish[stop].astype(np.float64)
+    go_on, finish = (
+        suffixes.logs[table[stop] + k].astype(np.float64) for k in (int(suffixes.symbol[0x20]), END)
+    )
     either = np.logaddexp(go_on * _LN10, finish * _LN10) / _LN10
     sums = np.concatenate(([0.0], np.cumsum(each)))
     text = np.searchsorted(ends, at[stop])
@@ -374,40 +436,34 @@ def _score(model, n: int, v: int):
     scale = math.log10(n + v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, logs, unseen = None, {}, set()
+        at, logs = None, {}
         own, other = math.log(WORD_SHARE), math.log(1 - WORD_SHARE)
         mixed = lambda base, tree: np.logaddexp(base * _LN10 + own, tree * _LN10 + other) / _LN10
-        steps = children(*model.value[1:3])
+        suffixes = Suffixes(model.value)
         for batch in batches:
             chunk = batch.column("chunk").to_numpy()
             is_text = batch.column("kind").to_numpy()
             cuts = np.flatnonzero((chunk[1:] != chunk[:-1]) | (is_text[1:] != is_text[:-1])) + 1
             for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)]):
                 if chunk[low] != at:
-                    at, logs, unseen = chunk[low], {}, set()
+                    at, logs = chunk[low], {}
                 if not is_text[low]:
                     words = batch.column("body").slice(low, high - low).cast(pa.binary()).to_pylist()
                     c = batch.column("number").slice(low, high - low).to_numpy(zero_copy_only=False)
                     logs.update(zip(words, (np.log10(c + 1.0) - scale).tolist()))
-                    unseen.update([words[k] for k in np.flatnonzero(c == 0).tolist()])
                     continue
                 part = batch.slice(low, high - low)
-                for start, end in text_slices(part, "body"):
-                    texts = texts_of(part, start, end, "body")
-                    base, count, known, each = [], [], [], []
-                    stop = logs[b""]
-                    for text in texts:
-                        words = tokens(text)
-                        values = list(map(logs.__getitem__, words))
-                        each.extend(values)
-                        base.append(math.fsum(values) + stop)
-                        count.append(len(words) + 1)
-                        known.append(len(words) - sum(map(unseen.__contains__, words)) + (b"" not in unseen))
-                    words, over, of = token_logs(texts, model.value, steps)
-                    score = np.bincount(of, mixed(np.array(each), words), minlength=len(texts)) + mixed(np.full(len(texts), stop), over)
+                for start, end in text_slices(part, "body", _SLICE):
+                    texts = list(map(tokens, texts_of(part, start, end, "body")))
+                    size, stop = np.fromiter(map(len, texts), np.int64, len(texts)), logs[b""]
+                    each = np.fromiter(map(logs.__getitem__, chain.from_iterable(texts)), np.float64, size.sum())
+                    words, over, of = token_logs(texts, suffixes)
+                    base = np.bincount(of, each, minlength=len(texts)) + stop
+                    known = np.bincount(of, each > -scale, minlength=len(texts)).astype(np.int64) + int(stop > -scale)
+                    score = np.bincount(of, mixed(each, words), minlength=len(texts)) + mixed(np.full(len(texts), stop), over)
                     yield pa.RecordBatch.from_arrays(
                         [part.column("number").slice(start, end - start), part.column("held_out").slice(start, end - start),
-                         pa.array(count, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                         pa.array(size + 1), pa.array(known), pa.array(base),
                          pa.array(score)],
                         names=[c.split()[0] for c in _SCORED.split(", ")],
                     )
