@@ -142,3 +142,25 @@ def test_lm_scoring_counts_contexts_in_little_memory():
     finally:
         tracemalloc.stop()
     assert peak < 48 << 20
+
+
+def test_tasks_leave_small_workers_behind(monkeypatch):
+    common = pytest.importorskip("trailmark.llm.common")
+    common._powers.cache_clear()
+    text = b" ".join(b"w%d" % k for k in range(300_000)) + b" " + b"x" * (3 << 20) + b" end"
+    tracemalloc.start()
+    try:
+        hashes, places = common.word_hashes(text)
+        kept = tracemalloc.get_traced_memory()[0] - hashes.nbytes - places.nbytes
+    finally:
+        tracemalloc.stop()
+    assert kept < 12 << 20
+    assert len(hashes) == 300_002 and len(set(hashes.tolist())) == 300_002
+    monkeypatch.setattr(common, "_PIECE", 1000)  # the pieces make no difference
+    again, at = common.word_hashes(text)
+    assert np.array_equal(hashes, again) and np.array_equal(places, at)
+    monkeypatch.undo()
+    common.word_hashes(b"a b")
+    assert common._powers.cache_info().currsize == 1
+    assert list(common.released(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4]
+    assert common._powers.cache_info().currsize == 0

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +62,33 @@ def texts_of(batch: pa.RecordBatch, start: int, end: int, column: str = "text")
 
 
 def release_memory() -> None:
-    """Give back what earlier work of a reused worker left behind: tables of powers, freed Arrow buffers."""
+    """Give back what earlier work of a reused worker left behind: tables of powers, freed Arrow buffers
+    and the allocator's free pages."""
     _powers.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """A task function that leaves a small worker behind: workers wait for further tasks, beside an
+    executor that may have other work."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
 
 
 # ---- word hashes ----------------------------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -82,7 +100,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
     up, down = np.full(n, _ODD), np.full(n, inverse)
@@ -97,8 +115,8 @@ def _piece_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = SPACES[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    size = 1 << max(20, int(len(data) + 1).bit_length())
-    up, down = _powers(size)
+    size = max(2 * _PIECE, 1 << int(len(data) + 1).bit_length())
+    up, down = _powers(size) if size == 2 * _PIECE else _powers.__wrapped__(size)  # those of a giant word are not kept
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import (
-    cell_pairs, free_name, mix64, stored, text_slices, texts_of, tiled, whole_cells, word_hashes,
+    cell_pairs, free_name, mix64, released, stored, text_slices, texts_of, tiled, whole_cells, word_hashes,
 )
 
 NUMERATOR, DENOMINATOR = 4, 5  # Jaccard similarity
@@ -101,7 +101,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
     """Word counts in 2^BUCKET_BITS buckets over all lines: a bounded table."""
-    rows = docs.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(released(_count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = rows.toPandas()
     counts = np.zeros(_BUCKETS, dtype=np.int64)
     counts[found.bucket.to_numpy(dtype=np.int64)] = found.n.to_numpy(dtype=np.int64)
@@ -385,7 +385,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bit_map(lines: DataFrame) -> np.ndarray:
     """Bit map of the slots of lines (doc_id, line), packed: 8 MB whatever their number."""
     blocks = (
-        lines.mapInArrow(_slots, "slot long")
+        lines.mapInArrow(released(_slots), "slot long")
         .groupBy(F.bitmap_bucket_number("slot").alias("block"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
         .toPandas()
@@ -434,7 +434,7 @@ def _verified(docs: DataFrame, offers: DataFrame) -> DataFrame:
         offers.select(F.col("with_doc").alias("doc_id"), F.col("with_line").alias("line"))
     )
     shared = docs.sparkSession.sparkContext.broadcast(_bit_map(needed))
-    sets = stored(docs.mapInArrow(_wanted_sets(shared), "doc_id long, line int, words array<long>"), "line-sets")
+    sets = stored(docs.mapInArrow(released(_wanted_sets(shared)), "doc_id long, line int, words array<long>"), "line-sets")
     other = sets.select(F.col("doc_id").alias("with_doc"), F.col("line").alias("with_line"), F.col("words").alias("with_words"))
     both = F.size(F.array_intersect("words", "with_words"))
     return (
@@ -457,8 +457,8 @@ def removed_lines(
     found = bucket_counts(docs)
     counts, spread = spark.sparkContext.broadcast(found), max(hot, int(found.sum() * share))
     met = stored(
-        docs.mapInArrow(_prefix_rows(counts, spread), _ROWS).repartition("cell").sortWithinPartitions("cell")
-        .mapInArrow(_meetings(offers, hot), _MET),
+        docs.mapInArrow(released(_prefix_rows(counts, spread)), _ROWS).repartition("cell").sortWithinPartitions("cell")
+        .mapInArrow(released(_meetings(offers, hot)), _MET),
         "meetings",
     )
     line, partner = ["doc_id", "line"], ["with_doc", "with_line"]
@@ -466,7 +466,7 @@ def removed_lines(
 
     def warm(many: DataFrame, most: int | None) -> DataFrame:
         many = many.withColumn("key", F.xxhash64("doc_id", "line", "sizes"))
-        return tiled(many, ["token"], "key", tile).mapInArrow(_offers(["token", "cell_x", "cell_y"], most), _OFFERED)
+        return tiled(many, ["token"], "key", tile).mapInArrow(released(_offers(["token", "cell_x", "cell_y"], most)), _OFFERED)
 
     # one row per line: a line has at most one partner per prefix word here
     first = stored(
@@ -496,7 +496,7 @@ def removed_lines(
             return marked.join(marked.where("asks").select(key).distinct(), key, "left_semi")
 
         later = asked(met.where(F.col("kind") == LATER).select("cell", *_SET, *line), "cell")
-        cold = later.repartition("cell").sortWithinPartitions("cell").mapInArrow(_offers(["cell"], None), _OFFERED)
+        cold = later.repartition("cell").sortWithinPartitions("cell").mapInArrow(released(_offers(["cell"], None)), _OFFERED)
         rest = cold.unionByName(warm(asked(many, "token"), None)).select(*line, *partner)
         gone = gone.unionByName(_verified(docs, stored(rest.distinct(), "all-offers"))).distinct()
     return gone

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import stored, text_slices, texts_of
+from trailmark.llm.common import released, stored, text_slices, texts_of
 
 FOLDS, HELD_OUT = 7, 2
 SHORT, DEPTH = 4, 8
@@ -82,7 +82,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"),
         F.coalesce(fold != HELD_OUT, F.lit(False)).alias("teaches"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    return stored(rows.mapInArrow(_chunks, "chunk long, doc_id long, held_out boolean, teaches boolean, text string"), "chunks")
+    return stored(rows.mapInArrow(released(_chunks), "chunk long, doc_id long, held_out boolean, teaches boolean, text string"), "chunks")
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(chunks: DataFrame) -> tuple[DataFrame, int, int]:
     """((chunk, word, c), tokens N, distinct tokens V) of the training texts."""
-    rows = chunks.select("chunk", "teaches", "text").mapInArrow(_words, "chunk long, word string, n long")
+    rows = chunks.select("chunk", "teaches", "text").mapInArrow(released(_words), "chunk long, word string, n long")
     same = Window.partitionBy("word")  # a row per chunk at most
     known = stored(
         rows.select(
@@ -285,14 +285,14 @@ def _grams(symbol: np.ndarray):
 def fit(chunks: DataFrame, share: float = SHARE):
     """(symbol of each byte, kept contexts by order, log10 probabilities per state)."""
     taught = chunks.where("teaches").select("text")
-    seen = taught.mapInArrow(_bytes_seen, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).toPandas()
+    seen = taught.mapInArrow(released(_bytes_seen), "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).toPandas()
     seen = seen[(seen.n > 0) & ~seen.byte.isin([9, 10, 11, 12, 13, 255])].sort_values(["n", "byte"], ascending=[False, True])
     symbol = np.full(256, OTHER, dtype=np.uint8)
     for k, byte in enumerate(seen.byte.head(OTHER)):
         symbol[int(byte)] = k
     symbol[255] = END
     grams = stored(
-        taught.mapInArrow(_grams(symbol), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams"
+        taught.mapInArrow(released(_grams(symbol)), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams"
     )
     total = grams.agg(F.sum("n")).first()[0] or 0
     every = F.explode(F.expr(
@@ -308,7 +308,7 @@ def fit(chunks: DataFrame, share: float = SHARE):
     parents, older, counts = _short_contexts(rows)
     while len(parents) < DEPTH and len(parents[-1]):  # one more order a pass
         found = (
-            taught.mapInArrow(_extensions(symbol, parents, older), "kind long, cell long, n long")
+            taught.mapInArrow(released(_extensions(symbol, parents, older)), "kind long, cell long, n long")
             .groupBy("kind", "cell").agg(F.sum("n").alias("n"))
             .where((F.col("kind") == 0) | (F.col("n") >= total * share)).toPandas()
         )
@@ -319,7 +319,7 @@ def fit(chunks: DataFrame, share: float = SHARE):
         older.append(cell & 63)
     if len(parents) > SHORT and len(parents[-1]):
         found = (
-            taught.mapInArrow(_extensions(symbol, parents, older), "kind long, cell long, n long")
+            taught.mapInArrow(released(_extensions(symbol, parents, older)), "kind long, cell long, n long")
             .where("kind = 0").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
         )
         counts.append(_next_counts(found, len(parents[-1])))
@@ -479,5 +479,5 @@ def score(docs: DataFrame, share: float = SHARE) -> DataFrame:
     both = known.select("chunk", F.lit(0).alias("kind"), F.col("word").alias("body"), F.col("c").alias("number"), F.lit(None).cast("boolean").alias("held_out")).unionByName(
         chunks.select("chunk", F.lit(1).alias("kind"), F.col("text").alias("body"), F.col("doc_id").alias("number"), "held_out")
     )
-    scored = both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_score(model, n, v), _SCORED)
+    scored = both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(released(_score(model, n, v)), _SCORED)
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import SPACES, free_name, mix64, text_slices, texts_of, word_hashes
+from trailmark.llm.common import SPACES, free_name, mix64, released, text_slices, texts_of, word_hashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> t
     rows = (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         .join(F.broadcast(sample), "doc_id")  # at most sample_docs rows
-        .select("text", "quality").mapInArrow(_sample_rows, "x binary, y binary").toPandas()
+        .select("text", "quality").mapInArrow(released(_sample_rows), "x binary, y binary").toPandas()
     )
     chains = sorted(zip(rows.x, rows.y))
     chains = [(np.frombuffer(x).reshape(-1, FEATURES), np.frombuffer(y, dtype=np.int8)) for x, y in chains]
@@ -276,7 +276,7 @@ def _judge(model, share: float):
 def assess(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:
     """One row per document row: counts, base verdict, verdict and content share."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_judge(fit(docs, labels), share), _JUDGED)
+    return rows.mapInArrow(released(_judge(fit(docs, labels), share)), _JUDGED)
 
 
 def _retained(model, share: float, text: str):
@@ -293,4 +293,4 @@ def _retained(model, share: float, text: str):
 def retained(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:
     """The documents that pass, with all their columns; decided row by row, without a join."""
     model, text = fit(docs, labels), free_name(docs, "_text")
-    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(_retained(model, share, text), docs.schema)
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(released(_retained(model, share, text)), docs.schema)

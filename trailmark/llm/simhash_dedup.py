@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import cell_pairs, components, local_roots, stored, text_slices, texts_of, tiled, whole_cells
+from trailmark.llm.common import cell_pairs, components, local_roots, released, stored, text_slices, texts_of, tiled, whole_cells
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -68,7 +68,7 @@ def _fingerprints(words: int):
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp), fp as a signed long."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _fingerprints(words), "doc_id long, fp long"
+        released(_fingerprints(words)), "doc_id long, fp long"
     )
 
 
@@ -109,7 +109,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> Data
     keys = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits"))
                      for k, m in enumerate(block_masks(max_bits))])
     rows = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.*")
-    return tiled(rows, ["mask", "bits"], "fp", tile).mapInArrow(_links(max_bits), "a long, b long")
+    return tiled(rows, ["mask", "bits"], "fp", tile).mapInArrow(released(_links(max_bits)), "a long, b long")
 
 
 def classes(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
