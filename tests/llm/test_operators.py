@@ -560,6 +560,20 @@ def test_tree_predictions_sum_to_one(spark):
         assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
+def test_one_pass_counts_all_longer_contexts(spark, monkeypatch):
+    """The same tree as by one pass per order, without such passes."""
+    chunks = lm_scoring.chunked(documents(spark, SAMPLE))
+    monkeypatch.setattr(lm_scoring, "LONG", lm_scoring.SHORT)
+    expected = lm_scoring.fit(chunks, 2e-4)
+    monkeypatch.undo()
+    monkeypatch.setattr(lm_scoring, "_extensions", None)
+    got = lm_scoring.fit(chunks, 2e-4)
+    assert len(got[3]) == len(expected[3]) > lm_scoring.SHORT + 2
+    assert [len(parent) for parent in got[1]] == [len(parent) for parent in expected[1]]
+    for own, other in zip(got[3], expected[3]):
+        assert np.array_equal(own[np.lexsort(own.T)], other[np.lexsort(other.T)])
+
+
 def test_scores_defined_cases(odd, empty):
     got = lm_scoring.score(odd).collect()
     assert len(got) == odd.count() and all(r.n_tokens == 1 for r in got if r.doc_id in (1, 2, 3))

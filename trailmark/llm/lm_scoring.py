@@ -8,8 +8,11 @@ at most DEPTH / SHARE of them, whatever the corpus), and is kept when its next-s
 distribution diverges from that of its longest proper suffix: n * KL must exceed half a log(N)
 for every next symbol it has (BIC). Suffixes of kept contexts are kept. Distributions are
 smoothed towards the suffix's. A position is scored by the longest kept suffix of its history.
-Contexts of up to `SHORT` symbols are counted in one pass over the training texts; each longer
-order takes a pass that extends the candidates of the order before by one older symbol.
+Contexts of up to `SHORT` symbols are counted in one pass over the training texts, and those of up
+to `LONG` in a second one: a longer candidate consists of candidates of SHORT + 1 symbols, whose
+counts the first pass knows, so a position is counted once, under the longest history that
+consists of such. Orders above LONG, which a code of 64 bits does not hold, take a pass each
+that extends the candidates of the order before by one older symbol.
 
 The tree spells a token: its bytes, then that the word ends there; between tokens it chooses
 between another word and the end. Token probabilities are interpolated with the base unigram
@@ -17,7 +20,7 @@ between another word and the end. Token probabilities are interpolated with the
 the base, and the mix beats it only with enough training text.
 
 Counts cover every training text. Word counts are exact and never gathered in one place: texts
-are written in chunks of about CHUNK bytes; each chunk sends its distinct words once, gets their
+are written as their words in chunks of about CHUNK bytes; each chunk sends its distinct words once, gets their
 corpus counts back (a window over one row per chunk and word), and is scored with these.
 
 Defined cases: null text is empty and has the end token only; rows without doc_id are scored but
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import released, stored, text_slices, texts_of
 
 FOLDS, HELD_OUT = 7, 2
-SHORT, DEPTH = 4, 8
+SHORT, LONG, DEPTH = 4, 8, 8
 SHARE = 5e-5
 WORD_SHARE = 0.6
 PRIOR = 4.0  # weight of the suffix's distribution, in observations
@@ -70,13 +73,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held and held + size > CHUNK:
                 chunk, held = chunk + 1, 0
             held += size
+            plain = pa.array([b" ".join(tokens(text)) for text in texts_of(batch, start, end)], pa.binary())
+            columns = [plain.cast(pa.string()) if name == "text" else part.column(name) for name in part.schema.names]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(part.num_rows, chunk)), *part.columns], ["chunk", *part.schema.names]
+                [pa.array(np.full(part.num_rows, chunk)), *columns], ["chunk", *part.schema.names]
             )
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(chunk, doc_id, held_out, teaches, text), written."""
+    """(chunk, doc_id, held_out, teaches, text), written; text is the tokens, joined by one space."""
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select(
         "doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"),
@@ -106,7 +111,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if counts:
                         yield from flush()
                     at, counts = int(chunk[k]), Counter()
-                words = tokens(text)
+                words = text.split()
                 if teaches[k]:
                     counts.update(words)
                     counts[b""] += 1
@@ -134,9 +139,8 @@ def word_counts(chunks: DataFrame) -> tuple[DataFrame, int, int]:
 
 # ---- the tree -------------------------------------------------------------------------
 
-def _joined(texts: list[list[bytes]]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Texts, given as tokens, as one buffer with edges around; first and end position of every text."""
-    plain = list(map(b" ".join, texts))
+def _joined(plain: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Texts, given as joined tokens, as one buffer with edges around; first and end position of every text."""
     sizes = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
     starts = np.cumsum(sizes + DEPTH) - sizes
     return _PAD + _PAD.join(plain) + _EDGE, starts, starts + sizes
@@ -163,10 +167,13 @@ def _short_codes(data: bytes, ends: np.ndarray, symbol: np.ndarray) -> np.ndarra
 
 
 def children(parents: list[np.ndarray], older: list[np.ndarray]) -> list[np.ndarray]:
-    """Per order k >= 1: which context of order k extends one of order k - 1 by an older symbol."""
+    """Per order k >= 1: which context of order k extends one of order k - 1 by an older symbol.
+
+    The last row stands for no context, -1.
+    """
     out, above = [], 1
     for parent, symbol in zip(parents, older):
-        step = np.full((above, 64), -1, dtype=np.int32)
+        step = np.full((above + 1, 64), -1, dtype=np.int32)
         step[parent, symbol] = np.arange(len(parent), dtype=np.int32)
         out.append(step)
         above = len(parent)
@@ -178,7 +185,7 @@ def _towards_last(steps: list[np.ndarray], parents: list[np.ndarray]) -> list[np
     out, leads = [], np.ones(len(parents[-1]), dtype=bool)
     for step, parent in zip(reversed(steps), reversed(parents)):
         out.append(np.where((step >= 0) & leads[step], step, np.int32(-1)))
-        above = np.zeros(len(step), dtype=bool)
+        above = np.zeros(len(step) - 1, dtype=bool)
         above[parent[leads]] = True
         leads = above
     return out[::-1]
@@ -206,13 +213,21 @@ def _histories(s: np.ndarray) -> np.ndarray:
     return code
 
 
-def _descend(live: np.ndarray, state: np.ndarray, s: np.ndarray, steps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per order above _HEAD: the positions among `live`, which have contexts of _HEAD symbols, whose
-    history has a context there, and the context."""
+def _descend(state: np.ndarray, s: np.ndarray, steps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per order above _HEAD: the positions whose history has a context there, and the context.
+
+    `state` has the contexts of _HEAD symbols of all positions from _HEAD on, -1 where there is none.
+    """
+    live = None
     for k, step in enumerate(steps[_HEAD:], _HEAD + 1):
-        state = step.ravel()[(state << 6) + s[live - k]]
-        there = state >= 0
-        live, state = live[there], state[there]
+        if live is None:  # most positions get here: all at once; -1 leads to the row of no context
+            state = step.ravel()[(state[1:] << 6) + s[: len(s) - k]]
+            there = np.flatnonzero(state >= 0)
+            live, state = there + k, state[there]
+        else:
+            state = step.ravel()[(state << 6) + s[live - k]]
+            there = state >= 0
+            live, state = live[there], state[there]
         yield live, state
 
 
@@ -225,13 +240,12 @@ def _extensions(symbol: np.ndarray, parents: list[np.ndarray], older: list[np.nd
         total = np.zeros((2, len(parents[-1]) * 64), dtype=np.int64)
         for batch in batches:
             for start, end in text_slices(batch, size=_SLICE):
-                data, _, ends = _joined(list(map(tokens, texts_of(batch, start, end))))
+                data, _, ends = _joined([b" ".join(tokens(text)) for text in texts_of(batch, start, end)])
                 predicted, s = _codes(data, ends, symbol)
-                state = head[_histories(s)]
-                at = np.flatnonzero((state >= 0) & predicted[_HEAD:])
-                for at, state in _descend(at + _HEAD, state[at], s, steps):  # noqa: B020
+                for at, state in _descend(head[_histories(s)], s, steps):  # noqa: B007
                     pass
-                cell = state << 6
+                own = predicted[at]
+                at, cell = at[own], state[own] << 6
                 total[0] += np.bincount(cell + s[at], minlength=total.shape[1])
                 if k < DEPTH:
                     total[1] += np.bincount(cell + s[at - k - 1], minlength=total.shape[1])
@@ -245,7 +259,7 @@ def _bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(256, dtype=np.int64)
     for batch in batches:
         for start, end in text_slices(batch):
-            total += np.bincount(np.frombuffer(b" ".join(texts_of(batch, start, end)).lower(), dtype=np.uint8), minlength=256)
+            total += np.bincount(np.frombuffer(b" ".join(texts_of(batch, start, end)), dtype=np.uint8), minlength=256)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
 
 
@@ -257,16 +271,18 @@ def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return code[first], np.add.reduceat(n, first)
 
 
-def _grams(symbol: np.ndarray):
+def _grams(codes_of: Callable[[bytes, np.ndarray], np.ndarray]):
+    """Counts of the codes that `codes_of` finds in joined texts and their end positions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         held = 0
         for batch in batches:
             for start, end in text_slices(batch, size=_SLICE):
-                data, _, ends = _joined(list(map(tokens, texts_of(batch, start, end))))
-                code, n = np.unique(_short_codes(data, ends, symbol), return_counts=True)
-                codes.append(code)
+                data, _, ends = _joined(texts_of(batch, start, end))
+                code, n = np.unique(codes_of(data, ends), return_counts=True)
+                codes.append(code.astype(np.int64))
                 counts.append(n)
                 held += len(code)
                 if held > _MERGE:
@@ -275,13 +291,67 @@ def _grams(symbol: np.ndarray):
                     if len(code) > _MERGE // 2:
                         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
                         codes, counts = [], []
-        if codes:
+        if held or codes and len(codes[0]):
             code, n = _merged(codes, counts)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
     return run
 
 
+def _short_grams(symbol: np.ndarray):
+    return _grams(lambda data, ends: _short_codes(data, ends, symbol))
+
+
+def _long_grams(symbol: np.ndarray, parents: list[np.ndarray], older: list[np.ndarray]):
+    """Histories of more than SHORT symbols that consist of contexts of the last order, and the next symbol.
+
+    Every predicted position is counted under its longest such history, of up to LONG symbols; its
+    length, less SHORT, stands above the LONG + 1 symbols of 6 bits.
+    """
+    steps, order = _towards_last(children(parents, older), parents), len(parents)
+    head = _heads(steps)[-1]
+
+    def codes_of(data: bytes, ends: np.ndarray) -> np.ndarray:
+        predicted, s = _codes(data, ends, symbol)
+        for at, _ in _descend(head[_histories(s)], s, steps):  # noqa: B007
+            pass
+        run = np.zeros(len(s), dtype=np.int8)  # contexts of the last order that end here in a row
+        run[at] = 1
+        longest = row = run[DEPTH:]
+        for k in range(1, LONG - order + 1):
+            row = row & run[DEPTH - k : len(run) - k]
+            longest = longest + row
+        longest[~predicted[DEPTH:]] = 0
+        at = np.flatnonzero(longest)
+        past = s[DEPTH - LONG : len(s) - LONG].astype(np.int64)  # the last LONG symbols before every position from DEPTH on
+        for k in range(LONG - 1, 0, -1):
+            past <<= 6
+            past |= s[DEPTH - k : len(s) - k]
+        length = longest[at]
+        kept = (np.int64(1) << 6 * np.arange(SHORT, LONG + 1)) - 1
+        return (past[at] & kept[length]) << 6 | s[DEPTH:][at] | length.astype(np.int64) << 6 * (LONG + 1)
+
+    return _grams(codes_of)
+
+
+def _frequent(grams: DataFrame, fewest: float, low: int, high: str | int):
+    """Next-symbol counts (k, context, next, n) of the contexts of `low` to `high` symbols that codes hold."""
+    every = F.explode(F.expr(
+        f"transform(sequence({low}, {high}), k -> named_struct('k', k, 'context', "
+        f"shiftright(code, 6) & (shiftleft(1L, 6 * k) - 1), 'next', code & 63))"
+    ))
+    # a context has at most 64 next symbols; at most 1 / share contexts per order are left
+    return (
+        grams.select("n", every.alias("e")).groupBy("e.k", "e.context", "e.next").agg(F.sum("n").alias("n"))
+        .withColumn("of", F.sum("n").over(Window.partitionBy("k", "context")))
+        .where(F.col("of") >= fewest).drop("of").toPandas()
+    )
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return stored(rows.groupBy("code").agg(F.sum("n").alias("n")), "grams")
+
+
 def fit(chunks: DataFrame, share: float = SHARE):
     """(symbol of each byte, kept contexts by order, log10 probabilities per state)."""
     taught = chunks.where("teaches").select("text")
@@ -291,33 +361,35 @@ def fit(chunks: DataFrame, share: float = SHARE):
     for k, byte in enumerate(seen.byte.head(OTHER)):
         symbol[int(byte)] = k
     symbol[255] = END
-    grams = stored(
-        taught.mapInArrow(released(_grams(symbol)), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")), "grams"
-    )
+    grams = _counted(taught.mapInArrow(released(_short_grams(symbol)), "code long, n long"))
     total = grams.agg(F.sum("n")).first()[0] or 0
-    every = F.explode(F.expr(
-        f"transform(sequence(0, {SHORT}), k -> named_struct('k', k, 'context', "
-        f"shiftright(code, 6) & (shiftleft(1, 6 * k) - 1), 'next', code & 63))"
-    ))
-    # a context has at most 64 next symbols; at most 1 / share contexts per order are left
-    rows = (
-        grams.select("n", every.alias("e")).groupBy("e.k", "e.context", "e.next").agg(F.sum("n").alias("n"))
-        .withColumn("of", F.sum("n").over(Window.partitionBy("k", "context")))
-        .where(F.col("of") >= total * share).drop("of").toPandas()
-    )
-    parents, older, counts = _short_contexts(rows)
-    while len(parents) < DEPTH and len(parents[-1]):  # one more order a pass
+    names, counts = _contexts(_frequent(grams, total * share, 0, SHORT), 0, SHORT)
+    names[0] = np.zeros(1, dtype=np.int64)
+    counts[0] = counts[0] if len(counts[0]) else np.zeros((1, 64))
+    if LONG > SHORT:
+        begun = _longer(names[-1], counts[-1], total * share)
+        if len(begun):
+            found = _counted(taught.mapInArrow(released(_long_grams(symbol, *_links([*names, begun]))), "code long, n long"))
+            high = f"{SHORT} + cast(shiftright(code, {6 * (LONG + 1)}) as int)"
+            more = _contexts(_frequent(found, total * share, SHORT + 1, high), SHORT + 1, LONG)
+            while more[0] and not len(more[0][-1]):  # an order without contexts
+                more[0].pop()
+                more[1].pop()
+            names, counts = names + more[0], counts + more[1]
+    parents, older = _links(names)
+    done = len(parents)
+    while done >= LONG and len(parents) < DEPTH and len(parents[-1]):  # one more order a pass
         found = (
             taught.mapInArrow(released(_extensions(symbol, parents, older)), "kind long, cell long, n long")
             .groupBy("kind", "cell").agg(F.sum("n").alias("n"))
             .where((F.col("kind") == 0) | (F.col("n") >= total * share)).toPandas()
         )
-        if len(parents) > SHORT:
+        if len(parents) > done:
             counts.append(_next_counts(found, len(parents[-1])))
         cell = np.sort(found.cell[found.kind == 1].to_numpy(dtype=np.int64))
         parents.append(cell >> 6)
         older.append(cell & 63)
-    if len(parents) > SHORT and len(parents[-1]):
+    if len(parents) > done and len(parents[-1]):
         found = (
             taught.mapInArrow(released(_extensions(symbol, parents, older)), "kind long, cell long, n long")
             .where("kind = 0").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
@@ -336,19 +408,33 @@ def _next_counts(found, n: int) -> np.ndarray:
     return out.reshape(n, 64)
 
 
-def _short_contexts(rows) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Parents, older symbols and next-symbol counts of the contexts of up to SHORT symbols."""
-    names = [np.unique(rows.context[rows.k == k].to_numpy(dtype=np.int64)) for k in range(SHORT + 1)]
-    names[0] = np.zeros(1, dtype=np.int64)
-    counts = []
-    for k in range(SHORT + 1):
+def _contexts(rows, low: int, high: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Codes and next-symbol counts of the contexts by order; the latest symbol is the lowest."""
+    names, counts = [], []
+    for k in range(low, high + 1):
         own = rows[rows.k == k]
-        table = np.zeros((len(names[k]), 64))
-        table[np.searchsorted(names[k], own.context.to_numpy(dtype=np.int64)), own.next.to_numpy(dtype=np.int64)] = own.n
+        context = own.context.to_numpy(dtype=np.int64)
+        name = np.unique(context)
+        table = np.zeros((len(name), 64))
+        table[np.searchsorted(name, context), own.next.to_numpy(dtype=np.int64)] = own.n.to_numpy(dtype=np.float64)
+        names.append(name)
         counts.append(table)
-    parents = [np.searchsorted(names[k - 1], names[k] & ((1 << 6 * (k - 1)) - 1)) for k in range(1, SHORT + 1)]
-    older = [names[k] >> 6 * (k - 1) for k in range(1, SHORT + 1)]
-    return parents, older, counts
+    return names, counts
+
+
+def _longer(names: np.ndarray, counts: np.ndarray, fewest: float) -> np.ndarray:
+    """Contexts of one more symbol: a context and its next symbol, unless that ends the text, or edges only."""
+    context, symbol = np.nonzero((counts >= fewest) & (counts > 0) & (np.arange(64) != END))
+    edges = (1 << 6 * SHORT) - 1  # before every text's first position
+    starts = counts[names == edges].sum()
+    own = [edges << 6 | END] if starts > 0 and starts >= fewest else []
+    return np.unique(np.append(names[context] << 6 | symbol, np.array(own, dtype=np.int64)))
+
+
+def _links(names: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Parents and older symbols of the contexts by order."""
+    parents = [np.searchsorted(names[k - 1], names[k] & ((1 << 6 * (k - 1)) - 1)) for k in range(1, len(names))]
+    return parents, [names[k] >> 6 * (k - 1) for k in range(1, len(names))]
 
 
 def _grow(parents, older, counts, total: int):
@@ -391,34 +477,36 @@ class Suffixes:
         for k, state in enumerate(heads, 1):
             self.longest = np.where(state >= 0, state + self.first[min(k, len(logs))], self.longest)
 
-    def of(self, s: np.ndarray, predicted: np.ndarray) -> np.ndarray:
+    def of(self, s: np.ndarray) -> np.ndarray:
         """The longest suffix of the history of every position from _HEAD on."""
         history = _histories(s)
         state, longest = self.head[history], self.longest[history]
-        at = np.flatnonzero((state >= 0) & predicted[_HEAD:])
-        for k, (live, state) in enumerate(_descend(at + _HEAD, state[at], s, self.steps), _HEAD + 1):
+        for k, (live, state) in enumerate(_descend(state, s, self.steps), _HEAD + 1):
             longest[live - _HEAD] = state + self.first[k]  # longer suffixes replace shorter
         return longest
 
 
-def token_logs(texts: list[list[bytes]], suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_logs(texts: list[bytes], suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 probabilities under the tree of all words in order and of each text's end token,
-    and the text of every word."""
+    and the text of every word. Texts are joined tokens."""
     data, starts, ends = _joined(texts)
     predicted, s = _codes(data, ends, suffixes.symbol)
-    at = np.flatnonzero(predicted)
-    table = (suffixes.of(s, predicted) << 6)[at - _HEAD]
-    raw = np.frombuffer(data, dtype=np.uint8)[at]
-    stops = (raw == 0x20) | (raw == _EDGE[0])  # behind a word, or in place of any
-    each = suffixes.logs[table + s[at]].astype(np.float64)
+    table = suffixes.of(s) << 6
+    each = suffixes.logs[table + s[_HEAD:]].astype(np.float64)
+    each[~predicted[_HEAD:]] = 0
+    raw = np.frombuffer(data, dtype=np.uint8)
+    stops = raw == 0x20  # behind a word, or in place of any
+    stops[ends] = True
     stop = np.flatnonzero(stops)
     go_on, finish = (
-        suffixes.logs[table[stop] + k].astype(np.float64) for k in (int(suffixes.symbol[0x20]), END)
+        suffixes.logs[table[stop - _HEAD] + k].astype(np.float64) for k in (int(suffixes.symbol[0x20]), END)
     )
     either = np.logaddexp(go_on * _LN10, finish * _LN10) / _LN10
-    sums = np.concatenate(([0.0], np.cumsum(each)))
-    text = np.searchsorted(ends, at[stop])
-    opens = np.concatenate(([0], stop[:-1] + 1))
+    sums = np.concatenate((np.zeros(_HEAD + 1), np.cumsum(each)))
+    text = np.searchsorted(ends, stop)
+    opens = starts[text]
+    again = np.flatnonzero(text[1:] == text[:-1])
+    opens[again + 1] = stop[again] + 1
     filled = stop > opens  # not the lone stop of an empty text
     words = sums[stop] - sums[opens] + either
     words[1:] += np.where(text[1:] == text[:-1], go_on[:-1] - either[:-1], 0.0)
@@ -454,9 +542,10 @@ def _score(model, n: int, v: int):
                     continue
                 part = batch.slice(low, high - low)
                 for start, end in text_slices(part, "body", _SLICE):
-                    texts = list(map(tokens, texts_of(part, start, end, "body")))
-                    size, stop = np.fromiter(map(len, texts), np.int64, len(texts)), logs[b""]
-                    each = np.fromiter(map(logs.__getitem__, chain.from_iterable(texts)), np.float64, size.sum())
+                    texts = texts_of(part, start, end, "body")
+                    own_words = [text.split() for text in texts]
+                    size, stop = np.fromiter(map(len, own_words), np.int64, len(texts)), logs[b""]
+                    each = np.fromiter(map(logs.__getitem__, chain.from_iterable(own_words)), np.float64, size.sum())
                     words, over, of = token_logs(texts, suffixes)
                     base = np.bincount(of, each, minlength=len(texts)) + stop
                     known = np.bincount(of, each > -scale, minlength=len(texts)).astype(np.int64) + int(stop > -scale)
