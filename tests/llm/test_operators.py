@@ -383,6 +383,22 @@ def test_line_dedup_filters_lose_no_pair(monkeypatch, short):
     assert near and near <= set(zip(doc[j].tolist(), doc[i].tolist()))
 
 
+def test_line_dedup_offers_the_likeliest_partner_first():
+    """Both earlier lines share rare words with the last one; the second is nearer to it."""
+    last = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(last[:36] + ["a", "b", "c", "d"])), (2, " ".join(last[:39] + ["e"])), (3, " ".join(last))]
+    table = prefix_rows(rows)
+    cells = table.column("cell").to_numpy()
+    assert ((cells & ((1 << line_dedup._KIND_BIT) - 1)) < 1 << 44).all()
+    found, _, j, i, *_ = line_dedup._partners(table, cells, 1)
+    doc = found.column("doc_id").to_numpy()
+    every, _, j_all, i_all, *_ = line_dedup._partners(table, cells, None)
+    assert {1, 2} <= set(every.column("doc_id").to_numpy()[i_all][every.column("doc_id").to_numpy()[j_all] == 3].tolist())
+    both = {c for c in cells.tolist() if set(table.filter(pa.array(cells == c)).column("doc_id").to_pylist()) == {1, 2, 3}}
+    at = np.isin(found.column("cell").to_numpy()[j], list(both)) & (doc[j] == 3)
+    assert at.any() and set(doc[i][at].tolist()) == {2}
+
+
 def test_line_dedup_defined_cases(odd, empty):
     kept = line_dedup.deduplicate(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()

@@ -13,8 +13,8 @@ How matches are found, none lost:
    word (positional filter) and 128-bit parity maps (64-bit for short lines) of their words (words of one side only flip a
    bit each, which bounds the overlap from above) still allow the similarity; equal sets (size, map
    and a 64-bit hash of the set) match at once;
- - each other line offers its first surviving earlier partner per word, which are verified on the
-   whole word sets; lines that had more partners and none verified offer all of them in a second
+ - each other line offers its likeliest surviving earlier partner per word, by the maps, which are
+   verified on the whole word sets; lines that had more partners and none verified offer all of them in a second
    round. The word sets come from one more scan a round, of the lines in a bit map of 2^26 bits:
    with more offered lines than that it lets others through too, which costs work and changes
    nothing.
@@ -63,6 +63,7 @@ _BUCKETS = 1 << BUCKET_BITS
 # kinds of rows, in the top bits of `cell`; the rest is a hash of what meets there
 REPEAT, COLD, HOT_ROW, LATER = 0, 1, 2, 3
 _KIND_BIT = 61
+_CELL_BITS = 44  # words sharing a cell only cost comparisons; the zeros above need no room in a shuffle
 _ROWS = "cell long, token long, sizes long, map long, map_2 long, whole long, doc_id long, line int"
 _SET = ("sizes", "map", "map_2", "whole")
 _SLOT_BITS = 26  # bit map of the lines to verify, 8 MB
@@ -180,7 +181,7 @@ def _prefix_rows(counts: Broadcast, hot: int):
                 )
 
     def batch_of(kind, key, token, sizes, map_, map_2, whole, doc_id, number):
-        cell = (key >> np.uint64(64 - _KIND_BIT)).view(np.int64) | (kind << _KIND_BIT)
+        cell = (key >> np.uint64(64 - _CELL_BITS)).view(np.int64) | (kind << _KIND_BIT)
         return pa.RecordBatch.from_arrays(
             [pa.array(cell), pa.array(token, pa.int64()), pa.array(sizes), pa.array(map_), pa.array(map_2), pa.array(whole),
              pa.array(np.asarray(doc_id, dtype=np.int64)), pa.array(np.asarray(number, dtype=np.int32))],
@@ -202,7 +203,7 @@ def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
 
     Returns (rows in order, cells, j, i, same, more, paired); `more` marks rows that had further
     partners, `paired` all rows of surviving pairs. A row with an equal earlier set gets that
-    partner only (`same`).
+    partner only (`same`). Of more partners than `most`, those whose maps differ least are given.
     """
     shared = np.zeros(len(cells), dtype=bool)
     shared[1:] = cells[1:] == cells[:-1]
@@ -238,7 +239,7 @@ def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
             ok &= ~crossed[i] | (part[i] != part[j])
         if asks is not None:
             ok &= asks[j]
-        i, j = i[ok], j[ok]
+        i, j, gap = i[ok], j[ok], apart[ok] / (a + b)[ok]
         paired[i] = paired[j] = True
         same = (whole[i] == whole[j]) & (maps[i] == maps[j]) & (maps_2[i] == maps_2[j]) & (size[i] == size[j])
         new, at = np.unique(j[same], return_index=True)
@@ -246,9 +247,10 @@ def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
         new, by = new[fresh], i[same][at[fresh]]
         found.append((new, by, np.ones(len(new), dtype=bool)))
         done[new] = True
-        i, j = i[~done[j]], j[~done[j]]
+        open_ = ~done[j]
+        i, j, gap = i[open_], j[open_], gap[open_]
         if most is not None and len(j):
-            by = np.argsort(j, kind="stable")
+            by = np.lexsort((gap, j))
             i, j = i[by], j[by]
             at = np.arange(len(j)) - np.searchsorted(j, j) + given[j]
             given += np.bincount(j, minlength=len(given))
@@ -435,6 +437,7 @@ def _verified(docs: DataFrame, offers: DataFrame) -> DataFrame:
     )
     shared = docs.sparkSession.sparkContext.broadcast(_bit_map(needed))
     sets = stored(docs.mapInArrow(released(_wanted_sets(shared)), "doc_id long, line int, words array<long>"), "line-sets")
+    sets = sets.repartition("doc_id", "line")  # one exchange for both joins
     other = sets.select(F.col("doc_id").alias("with_doc"), F.col("line").alias("with_line"), F.col("words").alias("with_words"))
     both = F.size(F.array_intersect("words", "with_words"))
     return (
