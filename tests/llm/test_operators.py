@@ -399,6 +399,32 @@ def test_line_dedup_offers_the_likeliest_partner_first():
     assert at.any() and set(doc[i][at].tolist()) == {2}
 
 
+def test_line_dedup_pairs_no_sizes_apart():
+    """A cell of all sizes: only pairs that pass the length filter are made, each once, whatever the chunk."""
+    rng = np.random.default_rng(6)
+    size = rng.integers(1, 90, 400)
+    cells = np.sort(rng.integers(0, 5, 400))
+    near = {(i, j) for i, j in itertools.combinations(range(400), 2)
+            if cells[i] == cells[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])}
+    for chunk in (1, 50, 1 << 18):
+        pairs = [p for i, j in line_dedup._near_pairs(cells, size, chunk) for p in zip(i.tolist(), j.tolist())]
+        assert len(pairs) == len(near) and set(pairs) == near
+
+
+def test_line_dedup_takes_cells_without_pairs():
+    two = [prefix_rows([row]).slice(0, 1) for row in ((1, "same"), (2, "same but much longer than that"))]
+    assert line_dedup._partners(pa.concat_tables(two).combine_chunks(), np.zeros(2, dtype=np.int64), None) is None
+
+
+def test_line_dedup_packs_small_rows():
+    size = np.array([1, 2, 2, 60, 61, 4096, (1 << 31) - 1, (1 << 31) - 1])
+    place = np.array([0, 0, 1, 12, 0, 4095, 0, (1 << 31) - 2])
+    packed = line_dedup._pack(size, place)
+    assert packed[3] < 1 << 16 and all(np.array_equal(x, y) for x, y in zip(line_dedup._unpack(packed), (size, place)))
+    short, long = (prefix_rows([(1, " ".join(f"w{k}" for k in range(n)))]).to_pylist() for n in (60, 61))
+    assert {r["map_2"] for r in short} == {0} and all(0 <= r["whole"] < 1 << 32 for r in long)
+
+
 def test_line_dedup_defined_cases(odd, empty):
     kept = line_dedup.deduplicate(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()

@@ -12,7 +12,7 @@ How matches are found, none lost:
  - rows meet by prefix word and are compared when their sizes (length filter), the places of the
    word (positional filter) and 128-bit parity maps (64-bit for short lines) of their words (words of one side only flip a
    bit each, which bounds the overlap from above) still allow the similarity; equal sets (size, map
-   and a 64-bit hash of the set) match at once;
+   and a hash of the set, 64 bits for short lines and 32 beside the map of 128) match at once;
  - each other line offers its likeliest surviving earlier partner per word, by the maps, which are
    verified on the whole word sets; lines that had more partners and none verified offer all of them in a second
    round. The word sets come from one more scan a round, of the lines in a bit map of 2^26 bits:
@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import (
-    cell_pairs, free_name, mix64, released, stored, text_slices, texts_of, tiled, whole_cells, word_hashes,
+    free_name, mix64, released, stored, text_slices, texts_of, tiled, whole_cells, word_hashes,
 )
 
 NUMERATOR, DENOMINATOR = 4, 5  # Jaccard similarity
@@ -57,7 +57,7 @@ TILE = 500
 OFFERS = 1  # partners offered per line and word in the first round
 KNOWN = 1 << 18  # lines a task remembers to drop repeats early
 LONG_WORD = 128  # bytes
-SHORT_LINE = 30  # words; such lines have a map of 64 bits
+SHORT_LINE = 60  # words; such lines have a map of 64 bits
 _BUCKETS = 1 << BUCKET_BITS
 
 # kinds of rows, in the top bits of `cell`; the rest is a hash of what meets there
@@ -86,6 +86,18 @@ def line_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return hashes, np.searchsorted(breaks, at), doc, line - first[doc]
 
 
+def _pack(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Size and place of a word (less than the size) as one small number, which a shuffle compresses."""
+    return size * (size - 1) // 2 + place
+
+
+def _unpack(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = ((1 + np.sqrt(8.0 * sizes + 1)) / 2).astype(np.int64)
+    size -= size * (size - 1) // 2 > sizes  # rounding of large numbers
+    size += size * (size + 1) // 2 <= sizes
+    return size, sizes - size * (size - 1) // 2
+
+
 def _bucket(words: np.ndarray) -> np.ndarray:
     return (mix64(words ^ np.uint64(0xA5)) & np.uint64(_BUCKETS - 1)).astype(np.int64)
 
@@ -169,6 +181,7 @@ def _prefix_rows(counts: Broadcast, hot: int):
         maps, maps_2 = (
             np.bitwise_xor.reduceat(np.where(own, flip, np.uint64(0)), first).view(np.int64) for own in (~high, high)
         )
+        mark = np.where(size > SHORT_LINE, whole >> np.uint64(32), whole).view(np.int64)
         pick = np.flatnonzero((place < prefix[group]) & fresh[group] & (rarity > 1))
         hot_word = rarity[pick] > hot
         for kind, own in ((COLD, pick[~hot_word]), (HOT_ROW, pick[hot_word])):
@@ -176,8 +189,8 @@ def _prefix_rows(counts: Broadcast, hot: int):
                 g, token = group[own], word[own]
                 yield batch_of(
                     kind, token if kind == COLD else mix64(token ^ whole[g]),
-                    [None] * len(own) if kind == COLD else token.view(np.int64), (size[g] << 32) | place[own],
-                    maps[g], maps_2[g], whole[g].view(np.int64), owner[g], number[g],
+                    [None] * len(own) if kind == COLD else token.view(np.int64), _pack(size[g], place[own]),
+                    maps[g], maps_2[g], mark[g], owner[g], number[g],
                 )
 
     def batch_of(kind, key, token, sizes, map_, map_2, whole, doc_id, number):
@@ -198,6 +211,30 @@ def _names(schema: str) -> list[str]:
 _OFFERED = "doc_id long, line int, with_doc long, with_line int, more boolean, same boolean"
 
 
+def _near_pairs(cells: np.ndarray, size: np.ndarray, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j within equal (contiguous) cells whose sizes pass the length filter, in bounded
+    chunks: a row meets the next rows by size only, so other pairs are never made."""
+    cell = np.cumsum(np.append(0, cells[1:] != cells[:-1]))
+    order = np.lexsort((size, cell))
+    of, own = cell[order], size[order]
+    sizes, level = np.unique(own, return_inverse=True)  # so that cell and size fit one number
+    most = np.searchsorted(sizes, own * DENOMINATOR // NUMERATOR, side="right") - 1
+    key = of * len(sizes)
+    at = np.arange(len(own))
+    n = np.searchsorted(key + level, key + most, side="right") - at - 1
+    ends = np.cumsum(n)
+    low = 0
+    while low < len(n):
+        done = ends[low - 1] if low else 0
+        high = max(int(np.searchsorted(ends, done + chunk, side="right")), low + 1)
+        if ends[high - 1] > done:
+            left = np.repeat(at[low:high], n[low:high])
+            right = left + 1 + np.arange(len(left)) - np.repeat(ends[low:high] - n[low:high] - done, n[low:high])
+            left, right = order[left], order[right]
+            yield np.minimum(left, right), np.maximum(left, right)
+        low = high
+
+
 def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
     """Earlier partners (j, i) inside cells that the filters leave, at most `most` per row j.
 
@@ -215,7 +252,7 @@ def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
     rows = rows.take(pa.array(order))
     doc, line, sizes, whole = (rows.column(n).to_numpy() for n in ("doc_id", "line", "sizes", "whole"))
     maps, maps_2 = (rows.column(n).to_numpy().view(np.uint64) for n in ("map", "map_2"))
-    size, place = sizes >> 32, sizes & 0xFFFFFFFF
+    size, place = _unpack(sizes)
     part = crossed = None
     if "cell_x" in rows.column_names:
         part = rows.column("part").to_numpy()
@@ -224,10 +261,8 @@ def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
     given = np.zeros(len(doc), dtype=np.int64)
     more, done, paired = (np.zeros(len(doc), dtype=bool) for _ in range(3))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i, j in cell_pairs(cells):  # i before j in order
+    for i, j in _near_pairs(cells, size):  # i before j in order
         a, b = size[i], size[j]
-        near = DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
-        i, j, a, b = i[near], j[near], a[near], b[near]
         bound = np.minimum(place[i], place[j]) + np.minimum(a - place[i], b - place[j])
         low, high = maps[i] ^ maps[j], maps_2[i] ^ maps_2[j]
         mixed = (a > SHORT_LINE) != (b > SHORT_LINE)  # a map of 128 bits is folded to meet one of 64
@@ -257,6 +292,8 @@ def _partners(rows: pa.Table, cells: np.ndarray, most: int | None):
             more[j[at >= most]] = True
             i, j = i[at < most], j[at < most]
         found.append((j, i, np.zeros(len(j), dtype=bool)))
+    if not found:
+        return None
     j, i, same = (np.concatenate(x) for x in zip(*found))
     left = same | ~done[j]
     return rows, cells, j[left], i[left], same[left], more & ~done, paired
@@ -342,10 +379,12 @@ def _meetings(most: int, limit: int):
                     if own.any():
                         yield out(LATER, found[0].filter(pa.array(own)))
                 else:
-                    whole = rows.column("whole").to_numpy()
-                    order = np.lexsort((rows.column("line").to_numpy(), rows.column("doc_id").to_numpy(), whole, cells))
-                    rows, cells, whole = rows.take(pa.array(order)), cells[order], whole[order]
-                    first = np.append(True, (cells[1:] != cells[:-1]) | (whole[1:] != whole[:-1]))
+                    alike = [rows.column(name).to_numpy() for name in _SET]  # the word has one place in equal sets
+                    order = np.lexsort((rows.column("line").to_numpy(), rows.column("doc_id").to_numpy(), *alike, cells))
+                    rows, cells = rows.take(pa.array(order)), cells[order]
+                    first = np.append(True, cells[1:] != cells[:-1])
+                    for own in alike:
+                        first[1:] |= own[order][1:] != own[order][:-1]
                     doc, line = rows.column("doc_id").to_numpy(), rows.column("line").to_numpy()
                     head = np.flatnonzero(first)[np.cumsum(first) - 1]
                     again = ~first & ((doc != doc[head]) | (line != line[head]))
