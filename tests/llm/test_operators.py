@@ -425,6 +425,17 @@ def test_line_dedup_packs_small_rows():
     assert {r["map_2"] for r in short} == {0} and all(0 <= r["whole"] < 1 << 32 for r in long)
 
 
+def test_line_dedup_shuffles_no_text_that_loses_nothing(spark):
+    """Of 40 documents two lose a line: only they may meet the removed lines."""
+    rows = [(i, f"a line of words of its own {i}x {i}y {i}z\nsecond {i}a {i}b {i}c") for i in range(38)]
+    rows += [(98, rows[0][1]), (99, "new words here\n" + rows[1][1]), (None, rows[2][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = line_dedup.deduplicate(df)
+    expected = dict(rows) | {98: "", 99: "new words here"}
+    assert {r.doc_id: r.text for r in kept.collect()} == expected and kept.count() == len(rows)
+    assert kept._jdf.queryExecution().analyzed().toString().count("Union") == 1
+
+
 def test_line_dedup_defined_cases(odd, empty):
     kept = line_dedup.deduplicate(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()

@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import (
@@ -564,6 +564,10 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+def _doc_slot(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id).bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents without removed lines; all columns and rows stay, emptied texts too."""
     doc, lines = free_name(docs, "_doc"), free_name(docs, "_gone")
@@ -572,5 +576,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         f"CASE WHEN {lines} IS NULL OR text IS NULL THEN text ELSE "
         f"array_join(filter(split(text, '\\n', -1), (l, i) -> NOT array_contains({lines}, i)), '\\n') END"
     )
-    joined = docs.join(stored(gone, "removed-by-doc"), docs.doc_id.cast("long") == F.col(doc), "left")
-    return joined.select(*[(kept if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    gone = stored(gone, "removed-by-doc")
+    # texts that lose nothing stay where they are: a bit map of the others' slots, 8 MB, lets some more through
+    block, bits = free_name(docs, "_block"), free_name(docs, "_bits")
+    slots = stored(
+        gone.select((_doc_slot(F.col(doc)) + 1).alias("slot"))  # Spark counts from 1
+        .groupBy(F.bitmap_bucket_number("slot").alias(block))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(bits)),
+        "slots-by-doc",
+    )
+    slot = _doc_slot(docs.doc_id.cast("long"))
+    marked = docs.join(F.broadcast(slots), F.shiftright(slot, 15) + 1 == F.col(block), "left")
+    byte = F.conv(F.hex(F.substr(F.col(bits), (F.shiftright(slot.bitwiseAND(F.lit(32767)), 3) + 1).cast("int"), F.lit(1))), 16, 10)
+    hit = F.coalesce(F.getbit(byte.cast("int"), slot.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    joined = marked.where(hit).join(gone, F.col("doc_id").cast("long") == F.col(doc), "left")
+    changed = joined.select(*[(kept if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return marked.where(~hit).select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(changed)
